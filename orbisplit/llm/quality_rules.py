@@ -49,7 +49,7 @@ RULES: tuple[Rule, ...] = (
     Rule("few_words", lambda m: m("n_words") < 20),
     Rule("repeated_windows", lambda m: 100 * m("n_repeat_words") > 30 * m("n_words")),
     Rule("symbols", lambda m: 10 * m("n_symbols") > m("n_words")),
-    Rule("repeated_lines", lambda m: 100 * m("n_dup_lines") > 30 * m("n_lines")),
+    Rule("repeated_lines", lambda m: (m("n_dup_lines") >= 3) & (100 * m("n_dup_lines") > 30 * m("n_lines"))),
     Rule("adjacent_repeats", lambda m: 10 * m("n_adjacent_repeats") > 2 * m("n_words")),
     Rule("upper_case", lambda m: 2 * m("n_upper") > m("word_chars")),
     Rule("word_length", lambda m: (m("word_chars") < 2 * m("n_words")) | (m("word_chars") > 16 * m("n_words"))),

@@ -52,7 +52,7 @@ m AS (
   FROM a LEFT JOIN rep USING (doc_id)),
 b AS (
   SELECT *, ((n_words < 20)::BIGINT + 2 * (100 * n_repeat_words > 30 * n_words)::BIGINT
-    + 4 * (10 * n_symbols > n_words)::BIGINT + 8 * (100 * n_dup_lines > 30 * n_lines)::BIGINT
+    + 4 * (10 * n_symbols > n_words)::BIGINT + 8 * (n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * n_lines)::BIGINT
     + 16 * (10 * n_adj > 2 * n_words)::BIGINT + 32 * (2 * n_upper > word_chars)::BIGINT
     + 64 * (word_chars < 2 * n_words OR word_chars > 16 * n_words)::BIGINT)::BIGINT AS failed_bits
   FROM m)
