@@ -1,0 +1,79 @@
+import hashlib
+import re
+import zlib
+
+from pyspark.sql import functions as F
+
+from orbisplit.llm import queries
+from orbisplit.llm import secret_scan as s
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
+
+
+def brute(text):
+    text = text or ""
+    found = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    found += [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    found += [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    order = ["assign", "access", "hex"]
+    return sorted(found, key=lambda x: (x[1], order.index(x[0])))
+
+
+def base(text):
+    return [(s.KINDS[k].name, a, b) for a, k, b in s.spans_of(text) if s.KINDS[k].name in s.BASE_KINDS]
+
+
+def checked(prefix, body):
+    value, digits = zlib.crc32(body.encode()), ""
+    for _ in range(6):
+        value, d = divmod(value, 62)
+        digits = s.BASE62[d] + digits
+    return prefix + body + digits
+
+
+TEXTS = [
+    None, "", "password=abc", "PassWord = 'abcdef' token:x secret:token : abcdefg", "api_key: A1b2C3/= apikey=123456",
+    "AKIA" + "Z" * 16 + " AKIAKIA" + "9" * 20 + " akia" + "A" * 30, "f" * 23 + " " + "0" * 24 + "g" + "ab" * 40,
+    "ſecret=abcdefgh ünïcode tokeN\"=\"deadbeefdeadbeefdeadbeefdeadbeef ", "passwordpassword=123456", "secretoken=abcdefghi",
+    "İİ token='abcdef'", "token= \ttoken=abcdefg", "x" * 5000 + "secret=" + "y" * 5000,
+]
+
+
+def test_base_spans_equal_brute_force():
+    for text in TEXTS:
+        assert base(text) == brute(text), text
+
+
+def test_every_document_equals_brute_force(spark, sf_dir):
+    got = queries.op4_secret_scan(spark, sf_dir).collect()
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    assert len(got) == len(texts)
+    for r in got:
+        want = brute(texts[r.doc_id])
+        text = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
+        assert r.base_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(x[0] == k for x in want) for k in s.BASE_KINDS)
+    assert any(r.n_assign for r in got)
+
+
+def test_checksums_and_structure():
+    good = checked("ghp_", "a1B2" * 7 + "xy")
+    bad = good[:-1] + ("0" if good[-1] != "0" else "1")
+    assert [s.KINDS[k].name for _, k, _ in s.spans_of(f"see {good} or {bad}.")] == ["github"]
+    assert [s.KINDS[k].name for _, k, _ in s.spans_of(checked("npm_", "Q" * 30))] == ["npm"]
+    token = "eyJhbGciOiJIUzI1NiJ9.e30.c2ln"
+    assert [s.KINDS[k].name for _, k, _ in s.spans_of(token)] == ["jwt"]
+    assert s.spans_of("eyJxxxx.e30.c2ln") == []
+    assert [s.KINDS[k].name for _, k, _ in s.spans_of("-----BEGIN RSA PRIVATE KEY-----")] == ["pem"]
+
+
+def test_scan_and_redact_tables(spark):
+    rows = [(1, "token=abcdef012345678901234567890123 end", "a", 7), (1, None, "b", None), (None, "clean", None, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, c0 string, n_chars int")
+    out = [tuple(r) for r in s.redact(docs).collect()]
+    assert out == [(1, "[REDACTED:assign] end", "a", 21), (1, None, "b", None), (None, "clean", None, 5)]
+    assert s.redact(docs).schema == docs.schema
+    assert sorted(len(r.spans) for r in s.scan(docs).collect()) == [0, 0, 2]
+    none = docs.where(F.lit(False))
+    assert s.scan(none).count() == 0 and s.redact(none).count() == 0
+    assert s.redacted("nothing here") == "nothing here"
