@@ -49,7 +49,8 @@ def format_turn(role: str, text: str) -> str:
     """One rendered turn, proved to parse back to (role, text)."""
     for hard in (False, True):
         out = f"{OPEN}{escape(role, hard).replace(':', chr(92) + ':')}{MIDDLE}{escape(text, hard)}{CLOSE}"
-        if parse(out) == [(role, text)]:
+        m = TURN.fullmatch(out)
+        if m and (unescape(m[1]), unescape(m[2])) == (role, text):
             return out
     raise ValueError("a turn does not survive the round trip")
 

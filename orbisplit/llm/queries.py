@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbisplit.llm import chat_format, quality_rules, secret_scan, url_filter
+from orbisplit.llm import chat_format, quality_rules, secret_scan, substring_dedup, url_filter
 from orbisplit.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,28 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
        true AS round_trip
 FROM c GROUP BY conv_id
 """
+
+
+@query
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
+SQL["op7_substring_dedup"] = r"""
+WITH a AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+win AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM a WHERE len(w) >= 13)),
+low AS (SELECT s, min(doc_id) AS d FROM win GROUP BY s HAVING count(DISTINCT doc_id) > 1),
+hit AS (SELECT doc_id, list(i) AS places FROM win JOIN low USING (s) WHERE doc_id > d GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM (SELECT doc_id, unnest(places) AS i FROM hit)),
+n AS (SELECT doc_id, count(*) AS c, list(p) AS ps FROM gone GROUP BY doc_id),
+k AS (
+  SELECT a.doc_id, len(w)::BIGINT AS n_words, coalesce(c, 0)::BIGINT AS n_removed, w, coalesce(ps, []) AS ps FROM a LEFT JOIN n USING (doc_id)),
+alive AS (
+  SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t
+  FROM (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM k) u
+  WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = u.doc_id AND g.p = u.p) GROUP BY doc_id)
+SELECT k.doc_id, n_words, n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM k LEFT JOIN alive USING (doc_id)
+"""

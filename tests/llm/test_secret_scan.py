@@ -44,7 +44,8 @@ def test_base_spans_equal_brute_force():
         assert base(text) == brute(text), text
 
 
-def test_every_document_equals_brute_force(spark, sf_dir):
+def test_every_document_equals_brute_force(spark):
+    sf_dir = "/root/testdata/sf0.01"
     got = queries.op4_secret_scan(spark, sf_dir).collect()
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     assert len(got) == len(texts)
