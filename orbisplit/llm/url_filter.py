@@ -22,6 +22,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orbisplit.llm.common import materialise
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -127,8 +129,9 @@ def branches(urls: DataFrame, settings: Settings) -> DataFrame:
     tree = urls.groupBy("host", "shape").agg(
         F.count(F.lit(1)).alias("n"), total(F.when(F.col("ruled") == "block", 1).otherwise(0)).alias("n_bad")
     )
-    tree = tree.withColumn("template", F.lit(""))
-    for level in range(settings.depth + 1):
+    tree = materialise(tree.withColumn("template", F.lit("")), "url-tree")
+    deepest = tree.agg(F.max(F.size("shape"))).first()[0] or 0
+    for level in range(deepest):
         tree = tree.withColumn("_s", F.get("shape", F.lit(level)))
         fan = (
             tree.where(F.col("_s").isNotNull())
@@ -139,12 +142,14 @@ def branches(urls: DataFrame, settings: Settings) -> DataFrame:
             "host", "template", F.lit(True).alias("_wild")
         )
         step = F.when(F.col("_wild"), F.lit("*")).otherwise(F.col("_s"))
-        tree = (
+        # Written at each level: the next one reads the tree twice, and the plan must not double.
+        tree = materialise(
             tree.join(wild, ["host", "template"], "left")
             .withColumn("template", F.when(F.col("_s").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), step)))
-            .drop("_s", "_wild")
+            .drop("_s", "_wild"),
+            "url-tree",
         )
-    node = tree.groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("n_bad").alias("n_bad"))
+    node = materialise(tree.groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("n_bad").alias("n_bad")), "url-nodes")
     node = node.withColumn("parent", F.regexp_replace("template", "/[^/]*$", ""))
     pool = node.groupBy("host", "parent").agg(F.sum("n").alias("p_n"), F.sum("n_bad").alias("p_bad"))
     hosts = node.groupBy("host").agg(F.sum("n").alias("h_n"), F.sum("n_bad").alias("h_bad"))
