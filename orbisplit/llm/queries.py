@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbisplit.llm import chat_format, quality_rules, secret_scan, substring_dedup, url_filter
+from orbisplit.llm import chat_format, ngram_join, quality_rules, secret_scan, substring_dedup, url_filter
 from orbisplit.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +127,25 @@ alive AS (
   WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = u.doc_id AND g.p = u.p) GROUP BY doc_id)
 SELECT k.doc_id, n_words, n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM k LEFT JOIN alive USING (doc_id)
 """
+
+
+@query
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
+SQL["op9_ngram_join"] = r"""
+WITH RECURSIVE a AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM a WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 75 * (na.n + nb.n - c)),
+both_ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(d, c) AS (SELECT doc_id, doc_id FROM a UNION SELECT reach.d, both_ways.b FROM reach JOIN both_ways ON reach.c = both_ways.a)
+SELECT d AS doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(c) AS component_id
+FROM reach LEFT JOIN n ON n.doc_id = d GROUP BY d
+"""
