@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbisplit.llm import chat_format, ngram_join, quality_rules, secret_scan, substring_dedup, url_filter
+from orbisplit.llm import chat_format, mixing, ngram_join, quality_rules, secret_scan, substring_dedup, token_counts, url_filter
 from orbisplit.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +149,48 @@ reach(d, c) AS (SELECT doc_id, doc_id FROM a UNION SELECT reach.d, both_ways.b F
 SELECT d AS doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(c) AS component_id
 FROM reach LEFT JOIN n ON n.doc_id = d GROUP BY d
 """
+
+
+@query
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("text", "n_chars")
+
+
+SQL["op2_source_mixing"] = r"""
+WITH d AS (
+  SELECT doc_id, lang, source,
+         len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS n,
+         (['web', 'books', 'news', 'forum'])[1 + coalesce(try_cast(nullif(regexp_extract(source, '([0-9]{1,9})$', 1), '') AS BIGINT), 0) % 4] AS dom,
+         coalesce(lang, 'unknown') AS l, coalesce(source, 'unknown') AS s
+  FROM documents),
+leaf AS (SELECT dom, l, s, sum(n)::BIGINT AS tokens, (4 * sum(n))::BIGINT AS cap FROM d GROUP BY ALL),
+n1 AS (SELECT dom, sum(cap)::BIGINT AS cap, (SELECT sum(tokens)::BIGINT FROM leaf) AS budget,
+              CASE dom WHEN 'web' THEN 4 WHEN 'books' THEN 3 WHEN 'news' THEN 2 ELSE 1 END AS w FROM leaf GROUP BY dom),
+f1 AS (SELECT *, cap * sum(w) OVER t <= w * (budget - coalesce(sum(cap) OVER b, 0)) AS is_full, sum(w) OVER t AS r, coalesce(sum(cap) OVER b, 0) AS p FROM n1
+       WINDOW t AS (ORDER BY cap / w, dom ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), b AS (ORDER BY cap / w, dom ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+a1 AS (SELECT dom, CASE WHEN is_full THEN cap ELSE (w * (budget - min(p) FILTER (NOT is_full) OVER ())) // max(r) FILTER (NOT is_full) OVER () END AS budget FROM f1),
+n2 AS (SELECT dom, l, sum(cap)::BIGINT AS cap, any_value(budget) AS budget,
+              CASE l WHEN 'en' THEN 5 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 ELSE 1 END AS w FROM leaf JOIN a1 USING (dom) GROUP BY dom, l),
+f2 AS (SELECT *, cap * sum(w) OVER t <= w * (budget - coalesce(sum(cap) OVER b, 0)) AS is_full, sum(w) OVER t AS r, coalesce(sum(cap) OVER b, 0) AS p FROM n2
+       WINDOW t AS (PARTITION BY dom ORDER BY cap / w, l ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING),
+              b AS (PARTITION BY dom ORDER BY cap / w, l ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+a2 AS (SELECT dom, l, CASE WHEN is_full THEN cap ELSE (w * (budget - min(p) FILTER (NOT is_full) OVER q)) // max(r) FILTER (NOT is_full) OVER q END AS budget
+       FROM f2 WINDOW q AS (PARTITION BY dom)),
+n3 AS (SELECT leaf.*, budget, 1 AS w FROM leaf JOIN a2 USING (dom, l)),
+f3 AS (SELECT *, cap * sum(w) OVER t <= w * (budget - coalesce(sum(cap) OVER b, 0)) AS is_full, sum(w) OVER t AS r, coalesce(sum(cap) OVER b, 0) AS p FROM n3
+       WINDOW t AS (PARTITION BY dom, l ORDER BY cap / w, s ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING),
+              b AS (PARTITION BY dom, l ORDER BY cap / w, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+a3 AS (SELECT dom, l, s, tokens, CASE WHEN is_full THEN cap ELSE (w * (budget - min(p) FILTER (NOT is_full) OVER q)) // max(r) FILTER (NOT is_full) OVER q END AS alloc
+       FROM f3 WINDOW q AS (PARTITION BY dom, l)),
+plan AS (SELECT dom, l, s, CASE WHEN tokens > 0 THEN alloc // tokens ELSE 0 END AS whole,
+                alloc - CASE WHEN tokens > 0 THEN alloc // tokens ELSE 0 END * tokens AS rest FROM a3),
+o AS (SELECT d.*, whole, rest, ('0x' || substr(md5('17:' || whole || ':' || doc_id), 1, 8))::BIGINT AS u FROM d JOIN plan USING (dom, l, s)),
+c AS (SELECT *, sum(n) OVER (PARTITION BY dom, l, s ORDER BY u, doc_id, n) AS upto FROM o),
+e AS (SELECT *, (whole + (rest > 0 AND upto <= rest)::BIGINT)::BIGINT AS epochs FROM c)
+SELECT doc_id, lang, source, dom AS domain, n AS n_tokens, epochs FROM e WHERE epochs > 0
+"""
+
+
+@query
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(table(spark, sf_dir, "documents"))
