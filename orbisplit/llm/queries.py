@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbisplit.llm import chat_format, mixing, ngram_join, quality_rules, secret_scan, substring_dedup, token_counts, url_filter
+from orbisplit.llm import (
+    chat_format,
+    decontaminate,
+    mixing,
+    ngram_join,
+    quality_rules,
+    secret_scan,
+    substring_dedup,
+    token_counts,
+    url_filter,
+)
 from orbisplit.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -194,3 +204,8 @@ SELECT doc_id, lang, source, dom AS domain, n AS n_tokens, epochs FROM e WHERE e
 @query
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -45,5 +45,5 @@ def test_tables(spark, monkeypatch):
         got = [tuple(r) for r in t.count(df).where("doc_id is not null").orderBy("doc_id").collect()]
         assert got == want
     assert t.count(df.where(F.lit(False))).count() == 0
-    with pytest.raises(OSError):
+    with pytest.raises(RuntimeError):
         t.load("/nowhere/x.model")
