@@ -17,6 +17,7 @@ from orbisplit.llm import (
     substring_dedup,
     token_counts,
     url_filter,
+    warc,
 )
 from orbisplit.llm.common import table
 
@@ -209,3 +210,8 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"))
