@@ -250,7 +250,7 @@ def uncovered_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT 10::BIGINT AS num_anchors, 0.8 AS mean_radius, 0.0 AS std_radius, 0.8 AS min_radius, 0.8 AS max_radius, "
+    "SELECT 10::BIGINT AS num_anchors, 0.8::DOUBLE AS mean_radius, 0.0::DOUBLE AS std_radius, 0.8::DOUBLE AS min_radius, 0.8::DOUBLE AS max_radius, "
     "(SELECT round(min(greatest(1 - list_dot_product(a.n, b.n), 0)), 6) FROM chosen a JOIN chosen b ON a.anchor_id < b.anchor_id) AS min_separation, "
     "(SELECT round(count(DISTINCT id) / (SELECT count(*) FROM e), 6) FROM far WHERE d <= 0.8) AS coverage_ratio"
 )
@@ -408,7 +408,7 @@ SELECT anchor_id, round(least(greatest(0.3 * greatest(0.5, least(10, avg(lid)))
 
 
 @query(
-    "SELECT anchor_id, round(CASE WHEN m > 0.8 THEN 0.8 WHEN m > 0.4 THEN 0.4 WHEN m > 0.2 THEN 0.2 WHEN m > 0.1 THEN 0.1 WHEN m > 0.05 THEN 0.05 END, 6) AS radius "
+    "SELECT anchor_id, (CASE WHEN m > 0.8 THEN 0.8 WHEN m > 0.4 THEN 0.4 WHEN m > 0.2 THEN 0.2 WHEN m > 0.1 THEN 0.1 WHEN m > 0.05 THEN 0.05 END)::DOUBLE AS radius "
     "FROM (SELECT anchor_id, min(d) AS m FROM far JOIN e USING (id) WHERE label = 'C3' GROUP BY anchor_id) WHERE m > 0.05"
 )
 def validate_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
