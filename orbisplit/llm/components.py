@@ -13,14 +13,16 @@ from pyspark.sql import functions as F
 from orbisplit.llm.common import materialise
 
 
-def _print(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _stars(edges: DataFrame) -> bool:
+    """Whether no node has both smaller and larger neighbours in edges (u > v)."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("n"), F.lit(1).alias("up")), F.struct(F.col("v").alias("n"), F.lit(0).alias("up")))).alias("e"))
+    return ends.groupBy("e.n").agg(F.min("e.up").alias("low"), F.max("e.up").alias("high")).where("low <> high").isEmpty()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("m"))
-    return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+    return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -34,12 +36,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label) of every node that an edge to another node touches; label is the smallest node of the component."""
     edges = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     edges = materialise(edges, "components")
-    before = _print(edges)
-    while before[0]:
+    if not edges.isEmpty():
         edges = materialise(_small_star(materialise(_large_star(edges), "components")), "components")
-        now = _print(edges)
-        if now == before:
-            break
-        before = now
+        while not _stars(edges):
+            edges = materialise(_small_star(materialise(_large_star(edges), "components")), "components")
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
     return stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

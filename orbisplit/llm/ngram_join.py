@@ -4,10 +4,12 @@
 2. A count-min sketch of fixed size orders all shingles from rare to frequent (ties by hash). Any order is right; this one
    keeps frequent passages out of the prefixes.
 3. A class sends the prefix of its ordered set: linked sets share a shingle there. Shingles that one class alone has go.
-4. Round one joins each class, per shingle and length class, with the smallest class there alone; links among many copies of
-   one text are found by a number of pairs in proportion to the copies.
+4. Round one: where classes share one of their FIRST shingles, each meets the NEIGHBOURS classes before it by set size and hash, and keeps
+   the NEIGHBOURS of them that it met most often. That is a number of pairs in proportion to the classes, and it makes one
+   component of the near copies of a text, however many.
 5. Round two joins what is left: pairs that share a prefix shingle but no component yet, under the length, index-prefix and
-   positional filters. Pairs that round one saw are left out: each is verified once.
+   positional filters; first the NEIGHBOURS likeliest of each class, then all that are in two components still. Pairs that were
+   seen are left out: each is verified once.
 Before a pair is verified on the whole texts, the suffix filter bounds its intersection by counts of each set in
 SUFFIX fixed parts of the hash space.
 
@@ -28,15 +30,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orbisplit.llm.common import bounded_batches, materialise
+from orbisplit.llm.common import bounded_batches, free_name, materialise
 from orbisplit.llm.components import components
 from orbisplit.llm.kernels import U, Words, chunks, mix, windows
 from orbisplit.llm.sketches import bloom, build, count_min_add, count_min_read, in_bloom, share
 
 #: Words of a shingle; least similarity in hundredths.
 SIZE, PERCENT = 5, 75
-#: Counters of the sketch that orders shingles: 16 MB.
-SKETCH = 1 << 22
+#: Counters of the sketch that orders shingles: 4 MB.
+SKETCH = 1 << 20
+#: Classes that a class is paired with in round one.
+NEIGHBOURS = 16
+#: Shingles of a prefix that round one looks at.
+FIRST = 64
 #: Parts of the hash space in the suffix filter.
 SUFFIX = 64
 
@@ -142,8 +148,9 @@ def _texts(docs: DataFrame, reps: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "set long, doc_id long, text string")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, size: int, percent: int, name: str) -> tuple[DataFrame, DataFrame]:
-    """Links among pairs (a, b) of classes, and the pairs that were looked at. reps: set, rep, n, parts."""
+def _near(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, …) that pass the length and suffix filters, with rep_a and rep_b. reps: set, rep, n, parts."""
+    names = [c for c in pairs.columns if c not in ("a", "b")]
 
     def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -151,16 +158,25 @@ def _verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, size: int, per
                 x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(-1, SUFFIX) for c in ("parts_a", "parts_b"))
                 n = np.asarray(b.column("n_a")) + np.asarray(b.column("n_b"))
                 keep = (100 + percent) * np.minimum(x, y).sum(1, dtype=np.int64) >= percent * n
-                yield b.select(["a", "b", "rep_a", "rep_b"]).filter(pa.array(keep))
+                yield b.select(["a", "b", "rep_a", "rep_b", *names]).filter(pa.array(keep))
 
     side = lambda c: reps.select(F.col("set").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("rep", "n", "parts")])
-    near = pairs.join(side("a"), "a").join(side("b"), "b")
-    near = near.where((F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent))
-    near = materialise(near.mapInArrow(overlap, "a long, b long, rep_a long, rep_b long"), f"join-pairs-{name}")
-    wanted = near.select(F.col("a").alias("set"), F.col("rep_a").alias("rep")).unionByName(near.select(F.col("b").alias("set"), F.col("rep_b").alias("rep"))).distinct()
-    wanted = materialise(wanted, f"join-wanted-{name}")
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+    kinds = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in ("a", "b", *names))
+    schema = kinds.replace(", b bigint", ", b bigint, rep_a bigint, rep_b bigint", 1)
+    return materialise(near.mapInArrow(overlap, schema), "join-near")
+
+
+def _near_texts(docs: DataFrame, near: DataFrame, size: int) -> DataFrame:
+    """(set, text) of the classes in near pairs."""
+    wanted = near.select(F.explode(F.array(*[F.struct(F.col(c).alias("set"), F.col(f"rep_{c}").alias("rep")) for c in "ab"])).alias("w"))
+    wanted = materialise(wanted.select("w.set", "w.rep").distinct(), "join-wanted")
     found = _texts(docs, wanted, size).join(wanted, "set").where(F.col("doc_id").eqNullSafe(F.col("rep")))
-    texts = materialise(found.select("set", "text"), f"join-texts-{name}")
+    return materialise(found.select("set", "text"), "join-texts")
+
+
+def _links(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that are links: their whole texts are compared."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -179,9 +195,14 @@ def _verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, size: int, per
                 if links:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], ["a", "b"])
 
-    with_a = near.select("a", "b").join(texts.select(F.col("set").alias("a"), F.col("text").alias("text_a")), "a")
+    with_a = pairs.select("a", "b").join(texts.select(F.col("set").alias("a"), F.col("text").alias("text_a")), "a")
     with_b = with_a.join(texts.select(F.col("set").alias("b"), F.col("text").alias("text_b")), "b")
-    return materialise(with_b.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long"), f"join-links-{name}"), near.select("a", "b")
+    return materialise(with_b.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long"), "join-links")
+
+
+def _unordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
+    """Add (or replace) a and b: the smaller and the larger of two classes."""
+    return pairs.withColumns({"a": F.least(x, y), "b": F.greatest(x, y)})
 
 
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -193,39 +214,62 @@ def classes_and_labels(docs: DataFrame, size: int, percent: int) -> tuple[DataFr
     base = materialise(base_table(docs, size), "join-base")
     reps = base.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("parts").alias("parts"))
     reps = materialise(reps, "join-classes")
-    at, per_length = Window.partitionBy("token"), Window.partitionBy("token", "length")
+    at = Window.partitionBy("token")
     posts = (
         prefixes(docs, size, percent)
-        .withColumn("length", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent) / 2)))
-        .withColumn("hub", F.min("set").over(per_length))
         .withColumn("low", F.min("set").over(at))
         .withColumn("high", F.max("set").over(at))
         .where("low <> high")
-        .select("token", "set", "n", "pos", "hub")
+        .select("token", "set", "n", "pos")
+        .distinct()
     )
     posts = materialise(posts, "join-postings")
-    pairs = posts.where("hub <> set").select(F.col("hub").alias("a"), F.col("set").alias("b")).distinct()
-    links, seen = _verified(docs, pairs, reps, size, percent, "one")
+    in_order = at.orderBy("n", "set")
+    before = F.array_compact(F.array(*[F.lag(F.struct("set", "n"), k).over(in_order) for k in range(1, NEIGHBOURS + 1)]))
+    met = posts.where(F.col("pos") < FIRST).select("set", "n", before.alias("before")).select("set", "n", F.explode("before").alias("o"))
+    met = met.where(F.col("o.n") * 100 >= F.col("n") * percent).groupBy("set", F.col("o.set").alias("a")).agg(F.count(F.lit(1)).alias("c"))
+    best = Window.partitionBy("set").orderBy(F.desc("c"), "a")
+    pairs = met.withColumn("r", F.row_number().over(best)).where(F.col("r") <= NEIGHBOURS).select("a", F.col("set").alias("b"))
+    near = _near(_unordered(pairs.withColumnRenamed("a", "other"), "other", "b").select("a", "b"), reps, percent)
+    links = _links(near, _near_texts(docs, near, size), size, percent)
     labels = materialise(components(links), "join-labels")
 
-    open_posts = _labelled(posts.select("token", "set", "n", "pos").distinct(), labels)
-    open_tokens = open_posts.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
-    open_posts = materialise(open_posts.join(open_tokens, "token", "left_semi"), "join-open")
-    x, y = (open_posts.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("set", "n", "pos", "label")]) for s in "xy")
+    open_posts = _labelled(posts, labels)
+    per_label = open_posts.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"))
+    tokens = per_label.groupBy("token").agg(F.max(F.struct("c", "label"))["label"].alias("main"), F.count(F.lit(1)).alias("labels"))
+    open_posts = materialise(open_posts.join(tokens.where("labels > 1").select("token", "main"), "token"), "join-open")
+    # A shingle's largest component stands on one side only: what joins is the rest with all.
+    x, y = (open_posts.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("set", "n", "pos", "label", "main")]) for s in "xy")
+    x_first = F.struct("n_x", "set_x") < F.struct("n_y", "set_y")
+    n_small, n_large = F.least("n_x", "n_y"), F.greatest("n_x", "n_y")
+    pos_small = F.when(x_first, F.col("pos_x")).otherwise(F.col("pos_y"))
     need = _least(F.col("n_x") + F.col("n_y"), percent, 100 + percent)
     pairs = (
-        x.join(y, "token")
+        x.where("label_x <> main_x").join(y, "token")
         .where(F.col("label_x") != F.col("label_y"))
-        .where((F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("set_x") < F.col("set_y"))))
-        .where(F.col("n_x") * 100 >= F.col("n_y") * percent)
-        .where(F.col("pos_x") <= F.col("n_x") - _least(F.col("n_x"), 2 * percent, 100 + percent))
+        .where((F.col("label_y") == F.col("main_y")) | x_first)
+        .where(n_small * 100 >= n_large * percent)
+        .where(pos_small <= n_small - _least(n_small, 2 * percent, 100 + percent))
         .where(F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) >= need)
-        .select(F.least("set_x", "set_y").alias("a"), F.greatest("set_x", "set_y").alias("b"))
-        .distinct()
-    )
-    seen = seen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more, _ = _verified(docs, pairs.join(seen, ["a", "b"], "left_anti"), reps, size, percent, "two")
-    labels = materialise(components(links.unionByName(more)), "join-labels")
+        .groupBy("set_x", "set_y").agg(F.count(F.lit(1)).alias("c"))
+    )
+    pairs = _unordered(pairs, "set_x", "set_y").join(near.select("a", "b"), ["a", "b"], "left_anti")
+    near = _near(pairs.select("a", "b", "set_x", "c"), reps, percent)
+    if near.isEmpty():
+        return base, _labelled(reps.select("set", "rep"), labels)
+    texts = _near_texts(docs, near, size)
+    # The likeliest partners of each class come first: where one of them is a link, its other pairs fall away.
+    best = Window.partitionBy("set_x").orderBy(F.desc("c"), "a", "b")
+    ranked = materialise(near.withColumn("r", F.row_number().over(best)).groupBy("a", "b").agg(F.min("r").alias("r")), "join-ranked")
+    first = _links(ranked.where(F.col("r") <= NEIGHBOURS), texts, size, percent)
+    links = links.unionByName(first)
+    labels = materialise(components(links), "join-labels")
+    rest = ranked.where(F.col("r") > NEIGHBOURS).select("a", "b")
+    for c in "ab":
+        rest = rest.join(labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}")), c, "left")
+    rest = _links(rest.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")), texts, size, percent)
+    if not rest.isEmpty():
+        labels = materialise(components(links.unionByName(rest)), "join-labels")
     return base, _labelled(reps.select("set", "rep"), labels)
 
 
@@ -241,3 +285,15 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = S
         F.col("n").alias("n_shingles"),
         F.when(F.col("set").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     )
+
+
+def first_of_groups(docs: DataFrame, key: str = "doc_id", **more: object) -> DataFrame:
+    """The row with the smallest key of each component, with all its columns; of repeated rows one. Rows without a key stay."""
+    found = materialise(join(docs, key=key, **more).select(F.col(key).alias("_id"), F.col("component_id").alias("_c")), "join-groups")
+    first = found.where("_id = _c").select("_id")
+    kept = docs.join(found.where("_id <> _c").select("_id").distinct(), docs[f"`{key}`"] == F.col("_id"), "left_anti")
+    if first.groupBy("_id").count().where("count > 1").isEmpty():
+        return kept
+    one = Window.partitionBy(F.col(f"`{key}`"), F.when(F.col(f"`{key}`").isNull(), F.monotonically_increasing_id())).orderBy(F.lit(0))
+    row = free_name(docs.columns, "_r")
+    return kept.withColumn(row, F.row_number().over(one)).where(F.col(row) == 1).drop(row)

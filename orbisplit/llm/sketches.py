@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from orbisplit.llm.kernels import PART, U, merge_parts, mix, sparse_parts
 
 PARTS = "part int, cells binary, counts binary"
-#: 32-bit words of a Bloom filter: 8 MB.
-BLOOM_WORDS = 1 << 21
+#: 32-bit words of a Bloom filter: 4 MB.
+BLOOM_WORDS = 1 << 20
 BLOOM_HASHES = 4
 
 
@@ -52,7 +52,7 @@ def build(
 
     merged = rows.mapInArrow(fill, PARTS).repartition("part").mapInArrow(merge, PARTS)
     out = np.zeros(size, np.uint32)
-    for part, cells, counts in merged.toLocalIterator():
+    for part, cells, counts in merged.collect():  # the size of the sketch at most
         out[part * PART + np.frombuffer(cells, np.uint16).astype(np.int64)] = np.frombuffer(counts, np.uint32)
     return out
 
