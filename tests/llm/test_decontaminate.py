@@ -32,6 +32,18 @@ def tokens(text):
 
 def brute(docs, items, share=d.SHARE):
     out = set()
+    read = [(doc, tokens(body)) for doc, body in docs]
+    known = {}
+
+    def places_of(n, size):
+        """Where each template window of a document starts."""
+        if (n, size) not in known:
+            known[n, size] = {}
+            w = [x for x, _ in read[n][1]]
+            for j in range(len(w) - size + 1):
+                known[n, size].setdefault(tuple(w[j : j + size]), []).append(j)
+        return known[n, size]
+
     for item, text in set(items):
         t = tokens(text)
         size = min(len(t), d.WINDOW)
@@ -39,13 +51,11 @@ def brute(docs, items, share=d.SHARE):
             continue
         need = d.LITERALS if size == d.WINDOW else (size + 1) // 2
         places = [i for i in range(len(t) - size + 1) if sum(v is None for _, v in t[i : i + size]) >= need]
-        for doc, body in docs:
-            w = tokens(body)
+        for n, (doc, w) in enumerate(read):
             at = {}
             for i in places:
-                for j in range(len(w) - size + 1):
-                    if [x for x, _ in w[j : j + size]] == [x for x, _ in t[i : i + size]]:
-                        at.setdefault(j - i, []).append((i, j))
+                for j in places_of(n, size).get(tuple(x for x, _ in t[i : i + size]), ()):
+                    at.setdefault(j - i, []).append((i, j))
             met = set()
             for hits in at.values():
                 pairs = {(t[i + k][1], w[j + k][1]) for i, j in hits for k in range(size) if t[i + k][1]}
