@@ -171,4 +171,6 @@ def keep(docs: DataFrame, policy: Policy = PRODUCTION, text: str = "text") -> Da
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), F.col(f"`{text}`").alias("_t"))
     # The document rides along as the key: no join, no shuffle.
     book = apply_policy(ledger(packed, text="_t", key=row), policy)
-    return book.where("kept").select(f"{row}.*")
+    # The filter reads a row number, which keeps it above the measurements: pushed below them, it would repeat them all.
+    numbered = book.withColumn("_at", F.monotonically_increasing_id())
+    return numbered.where(F.col("kept") & (F.col("_at") >= 0)).select(f"{row}.*")
