@@ -291,7 +291,23 @@ def first_of_groups(docs: DataFrame, key: str = "doc_id", **more: object) -> Dat
     """The row with the smallest key of each component, with all its columns; of repeated rows one. Rows without a key stay."""
     found = materialise(join(docs, key=key, **more).select(F.col(key).alias("_id"), F.col("component_id").alias("_c")), "join-groups")
     first = found.where("_id = _c").select("_id")
-    kept = docs.join(found.where("_id <> _c").select("_id").distinct(), docs[f"`{key}`"] == F.col("_id"), "left_anti")
+    gone = materialise(found.where("_id <> _c").select("_id").distinct(), "join-gone")
+    words = bloom(gone)
+    place, schema = docs.columns.index(key), docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).schema
+
+    def among(wanted: bool) -> DataFrame:
+        """Rows whose key may be, or cannot be, one that goes: only the first are compared with the exact keys."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                ids = b.column(place).cast(pa.int64())
+                may = in_bloom(words.value, np.asarray(ids.fill_null(0)).view(U)) & ~np.asarray(ids.is_null())
+                yield b.filter(pa.array(may == wanted))
+
+        return docs.toDF(*schema.names).mapInArrow(run, schema).toDF(*docs.columns)
+
+    some = among(True)
+    kept = among(False).unionAll(some.join(gone, some[f"`{key}`"] == gone["_id"], "left_anti"))
     if first.groupBy("_id").count().where("count > 1").isEmpty():
         return kept
     one = Window.partitionBy(F.col(f"`{key}`"), F.when(F.col(f"`{key}`").isNull(), F.monotonically_increasing_id())).orderBy(F.lit(0))
