@@ -155,7 +155,7 @@ def repeated_cells(docs: DataFrame) -> DataFrame:
         group = np.cumsum(first) - 1
         many = np.bincount(group)[group] > 1
         if many.any():  # settled here; the others need to hear of the cell alone
-            yield _sent(-1, cls[many], cell[many])
+            yield from _settled(cls[many], cell[many], shards)
         one, some = ~many, many & first
         for kind, pick in ((0, one), (1, some)):
             c, k = cell[pick], cls[pick]
@@ -177,17 +177,25 @@ def repeated_cells(docs: DataFrame) -> DataFrame:
             hot |= np.bincount(group)[group] > 1
         return _pairs(cls[hot], cell[hot] | U(shard << 32))
 
-    sent = materialise(docs.mapInArrow(lambda it: _flushed(it, read, settle), _SENT), "dedup-cells")
-    return _settled(sent).unionByName(sent.where("shard >= 0").groupBy("shard").applyInArrow(merge, "class long, key long"))
+    return _merged(docs.mapInArrow(lambda it: _flushed(it, read, settle), _SENT), merge)
 
 
-def _settled(sent: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for cls, key in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                yield from _pairs(np.frombuffer(cls, U), np.frombuffer(key, U)).to_batches(max_chunksize=50_000)
+def _settled(cls: np.ndarray, key: np.ndarray, shards: int) -> Iterator[pa.RecordBatch]:
+    """What a task has settled, in pieces dealt out under negative numbers: it passes through the same shuffle."""
+    for i in range(0, len(cls), 50_000):
+        yield _sent(-1 - int(mix(cls[i : i + 1] + U(i))[0] % U(shards)), cls[i : i + 50_000], key[i : i + 50_000])
+
+
+def _merged(sent: DataFrame, merge: Callable[[pa.Table], pa.Table]) -> DataFrame:
+    """(class, key): shards merged, settled pieces as they are."""
+
+    def run(t: pa.Table) -> pa.Table:
+        if t.column("shard")[0].as_py() >= 0:
+            return merge(t)
+        cls, key = (np.concatenate([np.frombuffer(x, U) for x in t.column(c).to_pylist()]) for c in "ab")
+        return _pairs(cls, key)
 
-    return sent.where("shard < 0").select("a", "b").mapInArrow(run, "class long, key long")
+    return sent.groupBy("shard").applyInArrow(run, "class long, key long")
 
 
 def _distinct(*keys: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -224,7 +232,7 @@ def repeated_windows(hot: DataFrame) -> DataFrame:
         w1, w2, doc, cls = _distinct(w1, w2, doc, cls)
         drop = later(w1, w2, doc)
         if drop.any():
-            yield _sent(-1, cls[drop], w1[drop])
+            yield from _settled(cls[drop], w1[drop], shards)
         w1, w2, doc, cls = (x[~drop] for x in (w1, w2, doc, cls))
         shard = (w1 % U(shards)).astype(np.int64)
         order = np.argsort(shard, kind="stable")
@@ -241,8 +249,7 @@ def repeated_windows(hot: DataFrame) -> DataFrame:
         drop = later(w1, w2, doc)
         return _pairs(cls[drop], w1[drop])
 
-    sent = materialise(hot.mapInArrow(lambda it: _flushed(it, read, settle), _SENT), "dedup-windows")
-    return _settled(sent).unionByName(sent.where("shard >= 0").groupBy("shard").applyInArrow(merge, "class long, key long"))
+    return _merged(hot.mapInArrow(lambda it: _flushed(it, read, settle), _SENT), merge)
 
 
 def cut_texts(hot: DataFrame, dropped: DataFrame) -> DataFrame:
