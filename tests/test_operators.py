@@ -140,6 +140,15 @@ def test_leaders_equal_a_sequential_scan(spark, metric, threshold):
     assert sorted(r.id for r in got.collect()) == kept
 
 
+@pytest.mark.parametrize("share", [0.0, 0.2, 0.5, 0.999, 1.0])
+def test_exact_quantile(spark, share):
+    x = np.random.default_rng(4).standard_normal(501)
+    df = spark.createDataFrame([(float(v),) for v in x], "d double")
+    for bins in (3, 4096):
+        assert abs(placement.exact_quantile(df, "d", share, bins) - np.quantile(x, share)) < 1e-12
+    assert placement.exact_quantile(df.limit(1), "d", share) == df.first().d
+
+
 def test_dense_runs(spark):
     df = spark.createDataFrame(list(enumerate([0.0, 9.0, 9.0, 0.0, 9.0])), "id long, density double")
     assert sorted((r.run_start, r.run_end) for r in density.dense_runs(df, 1.0).collect()) == [(1, 2), (4, 4)]
