@@ -14,9 +14,10 @@ from orbisplit.llm.common import materialise
 
 
 def _stars(edges: DataFrame) -> bool:
-    """Whether no node has both smaller and larger neighbours in edges (u > v)."""
+    """Whether each node has either larger neighbours only or ONE smaller neighbour in edges (u > v, distinct)."""
     ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("n"), F.lit(1).alias("up")), F.struct(F.col("v").alias("n"), F.lit(0).alias("up")))).alias("e"))
-    return ends.groupBy("e.n").agg(F.min("e.up").alias("low"), F.max("e.up").alias("high")).where("low <> high").isEmpty()
+    seen = ends.groupBy("e.n").agg(F.min("e.up").alias("low"), F.max("e.up").alias("high"), F.sum("e.up").alias("smaller"))
+    return seen.where("low <> high or smaller > 1").isEmpty()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,3 +86,34 @@ def test_components_equal_union_find(spark):
     nodes = {n for a, b in edges if a != b for n in (a, b)}
     assert got == merged(nodes, [e for e in edges if e[0] != e[1]])
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("chain", [(1, 5, 2, 6, 0), (3, 4, 0, 5, 1), (2, 6, 0, 5, 3, 4, 1)])
+def test_components_of_chains(spark, chain):
+    edges = list(zip(chain, chain[1:]))
+    got = sorted((x.node, x.label) for x in components(spark.createDataFrame(edges, "a long, b long")).collect())
+    assert got == [(n, 0) for n in sorted(chain)]
+
+
+def test_components_of_many_chains(spark):
+    r = random.Random(9)
+    edges = []
+    for k in range(200):
+        chain = r.sample(range(10 * k, 10 * k + 10), r.randrange(3, 9))
+        edges += zip(chain, chain[1:])
+    got = sorted((x.node, x.label) for x in components(spark.createDataFrame(edges, "a long, b long")).collect())
+    assert got == sorted(merged({n for e in edges for n in e}, edges).items())
+
+
+def test_chain_of_five_texts_is_one_component(spark):
+    # Texts whose classes are ordered as 1-5-2-6-0 along the chain.
+    r = random.Random(4)
+    while True:
+        long = [f"w{r.randrange(10**6)}" for _ in range(148)]
+        texts = [" ".join(long[i * 12 : i * 12 + 100]) for i in range(5)]
+        cls = [j._class(s) for s in j._sets(pa.array(texts), j.SIZE)]
+        if [sorted(cls).index(c) for c in cls] == [1, 3, 2, 4, 0]:
+            break
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted((x.doc_id, x.component_id) for x in j.join(df).collect()) == [(i, 0) for i in range(5)]
+    assert [x.doc_id for x in j.first_of_groups(df).collect()] == [0]
