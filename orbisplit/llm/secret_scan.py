@@ -66,6 +66,20 @@ def json_web_token(token: str) -> bool:
     return isinstance(found, dict) and "alg" in found
 
 
+#: A line break, in texts or escaped in string literals, with the quotes and marks that may stand around it.
+_BREAK = r"""(?:[\x20\t"',;]*+(?:\r\n?|\n|\\r\\n|\\n)[\x20\t"'>#*|]*+)"""
+#: Base64 up to the end of its line.
+_ALONE = r"[A-Za-z0-9+/]++={0,2}+(?=[\x20\t\"',;]*+(?:[\r\n]|\\[rn]|\Z))"
+#: A private key from its header to the matching END line, if no other block begins before it. Without one: its header fields,
+#: its lines that are base64 alone, and long base64 words on one line with what is left of the last.
+PEM = (
+    r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----(?:"
+    r"(?s:(?:(?!-----BEGIN ).)*?)-----END \1-----"
+    rf"|(?:{_BREAK}[A-Za-z][A-Za-z0-9-]*+:[^\r\n\\]*+)*+"
+    rf"(?:{_BREAK}*+{_ALONE}(?:{_BREAK}{_ALONE})*+)?+"
+    r"(?:(?:\s|\\[rn])*+[A-Za-z0-9+/]{32,}+={0,2}+(?:[\x20\t]++(?=[A-Za-z]*+[0-9+/=])[A-Za-z0-9+/]{1,31}+={0,2}+(?![A-Za-z0-9+/=]))?+)*+)"
+)
+
 #: In the order in which spans of one start are listed. Keywords and patterns.
 KINDS: tuple[Kind, ...] = (
     Kind(
@@ -81,7 +95,7 @@ KINDS: tuple[Kind, ...] = (
     Kind("github", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), r"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])", crc32_base62),
     Kind("npm", ("npm_",), r"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])", crc32_base62),
     Kind("jwt", ("eyj",), r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", json_web_token),
-    Kind("pem", ("-----begin",), r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----", lambda value: True),
+    Kind("pem", ("-----begin",), PEM, lambda value: True),
 )
 BASE_KINDS = ("assign", "access", "hex")
 SPAN = T.ArrayType(
