@@ -6,6 +6,10 @@ the same template. Windows of the template are joined by hash with the windows o
 meet at one offset, the slots must be consistent: a value of the item always stands for one value of the document. An
 item is found in a document if consistent windows are at least ``share`` hundredths of the item's windows.
 
+Windows with too few literal tokens are too general as templates: they are joined by the hash of their real tokens (lower case,
+slot values included). An item is found by its templates alone if these are at least half of its windows, and
+``n_windows`` counts those; otherwise all its windows count, those that meet by real tokens among them.
+
 The items' windows are broadcast only if there are few enough of them (``BROADCAST_WINDOWS``, counted first); otherwise both
 sides are shuffled by hash. Document windows are made and probed in one pass, so only what meets an item is shuffled.
 
@@ -60,6 +64,11 @@ def _template(token: Column) -> Column:
     return F.xxhash64(F.when(token < "\x04", F.substring(token, 1, 1)).otherwise(token))
 
 
+def _plain(token: Column) -> Column:
+    """The hash of a token without its mark."""
+    return F.xxhash64(F.when(token < "\x04", F.substring(token, 2, 1 << 30)).otherwise(token))
+
+
 def _windows(size: int) -> Column:
     """Hashes of the windows of the column ``_h``, null if there is none."""
     return F.when(
@@ -79,7 +88,8 @@ def _slots(column: str) -> Column:
 
 
 def item_windows(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
-    """(item_id, hash, size, i_pos, i_slots, n_windows): the windows of each item that can be met."""
+    """(item_id, hash, size, i_pos, i_slots, template, exact, n_literal, n_windows): the hashes by which each window of an item can
+    be met, of its template or of its real tokens; n_literal of its n_windows windows have enough literal tokens."""
     rows = items.select(F.col(f"`{key}`").alias("item_id"), F.col(f"`{text}`").cast("string").alias("_t")).distinct()
     made = _hashed(rows, ["item_id"], "_t").where(F.size("_w") >= LEAST)
     parts = []
@@ -89,11 +99,16 @@ def item_windows(items: DataFrame, key: str = "item_id", text: str = "text") ->
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    out = out.withColumn("i_slots", _slots(F.slice("_w", F.col("i_pos") + 1, F.col("size")))).drop("_w")
+    out = out.withColumn("i_slots", _slots(F.slice("_w", F.col("i_pos") + 1, F.col("size"))))
     # What is too general here is so in documents too: equal templates have their slots at equal places.
     need = F.when(F.col("size") < WINDOW, F.ceil(F.col("size") / 2)).otherwise(F.lit(LITERALS))
-    out = out.where(F.size(F.filter("i_slots", lambda x: x.isNull())) >= need)
-    n = out.groupBy("item_id").agg(F.countDistinct("i_pos").alias("n_windows"))
+    n_literals = F.size(F.filter("i_slots", lambda x: x.isNull()))
+    plain = F.xxhash64(F.transform(F.slice("_w", F.col("i_pos") + 1, F.col("size")), _plain))
+    out = out.select("item_id", "hash", plain.alias("_x"), "size", "i_pos", "i_slots", (n_literals >= need).alias("_literal"))
+    templates = out.where("_literal").withColumn("template", F.lit(True)).withColumn("exact", F.lit(False))
+    real = out.where("not _literal").withColumn("hash", F.col("_x")).withColumn("template", F.lit(False)).withColumn("exact", F.lit(True))
+    n = out.groupBy("item_id").agg(F.countDistinct(F.when(F.col("_literal"), F.col("i_pos"))).alias("n_literal"), F.countDistinct("i_pos").alias("n_windows"))
+    out = templates.unionByName(real).drop("_x", "_literal")
     return out.join(n, out["item_id"].eqNullSafe(n["item_id"])).drop(n["item_id"])
 
 
@@ -102,24 +117,43 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     book = materialise(item_windows(items, item_key, item_text), "leaks-items")
     n_windows, sizes = book.agg(F.count(F.lit(1)), F.sort_array(F.collect_set("size"))).first()
     rows = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("_t"))
-    made = _hashed(rows, ["doc_id"], "_t")
-    book = book.select("item_id", "hash", "size", "i_pos", "i_slots", "n_windows")
+    slots_at = F.filter(F.transform("_w", lambda w, i: F.when(w < "\x04", i)), lambda i: i.isNotNull())
+    made = _hashed(rows, ["doc_id"], "_t").select("*", slots_at.alias("_s"))
+    made = made.select("*", F.when(F.size("_s") > 0, F.transform("_w", _plain)).otherwise(F.array().cast("array<bigint>")).alias("_p"))
+    book = book.select("item_id", "hash", "size", "i_pos", "i_slots", "template", "exact", "n_literal", "n_windows")
     book = F.broadcast(book) if n_windows <= BROADCAST_WINDOWS else book
     hits = None
     for size in sizes or [WINDOW]:
+        # Windows without slots have one hash; those with slots follow once more, by their real tokens.
+        n = F.size("_w") - (size - 1)
+        at = F.array_distinct(F.flatten(F.transform("_s", lambda i: F.sequence(F.greatest(i - (size - 1), F.lit(0)), F.least(i, n - 1)))))
+        both = F.concat(_windows(size), F.transform("_at", lambda i: F.xxhash64(F.slice("_p", i + 1, size))))
+        place = F.when(F.col("_j") < n, F.col("_j")).otherwise(F.get("_at", F.col("_j") - n))
         met = (
-            made.select("doc_id", "_w", F.posexplode(_windows(size)).alias("d_pos", "hash"))
+            made.where(n > 0).select("*", at.alias("_at"))
+            .select("doc_id", "_w", "_at", F.posexplode(both).alias("_j", "hash"))
             .join(book.where(F.col("size") == size), "hash")
-            .select("doc_id", "item_id", "n_windows", "i_pos", (F.col("d_pos") - F.col("i_pos")).alias("offset"), "i_slots", _slots(F.slice("_w", F.col("d_pos") + 1, size)).alias("d_slots"))
+            .where(F.col("exact") | (F.col("_j") < n))
+            .select("*", place.alias("d_pos"), (F.col("template") & (F.col("_j") < n)).alias("by_template"))
+            .select("doc_id", "item_id", "n_literal", "n_windows", "i_pos", (F.col("d_pos") - F.col("i_pos")).alias("offset"), "by_template", "exact", "i_slots", _slots(F.slice("_w", F.col("d_pos") + 1, size)).alias("d_slots"))
         )
         hits = met if hits is None else hits.unionByName(met)
     pairs = F.filter(F.arrays_zip(F.col("i_slots").alias("i"), F.col("d_slots").alias("d")), lambda p: p["i"].isNotNull())
-    by = ["doc_id", "item_id", "n_windows", "offset"]
+    by = ["doc_id", "item_id", "n_literal", "n_windows"]
+    t = F.col("by_template")
     # At one offset an item has a bounded number of places, however often a document repeats it elsewhere.
-    aligned = hits.groupBy(*by).agg(F.collect_set("i_pos").alias("met"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("slots"))
+    aligned = hits.groupBy(*by, "offset").agg(
+        F.collect_set(F.when(t, F.col("i_pos"))).alias("met"), F.collect_set(F.when(F.col("exact"), F.col("i_pos"))).alias("same"),
+        F.array_distinct(F.flatten(F.collect_set(F.when(t, pairs)))).alias("slots"),
+    )
     consistent = F.size(F.array_distinct(F.transform("slots", lambda p: p["i"]))) == F.size("slots")
-    found = aligned.where(consistent).groupBy("doc_id", "item_id", "n_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_set("met")))).cast("long").alias("n_met"))
-    return found.where(100 * F.col("n_met") >= share * F.col("n_windows")).select("doc_id", "item_id", "n_met", "n_windows")
+    aligned = aligned.select(*by, F.when(consistent, F.col("met")).otherwise(F.array().cast("array<int>")).alias("met"), "same")
+    count = lambda c: F.size(F.array_distinct(F.flatten(F.collect_set(c)))).cast("long")
+    found = aligned.groupBy(*by).agg(count(F.col("met")).alias("_t"), count(F.array_union("met", "same")).alias("_a"))
+    alone = (F.col("_t") > 0) & (2 * F.col("n_literal") >= F.col("n_windows")) & (100 * F.col("_t") >= share * F.col("n_literal"))
+    found = found.where(alone | ((F.col("_a") > 0) & (100 * F.col("_a") >= share * F.col("n_windows"))))
+    either = lambda a, b: F.when(alone, F.col(a)).otherwise(F.col(b))
+    return found.select("doc_id", "item_id", either("_t", "_a").alias("n_met"), either("n_literal", "n_windows").alias("n_windows"))
 
 
 def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", **more: object) -> DataFrame:

@@ -131,3 +131,9 @@ def test_clean_and_empty_tables(spark):
     assert d.leaks(a.where(F.lit(False)), b).count() == 0 and d.leaks(a, b.where(F.lit(False))).count() == 0
     plan = d.leaks(a, b)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_items_of_slots_are_found_by_their_real_tokens(spark):
+    items = [(1, "What is 3 + 4 * 5 - 6 / 2?"), (2, "1 2 3 4 5 6 7 8 9 10 11 12"), (3, "the sum of 1 2 3 4 5 6 7 8 9 10")]
+    docs = [(1, "So: What is 3 + 4 * 5 - 6 / 2? It is 20."), (2, "0 1 2 3 4 5 6 7 8 9 10 11 12 13"), (3, "the sum of 1 2 3 4 5 6 7 8 9 10"), (4, "What is 3 + 4 * 5 - 7 / 2? 5 4 3 2 1 9 8 7")]
+    assert got(spark, docs, items) == [(1, 1, 1, 1), (2, 2, 5, 5), (2, 3, 3, 6), (3, 2, 3, 5), (3, 3, 6, 6)]
