@@ -6,9 +6,11 @@ the same template. Windows of the template are joined by hash with the windows o
 meet at one offset, the slots must be consistent: a value of the item always stands for one value of the document. An
 item is found in a document if consistent windows are at least ``share`` hundredths of the item's windows.
 
-Windows with too few literal tokens are too general as templates: they are joined by the hash of their real tokens (lower case,
-slot values included). An item is found by its templates alone if these are at least half of its windows, and
-``n_windows`` counts those; otherwise all its windows count, those that meet by real tokens among them.
+What is a name depends on the characters before it, and windows with too few literal tokens are too general as templates. So all
+windows are joined by the hash of their real tokens too (lower case, slot values included), and a verbatim passage is met
+whatever stands around it or breaks its lines. An item is found if its consistent templates reach the share of its
+windows that have enough literal tokens, where these are at least half of its windows, and ``n_windows`` counts those; or
+if templates and real tokens together reach the share of all its windows, which ``n_windows`` counts then.
 
 The items' windows are broadcast only if there are few enough of them (``BROADCAST_WINDOWS``, counted first); otherwise both
 sides are shuffled by hash. Document windows are made and probed in one pass, so only what meets an item is shuffled.
@@ -105,8 +107,9 @@ def item_windows(items: DataFrame, key: str = "item_id", text: str = "text") ->
     n_literals = F.size(F.filter("i_slots", lambda x: x.isNull()))
     plain = F.xxhash64(F.transform(F.slice("_w", F.col("i_pos") + 1, F.col("size")), _plain))
     out = out.select("item_id", "hash", plain.alias("_x"), "size", "i_pos", "i_slots", (n_literals >= need).alias("_literal"))
-    templates = out.where("_literal").withColumn("template", F.lit(True)).withColumn("exact", F.lit(False))
-    real = out.where("not _literal").withColumn("hash", F.col("_x")).withColumn("template", F.lit(False)).withColumn("exact", F.lit(True))
+    n_slots = F.size(F.filter("i_slots", lambda x: x.isNotNull()))
+    templates = out.where("_literal").withColumn("template", F.lit(True)).withColumn("exact", n_slots == 0)
+    real = out.where(n_slots > 0).withColumn("hash", F.col("_x")).withColumn("template", F.lit(False)).withColumn("exact", F.lit(True))
     n = out.groupBy("item_id").agg(F.countDistinct(F.when(F.col("_literal"), F.col("i_pos"))).alias("n_literal"), F.countDistinct("i_pos").alias("n_windows"))
     out = templates.unionByName(real).drop("_x", "_literal")
     return out.join(n, out["item_id"].eqNullSafe(n["item_id"])).drop(n["item_id"])

@@ -137,3 +137,9 @@ def test_items_of_slots_are_found_by_their_real_tokens(spark):
     items = [(1, "What is 3 + 4 * 5 - 6 / 2?"), (2, "1 2 3 4 5 6 7 8 9 10 11 12"), (3, "the sum of 1 2 3 4 5 6 7 8 9 10")]
     docs = [(1, "So: What is 3 + 4 * 5 - 6 / 2? It is 20."), (2, "0 1 2 3 4 5 6 7 8 9 10 11 12 13"), (3, "the sum of 1 2 3 4 5 6 7 8 9 10"), (4, "What is 3 + 4 * 5 - 7 / 2? 5 4 3 2 1 9 8 7")]
     assert got(spark, docs, items) == [(1, 1, 1, 1), (2, 2, 5, 5), (2, 3, 3, 6), (3, 2, 3, 5), (3, 3, 6, 6)]
+
+
+def test_verbatim_items_are_found_in_any_surroundings(spark):
+    items = [(1, "Where does the red fox live?"), (2, "In the morning our friend Anna\twalks to the old mill by the river")]
+    docs = [(1, "and so on Where does the red fox live?"), (2, "In the morning our friend\nAnna  walks to the old mill\nby the river"), (3, "In the morning our friend Berta rests")]
+    assert got(spark, docs, items) == [(1, 1, 1, 1), (2, 2, 7, 7)]
