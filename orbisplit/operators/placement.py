@@ -17,7 +17,8 @@ from orbisplit.operators.dedup import far_from, spacing_filter, uncovered
 from orbisplit.operators.pairs import distances, knn_cross, self_pairs
 from orbisplit.sources.tables import materialise
 
-EXACT_QUANTILE = 20_000
+#: Values of a bin up to which they are collected; a fuller bin is divided again.
+COLLECTED = 100_000
 
 
 def num_anchors(n: Column, ratio: float, least: int = 3) -> Column:
@@ -37,38 +38,43 @@ def anchors_for(n: int, ratio: float, least: int = 3) -> int:
 
 
 def base_radius(p: DataFrame, config: Config) -> float:
-    """A quantile of all pair distances times a scale, within the bounds; fixed where that is set.
-
-    Up to EXACT_QUANTILE rows the quantile is exact; beyond, it is the t-digest-like estimate of percentile_approx."""
+    """A quantile of all pair distances times a scale, within the bounds; fixed where that is set."""
     s = config.spheres
     if s.radius == "fixed":
         return s.fixed_radius
-    n = p.count()
-    if n < 2:
+    if p.count() < 2:
         return s.min_radius
     pairs = self_pairs(p, config.metric)
     share = s.percentile / 100
-    found = exact_quantile(pairs, "d", share) if n <= EXACT_QUANTILE else pairs.agg(F.expr(f"percentile_approx(d, {share}, 10000)")).first()[0]
+    found = exact_quantile(pairs, "d", share)
     return float(min(max(found * s.radius_scale, s.min_radius), s.max_radius))
 
 
 def exact_quantile(df: DataFrame, column: str, share: float, bins: int = 4096) -> float:
-    """The quantile with linear interpolation. A histogram finds the bins of its two neighbours; only their values are sorted."""
+    """The quantile with linear interpolation. A histogram finds the bins of its two neighbours; a bin that holds both is
+    divided again until it has at most COLLECTED values, and only those are sorted."""
     x = F.col(column)
     n, low, high = df.agg(F.count(x), F.min(x), F.max(x)).first()
     if not n or low == high:
         return float("nan") if not n else float(low)
-    place = F.least(F.floor((x - low) / ((high - low) / bins)), F.lit(bins - 1)).cast("int")
-    counts = np.zeros(bins, np.int64)
-    for r in df.groupBy(place.alias("b")).agg(F.count(F.lit(1)).alias("c")).collect():
-        counts[r.b] = r.c
     at = share * (n - 1)
     k = int(math.floor(at))
-    ends = np.cumsum(counts)
-    first, last = (int(np.searchsorted(ends, i, side="right")) for i in (k, min(k + 1, n - 1)))
-    values = np.sort([r.x for r in df.where(place.between(first, last)).select(x.alias("x")).collect()])
-    before = int(ends[first] - counts[first])
-    a, b = values[k - before], values[min(k + 1, n - 1) - before]
+    below, held, after = 0, n, min(k + 1, n - 1)
+    part = df.where(x.isNotNull())
+    while held > COLLECTED:
+        place = F.greatest(F.least(F.floor((x - low) / (high - low) * bins), F.lit(bins - 1)), F.lit(0)).cast("int")
+        rows = part.groupBy(place.alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min(x).alias("low"), F.max(x).alias("high")).collect()
+        rows.sort(key=lambda r: r.b)
+        ends = below + np.cumsum([r.c for r in rows])
+        i, j = (int(np.searchsorted(ends, m, side="right")) for m in (k, after))
+        if i != j:  # the last value of one bin and the first of the next
+            return float(rows[i].high + (at - k) * (rows[j].low - rows[i].high))
+        low, high, held, below = rows[i].low, rows[i].high, rows[i].c, int(ends[i]) - rows[i].c
+        if low == high:
+            return float(low)
+        part = part.where(place == rows[i].b)
+    values = np.sort([r.x for r in part.select(x.alias("x")).collect()])
+    a, b = values[k - below], values[after - below]
     return float(a + (at - k) * (b - a))
 
 

@@ -240,3 +240,16 @@ def test_settings():
     for bad in ({"splits": {"train": 0.9}}, {"spheres": {"min_radius": 0.6}}, {"unknown": 1}, {"splits": {"train": 1.0, "eval": 0.0}}):
         with pytest.raises(ValueError):
             from_dict(bad)
+
+
+@pytest.mark.parametrize("collected", [10, 10**6])
+def test_base_radius_is_exact_at_every_size(spark, monkeypatch, collected):
+    monkeypatch.setattr(placement, "EXACT_QUANTILE", 5, raising=False)
+    monkeypatch.setattr(placement, "COLLECTED", collected, raising=False)
+    v = np.random.default_rng(3).standard_normal((60, 3))
+    p = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    config = Config(spheres=Spheres(percentile=33.3, radius_scale=1.0, min_radius=0.0001, max_radius=2.0))
+    want = np.quantile(pairs.matrix(v, v, config.metric)[np.triu_indices(60, 1)], 0.333)
+    assert abs(placement.base_radius(p, config) - want) < 1e-12
+    same = spark.createDataFrame([(float(x),) for x in [0.5] * 40 + [0.5 + 1e-15] * 40 + [9.0]], "d double")
+    assert placement.exact_quantile(same, "d", 0.2, 3) == 0.5
