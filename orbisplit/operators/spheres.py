@@ -116,8 +116,8 @@ def anchor_kinds(anchors: DataFrame, p: DataFrame) -> DataFrame:
 
 
 def center_rows(assigned: DataFrame, p: DataFrame, anchors: DataFrame) -> DataFrame:
-    """(anchor_id, id): the rows at an anchor's centre, by their distance, else the nearest row within 1e-4."""
+    """(anchor_id, id): the rows at an anchor's centre, by their distance, else every row within 1e-4."""
     own = assigned.where(F.col("distance") < 1e-4).select("anchor_id", "id")
     rest = anchors.join(own.select("anchor_id").distinct(), "anchor_id", "left_anti")
-    found = distances(centers(rest), p, "euclidean", k=1).where("d < 1e-4").select(F.col("l").alias("anchor_id"), F.col("r").alias("id"))
+    found = distances(centers(rest), p, "euclidean", within=1e-4).where("d < 1e-4").select(F.col("l").alias("anchor_id"), F.col("r").alias("id"))
     return own.unionByName(found)

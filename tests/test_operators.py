@@ -253,3 +253,10 @@ def test_base_radius_is_exact_at_every_size(spark, monkeypatch, collected):
     assert abs(placement.base_radius(p, config) - want) < 1e-12
     same = spark.createDataFrame([(float(x),) for x in [0.5] * 40 + [0.5 + 1e-15] * 40 + [9.0]], "d double")
     assert placement.exact_quantile(same, "d", 0.2, 3) == 0.5
+
+
+def test_center_rows_keep_all_copies(spark):
+    p = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, [1.0, 5e-5])], "id long, v array<double>")
+    a = spark.createDataFrame([(7, [1.0, 0.0], 0.1, 0.0, [])], spheres.ANCHOR)
+    none = spheres.assign(p, a).limit(0)
+    assert sorted((r.anchor_id, r.id) for r in spheres.center_rows(none, p, a).collect()) == [(7, 1), (7, 2), (7, 4)]
