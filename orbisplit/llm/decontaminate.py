@@ -129,11 +129,11 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     for size in sizes or [WINDOW]:
         # Windows without slots have one hash; those with slots follow once more, by their real tokens.
         n = F.size("_w") - (size - 1)
-        at = F.array_distinct(F.flatten(F.transform("_s", lambda i: F.sequence(F.greatest(i - (size - 1), F.lit(0)), F.least(i, n - 1)))))
+        at = F.when(n > 0, F.array_distinct(F.flatten(F.transform("_s", lambda i: F.sequence(F.greatest(i - (size - 1), F.lit(0)), F.least(i, n - 1))))))
         both = F.concat(_windows(size), F.transform("_at", lambda i: F.xxhash64(F.slice("_p", i + 1, size))))
         place = F.when(F.col("_j") < n, F.col("_j")).otherwise(F.get("_at", F.col("_j") - n))
         met = (
-            made.where(n > 0).select("*", at.alias("_at"))
+            made.select("*", at.alias("_at"))
             .select("doc_id", "_w", "_at", F.posexplode(both).alias("_j", "hash"))
             .join(book.where(F.col("size") == size), "hash")
             .where(F.col("exact") | (F.col("_j") < n))
