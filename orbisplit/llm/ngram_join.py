@@ -29,8 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from orbisplit.llm.common import bounded_batches, free_name, materialise
+from orbisplit.llm.common import bounded_batches, materialise
 from orbisplit.llm.components import components
 from orbisplit.llm.kernels import U, Words, chunks, mix, windows
 from orbisplit.llm.sketches import bloom, build, count_min_add, count_min_read, in_bloom, share
@@ -287,29 +288,49 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = S
     )
 
 
-def first_of_groups(docs: DataFrame, key: str = "doc_id", **more: object) -> DataFrame:
-    """The row with the smallest key of each component, with all its columns; of repeated rows one. Rows without a key stay."""
-    found = materialise(join(docs, key=key, **more).select(F.col(key).alias("_id"), F.col("component_id").alias("_c")), "join-groups")
-    first = found.where("_id = _c").select("_id")
-    gone = materialise(found.where("_id <> _c").select("_id").distinct(), "join-gone")
-    words = bloom(gone)
-    place, schema = docs.columns.index(key), docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).schema
+def first_of_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """One row of each component, with all its columns: that of the smallest key, and of several texts under it that of the
+    smallest class. Rows are judged by key and text, so other texts under a key that goes stay. Of rows alike in key and set
+    the first by their columns stays; rows without a key stay."""
+    bounded_batches(docs.sparkSession)
+    narrow = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    base, classes = classes_and_labels(narrow, size, percent)
+    best = classes.where("rep is not null").groupBy("label").agg(F.min(F.struct("rep", "set")).alias("best"))
+    best = classes.join(best, "label").select("set", "best")
+    rows = base.where("doc_id is not null").groupBy("doc_id", "set").agg(F.count(F.lit(1)).alias("n")).join(best, "set", "left")
+    stays = F.col("set").isNull() | ((F.col("doc_id") == F.col("best.rep")) & (F.col("set") == F.col("best.set")))
+    rows = rows.select(F.col("doc_id").alias("_id"), F.coalesce("set", F.lit(0)).alias("_of"), "n", stays.alias("_stays"))
+    # Every other row is the only one of its key and set, and stays.
+    judged = materialise(rows.where("n > 1 or not _stays").drop("n"), "join-judged")
+    words = bloom(judged.select("_id"))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    renamed = docs.toDF(*names)
+    place, body = docs.columns.index(key), docs.columns.index(text)
 
     def among(wanted: bool) -> DataFrame:
-        """Rows whose key may be, or cannot be, one that goes: only the first are compared with the exact keys."""
+        """Rows whose key may be, or cannot be, a judged one: only the first leave their tasks, with the class of their set."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 ids = b.column(place).cast(pa.int64())
                 may = in_bloom(words.value, np.asarray(ids.fill_null(0)).view(U)) & ~np.asarray(ids.is_null())
-                yield b.filter(pa.array(may == wanted))
-
-        return docs.toDF(*schema.names).mapInArrow(run, schema).toDF(*docs.columns)
-
-    some = among(True)
-    kept = among(False).unionAll(some.join(gone, some[f"`{key}`"] == gone["_id"], "left_anti"))
-    if first.groupBy("_id").count().where("count > 1").isEmpty():
-        return kept
-    one = Window.partitionBy(F.col(f"`{key}`"), F.when(F.col(f"`{key}`").isNull(), F.monotonically_increasing_id())).orderBy(F.lit(0))
-    row = free_name(docs.columns, "_r")
-    return kept.withColumn(row, F.row_number().over(one)).where(F.col(row) == 1).drop(row)
+                part = b.filter(pa.array(may == wanted))
+                if not wanted:
+                    yield part
+                    continue
+                texts = part.column(body).cast(pa.string())
+                for i, j in chunks(texts):
+                    found = pa.array([_class(s) or 0 for s in _sets(texts.slice(i, j - i), size)], pa.int64())
+                    yield pa.RecordBatch.from_arrays([*part.slice(i, j - i).columns, found], [*names, "_set"])
+
+        more = [StructField("_set", LongType())] if wanted else []
+        return renamed.mapInArrow(run, StructType([*renamed.schema.fields, *more]))
+
+    met = among(True)
+    met = met.join(judged, (F.col(names[place]).cast("long") == F.col("_id")) & (F.col("_set") == F.col("_of")), "left")
+    kept = among(False).unionAll(met.where("_id is null").select(*names))
+    if not judged.where("_stays").isEmpty():
+        whole = F.struct(*names)
+        one = met.where("_stays").groupBy("_id", "_of").agg(F.min_by(whole, F.to_json(whole)).alias("_row"))
+        kept = kept.unionAll(one.select("_row.*"))
+    return kept.toDF(*docs.columns)

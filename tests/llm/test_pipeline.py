@@ -63,3 +63,20 @@ def test_one_of_each_group_stays(spark):
     rows = [(2, text), (1, text.upper()), (3, text + " x"), (4, "other words here"), (4, "other words here"), (None, text), (None, "n"), (5, None)]
     kept = ngram_join.first_of_groups(spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, _r int"))
     assert sorted(names(kept), key=str) == sorted([(1, text.upper(), 0), (4, "other words here", 0), (None, text, 0), (None, "n", 0), (5, None, 0)], key=str)
+
+
+def test_other_texts_under_a_key_that_goes_stay(spark):
+    t, u, y, z = (" ".join(f"{c}{i}" for i in range(40)) for c in "tuyz")
+    rows = [(1, t, 1), (5, t, 2), (5, u, 3), (6, z, 4), (6, y, 5), (7, y + " end", 6), (6, z, 3), (8, u + " more", 0), (8, u + " else", 1)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, _set int")
+    for parts in (1, 5):
+        kept = ngram_join.first_of_groups(df.repartition(parts))
+        assert kept.schema == df.schema
+        assert sorted(names(kept)) == [(1, t, 1), (5, u, 3), (6, y, 5), (6, z, 3)]
+
+
+def test_two_near_texts_under_one_key_leave_one(spark):
+    a = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(3, a), (3, a + " end"), (9, a + " tail")], "doc_id long, text string")
+    kept = ngram_join.first_of_groups(df).collect()
+    assert len(kept) == 1 and kept[0].doc_id == 3
