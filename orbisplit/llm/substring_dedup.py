@@ -1,16 +1,19 @@
 """Exact removal of word windows that start in an earlier document, behind a count-min prefilter.
 
-1. Prefilter. A window of 13 words is addressed by its anchor: the smallest hash among its runs of 8 words. Equal windows
-   have equal anchors, so the number of different texts with an anchor is never below that of any of its windows. Each
-   task folds its anchors into a partition sketch: a sparse count-min row, cut into shards. Merged shards name the cells
-   that two texts or more fall into, and give them back to the texts they came from.
-2. Exact pass. Only windows under such a cell go on, each with the number of its document; the smallest is found per
+1. Prefilter. A window of 13 words is counted under its anchor: the smallest hash among its runs of 8 words. Equal windows
+   have equal anchors, so the number of texts with an anchor is never below that of any of its windows. A task adds the
+   anchors of its texts, each once a text, to its partition sketch: two rows of counters, sent sparse (index, count up to
+   two). Sketches are merged by shard, a shard being two rows of ``CELLS`` counters whatever the data; there are as many shards as the
+   counted windows ask for, since a sketch that fits every task would be full at some size of corpus and let all through. So
+   texts ask the shards: the smaller of an anchor's two counters is its estimate, and a text hears of its anchors with an estimate of
+   two or more. A shard reads its sketches first, then answers in a stream, and holds its counters alone.
+2. Exact pass. Only windows under such an anchor go on, each with the number of its document; the smallest is found per
    96-bit window hash, and later documents learn which of their windows to drop. None that repeats is lost: an
    estimate may be too high, never too low.
 
-Equal texts are one class throughout and take part as their smallest doc_id alone. Tasks settle what they can see: of a cell
-or window that many of a task's texts hold, one entry is sent. So a passage that a third of all documents share sends as
-many entries as there are tasks, and a shard holds its share of cells and no hot group.
+Equal texts are one class throughout and take part as their smallest doc_id alone: the others are left out by an exact join behind a
+Bloom filter, so that only they are shuffled. Tasks settle what they can see: of an anchor or window that many of a task's texts
+hold, one entry is sent. So a passage that a third of all documents share sends as many entries as there are tasks.
 
 Defined cases: a null or blank text has no words (the digest of kept words is that of the empty string); texts below the
 window size are kept whole; a null doc_id is neither earlier nor later than any other; repeated rows of one doc_id keep
@@ -36,6 +39,8 @@ from orbisplit.llm.sketches import bloom, in_bloom
 WINDOW, ANCHOR = 13, 8
 #: Entries that a task gathers before it settles and sends them.
 FLUSH = 1_500_000
+#: Counters of a shard in each of the two rows of the sketch, and counters for each anchor that is expected.
+CELLS, SPARE = 1 << 21, 4
 
 
 def classes(w: Words, hashes: np.ndarray) -> np.ndarray:
@@ -75,10 +80,16 @@ class _Text:
 
 
 def _cell(anchor: np.ndarray, shards: int) -> np.ndarray:
-    """Shard and cell in one number: shard << 32 | cell."""
+    """Shard and place in one number: shard << 32 | place."""
     return ((anchor & U(0xFFFFFFFF)) % U(shards)) << U(32) | anchor >> U(32)
 
 
+def _counters(place: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """A place's two counters: one in each row, as numbers below 2 * width."""
+    place = place.astype(U) & U(0xFFFFFFFF)
+    return place & U(width - 1), U(width) + (mix(place) >> U(20) & U(width - 1))
+
+
 def _group_starts(*keys: np.ndarray) -> np.ndarray:
     """Of sorted keys, true where a group starts."""
     out = np.zeros(len(keys[0]), bool)
@@ -89,8 +100,9 @@ def _group_starts(*keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def _shards(df: DataFrame) -> int:
-    return max(64, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def _shards(n_windows: int) -> int:
+    """About one anchor in three windows; a shard has counters for so many."""
+    return max(64, -(-n_windows * SPARE // (3 * CELLS)))
 
 
 def base_table(docs: DataFrame) -> DataFrame:
@@ -112,12 +124,12 @@ def base_table(docs: DataFrame) -> DataFrame:
 _PAIR = pa.schema([("class", pa.int64()), ("key", pa.int64())])
 
 
-def _pairs(classes_: np.ndarray, keys: np.ndarray) -> pa.Table:
-    return pa.table([pa.array(classes_.view(np.int64)), pa.array(keys.view(np.int64))], _PAIR)
+def _pairs(classes_: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(classes_.view(np.int64)), pa.array(keys.view(np.int64))], schema=_PAIR)
 
 
 def _flushed(
-    batches: Iterator[pa.RecordBatch], read: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, ...]]], settle: Callable[..., Iterator[pa.RecordBatch]]
+    batches: Iterator[pa.RecordBatch], read: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, ...]]], settle: Callable[..., Iterator[pa.RecordBatch]], flush: int
 ) -> Iterator[pa.RecordBatch]:
     held: list[tuple[np.ndarray, ...]] = []
     size = 0
@@ -125,75 +137,105 @@ def _flushed(
         for columns in read(b):
             held.append(columns)
             size += len(columns[0])
-            if size >= FLUSH:
+            if size >= flush:
                 yield from settle(*(np.concatenate(c) for c in zip(*held, strict=True)))
                 held, size = [], 0
     if size:
         yield from settle(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
 
-_SENT = "shard int, a binary, b binary, c binary, d binary"
+_SENT = "shard int, kind int, a binary, b binary, c binary, d binary"
 
 
-def _sent(shard: int, *columns: np.ndarray) -> pa.RecordBatch:
+def _sent(shard: int, kind: int, *columns: np.ndarray) -> pa.RecordBatch:
     four = [*(c.tobytes() for c in columns), *[b""] * (4 - len(columns))]
-    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *(pa.array([c], pa.binary()) for c in four)], ["shard", *"abcd"])
+    return pa.RecordBatch.from_arrays([pa.array([x], pa.int32()) for x in (shard, kind)] + [pa.array([c], pa.binary()) for c in four], ["shard", "kind", *"abcd"])
+
+
+def partition_sketch(cells: np.ndarray, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, counters that one text raises, counters that more do) of the cells of some texts, each once a text."""
+    at = np.concatenate([cells >> U(32) << U(32) | c for c in _counters(cells, width)])
+    at, n = np.unique(at, return_counts=True)
+    shard = (at >> U(32)).astype(np.int64)
+    at = at.astype(np.uint32)
+    starts = np.flatnonzero(_group_starts(shard))
+    for a, b in zip(starts, [*starts[1:], len(at)], strict=True):
+        yield int(shard[a]), at[a:b][n[a:b] == 1], at[a:b][n[a:b] > 1]
+
+
+def merge_sketch(counters: np.ndarray, once: np.ndarray, more: np.ndarray) -> None:
+    """Add a partition sketch to the counters of its shard; two stands for two or more."""
+    counters[once] = np.minimum(counters[once] + 1, 2)
+    counters[more] = 2
+
 
+def estimates(counters: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The smaller of two counters: never below the number of texts, up to two."""
+    a, b = _counters(places, len(counters) // 2)
+    return np.minimum(counters[a], counters[b])
 
-def repeated_cells(docs: DataFrame) -> DataFrame:
-    """(class, key): cells that two different texts or more fall into, given to each of those texts."""
-    shards = _shards(docs)
+
+def repeated_cells(texts: DataFrame, shards: int, width: int = CELLS, flush: int = FLUSH) -> DataFrame:
+    """(class, key): cells with an estimate of two texts or more, given to each of their texts. texts: class, doc_id, text."""
 
     def read(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
-        for i, j in chunks(b.column(1)):
-            t = _Text(b.column(1).slice(i, j - i))
+        for i, j in chunks(b.column(2)):
+            t = _Text(b.column(2).slice(i, j - i))
             yield _distinct(_cell(t.anchor, shards), t.classes[t.owner])
 
     def settle(cell: np.ndarray, cls: np.ndarray) -> Iterator[pa.RecordBatch]:
         cell, cls = _distinct(cell, cls)
-        first = _group_starts(cell)
-        group = np.cumsum(first) - 1
-        many = np.bincount(group)[group] > 1
-        if many.any():  # settled here; the others need to hear of the cell alone
-            yield from _settled(cls[many], cell[many], shards)
-        one, some = ~many, many & first
-        for kind, pick in ((0, one), (1, some)):
-            c, k = cell[pick], cls[pick]
-            cut = np.searchsorted(c >> U(32), np.arange(shards + 1).astype(U))
-            for s in np.flatnonzero(np.diff(cut)):
-                at = slice(cut[s], cut[s + 1])
-                low = (c[at] & U(0xFFFFFFFF)).astype(np.uint32)
-                yield _sent(int(s), low, k[at], low[:0]) if kind == 0 else _sent(int(s), low[:0], k[:0], low)
-
-    def merge(t: pa.Table) -> pa.Table:
-        shard = t.column("shard")[0].as_py()
-        cell, cls, many = (
-            np.concatenate([np.frombuffer(x, kind) for x in t.column(c).to_pylist()]) for c, kind in (("a", np.uint32), ("b", U), ("c", np.uint32))
-        )
-        cell, cls = _distinct(cell.astype(U), cls)
+        for shard, once, more in partition_sketch(cell, width):
+            yield _sent(shard, 0, once, more)
         group = np.cumsum(_group_starts(cell)) - 1
-        hot = np.isin(cell, many.astype(U))
-        if len(cell):
-            hot |= np.bincount(group)[group] > 1
-        return _pairs(cls[hot], cell[hot] | U(shard << 32))
-
-    return _merged(docs.mapInArrow(lambda it: _flushed(it, read, settle), _SENT), merge)
+        many = np.bincount(group)[group] > 1 if len(cell) else np.zeros(0, bool)
+        if many.any():  # two texts of this task: no need to ask
+            yield from _settled(cls[many], cell[many], shards)
+        cell, cls = cell[~many], cls[~many]
+        cut = np.searchsorted(cell >> U(32), np.arange(shards + 1).astype(U))
+        for s in np.flatnonzero(np.diff(cut)):
+            at = slice(cut[s], cut[s + 1])
+            yield _sent(int(s), 1, cell[at].astype(np.uint32), cls[at])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, counters = None, np.zeros(2 * width, np.uint8)
+        for s, kind, a, b in _rows(batches):
+            if s < 0:
+                yield _pairs(np.frombuffer(a, U), np.frombuffer(b, U))
+                continue
+            if s != shard:
+                shard = s
+                counters[:] = 0
+            place = np.frombuffer(a, np.uint32)
+            if kind == 0:
+                merge_sketch(counters, place, np.frombuffer(b, np.uint32))
+            else:
+                hot = estimates(counters, place) > 1
+                yield _pairs(np.frombuffer(b, U)[hot], place[hot].astype(U) | U(s << 32))
+
+    sent = texts.mapInArrow(lambda it: _flushed(it, read, settle, flush), _SENT).drop("c", "d")
+    return sent.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(answer, "class long, key long")
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for b in batches:
+        yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
 
 
 def _settled(cls: np.ndarray, key: np.ndarray, shards: int) -> Iterator[pa.RecordBatch]:
     """What a task has settled, in pieces dealt out under negative numbers: it passes through the same shuffle."""
     for i in range(0, len(cls), 50_000):
-        yield _sent(-1 - int(mix(cls[i : i + 1] + U(i))[0] % U(shards)), cls[i : i + 50_000], key[i : i + 50_000])
+        yield _sent(-1 - int(mix(cls[i : i + 1] + U(i))[0] % U(shards)), 0, cls[i : i + 50_000], key[i : i + 50_000])
 
 
-def _merged(sent: DataFrame, merge: Callable[[pa.Table], pa.Table]) -> DataFrame:
+def _merged(sent: DataFrame, merge: Callable[[pa.Table], pa.RecordBatch]) -> DataFrame:
     """(class, key): shards merged, settled pieces as they are."""
 
     def run(t: pa.Table) -> pa.Table:
         if t.column("shard")[0].as_py() >= 0:
-            return merge(t)
+            return pa.Table.from_batches([merge(t)])
         cls, key = (np.concatenate([np.frombuffer(x, U) for x in t.column(c).to_pylist()]) for c in "ab")
-        return _pairs(cls, key)
+        return pa.Table.from_batches([_pairs(cls, key)])
 
     return sent.groupBy("shard").applyInArrow(run, "class long, key long")
 
@@ -206,9 +248,8 @@ def _distinct(*keys: np.ndarray) -> tuple[np.ndarray, ...]:
     return tuple(k[first] for k in keys)
 
 
-def repeated_windows(hot: DataFrame) -> DataFrame:
+def repeated_windows(hot: DataFrame, shards: int, flush: int = FLUSH) -> DataFrame:
     """(class, key): 64-bit hashes of the windows that a smaller doc_id holds too. hot: class, doc_id, text, cells."""
-    shards = _shards(hot)
 
     def read(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
         for i, j in chunks(b.column("text")):
@@ -239,9 +280,9 @@ def repeated_windows(hot: DataFrame) -> DataFrame:
         cut = np.searchsorted(shard[order], np.arange(shards + 1))
         for s in np.flatnonzero(np.diff(cut)):
             at = order[cut[s] : cut[s + 1]]
-            yield _sent(int(s), w1[at], w2[at], doc[at], cls[at])
+            yield _sent(int(s), 0, w1[at], w2[at], doc[at], cls[at])
 
-    def merge(t: pa.Table) -> pa.Table:
+    def merge(t: pa.Table) -> pa.RecordBatch:
         w1, w2, doc, cls = (
             np.concatenate([np.frombuffer(x, kind) for x in t.column(c).to_pylist()]) for c, kind in zip("abcd", (U, np.uint32, np.int64, U), strict=True)
         )
@@ -249,7 +290,7 @@ def repeated_windows(hot: DataFrame) -> DataFrame:
         drop = later(w1, w2, doc)
         return _pairs(cls[drop], w1[drop])
 
-    return _merged(hot.mapInArrow(lambda it: _flushed(it, read, settle), _SENT), merge)
+    return _merged(hot.mapInArrow(lambda it: _flushed(it, read, settle, flush), _SENT), merge)
 
 
 def cut_texts(hot: DataFrame, dropped: DataFrame) -> DataFrame:
@@ -277,36 +318,65 @@ def cut_texts(hot: DataFrame, dropped: DataFrame) -> DataFrame:
     return hot.select("class", "text").join(grouped, "class").mapInArrow(run, "class long, n_removed long, kept_sha256 string, kept string")
 
 
-def _of_classes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(class, doc_id, text) of documents whose class passes a Bloom filter of the wanted classes."""
+def _key(cls: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    return mix(cls.view(U) + mix(doc.view(U)))
+
+
+def _copy_keys(copies: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_key(np.asarray(b.column(0)), np.asarray(b.column(1))).view(np.int64))], ["key"])
+
+    return copies.select("class", "doc_id").mapInArrow(run, "key long")
+
+
+def one_of_each(docs: DataFrame, copies: DataFrame) -> DataFrame:
+    """(class, doc_id, text) of documents that are no later copy of a text. copies: class, doc_id of those that are. What a Bloom filter
+    of them rules out stays where it is; the others are compared with the copies themselves."""
+    words = bloom(_copy_keys(copies))
+
+    def among(wanted: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for i, j in chunks(b.column(1)):
+                    w = Words(b.column(1).slice(i, j - i))
+                    cls = classes(w, w.hashes())
+                    part = pa.RecordBatch.from_arrays([pa.array(cls.view(np.int64)), *b.slice(i, j - i).columns], ["class", "doc_id", "text"])
+                    may = in_bloom(words.value, _key(cls, np.asarray(part.column(1))))
+                    yield part.filter(pa.array((may == wanted) & (np.diff(w.bounds) >= WINDOW)))
+
+        return docs.mapInArrow(run, "class long, doc_id long, text string")
+
+    return among(False).unionAll(among(True).join(copies, ["class", "doc_id"], "left_anti"))
+
+
+def _of_classes(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Texts whose class passes a Bloom filter of the wanted classes."""
     words = bloom(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j in chunks(b.column(1)):
-                part = b.slice(i, j - i)
-                w = Words(part.column(1))
-                cls = classes(w, w.hashes())
-                found = pa.RecordBatch.from_arrays([pa.array(cls.view(np.int64)), part.column(0), part.column(1)], ["class", "doc_id", "text"])
-                yield found.filter(pa.array(in_bloom(words.value, cls)))
+            yield b.filter(pa.array(in_bloom(words.value, np.asarray(b.column(0)).view(U))))
 
-    return docs.mapInArrow(run, "class long, doc_id long, text string")
+    return texts.mapInArrow(run, texts.schema)
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
-    """key, n_words, n_removed, kept_sha256 of every row; with_text adds ``kept``, null where nothing was removed."""
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = False, width: int = CELLS, flush: int = FLUSH) -> DataFrame:
+    """key, n_words, n_removed, kept_sha256 of every row; with_text adds ``kept``, null where nothing was removed. width: counters of a shard in a row."""
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     base = materialise(base_table(docs), "dedup-base")
-    first = base.groupBy("class").agg(F.min("doc_id").alias("first_id"))
-    cells = repeated_cells(docs.where("doc_id is not null")).groupBy("class").agg(F.collect_set("key").alias("cells"))
-    cells = materialise(cells.join(first, "class"), "dedup-hot")
-    hot = _of_classes(docs, cells.select("class")).join(cells, "class").where("doc_id = first_id")
-    hot = materialise(hot.select("class", "doc_id", "text", "cells"), "dedup-texts")
-    cut = cut_texts(hot, repeated_windows(hot))
+    first = base.groupBy("class").agg(F.min("doc_id").alias("first_id"), F.count("doc_id").alias("n"))
+    shards = _shards(base.agg(F.sum(F.greatest(F.col("n_words") - (WINDOW - 1), F.lit(0)))).first()[0] or 0)
+    copies = base.join(first.where("n > 1"), "class").where((F.col("doc_id") > F.col("first_id")) & (F.col("n_words") >= WINDOW))
+    copies = materialise(copies.select("class", "doc_id").distinct(), "dedup-copies")
+    texts = one_of_each(docs.where("doc_id is not null"), copies)
+    cells = materialise(repeated_cells(texts, shards, width, flush).groupBy("class").agg(F.collect_set("key").alias("cells")), "dedup-hot")
+    hot = materialise(_of_classes(texts, cells.select("class")).join(cells, "class"), "dedup-texts")
+    cut = cut_texts(hot, repeated_windows(hot, shards, flush))
     columns = ["n_removed", "kept_sha256"] + ["kept"] * with_text
     cut = cut.groupBy("class").agg(*[F.first(c).alias(f"_{c}") for c in columns])  # repeated rows are alike
-    whole = base.join(first.join(cut, "class", "left"), "class")
+    whole = base.join(first.drop("n").join(cut, "class", "left"), "class")
     copy = (F.col("doc_id") > F.col("first_id")) & (F.col("n_words") >= WINDOW)
     own = F.col("doc_id").isNotNull()
     out = [

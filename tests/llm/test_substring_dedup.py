@@ -57,9 +57,27 @@ def test_equals_brute_force(spark, seed):
     check(spark, fixture(seed))
 
 
-def test_small_flushes_and_chunks_change_nothing(spark, monkeypatch):
-    monkeypatch.setattr(d, "FLUSH", 50)
-    check(spark, fixture(3))
+def test_small_flushes_change_nothing(spark):
+    check(spark, fixture(3), flush=50)
+
+
+def test_tiny_sketch_changes_nothing(spark):
+    """With few counters all estimates are too high: more is looked at, the result is the same."""
+    check(spark, fixture(4), width=16)
+
+
+def test_estimates_are_never_too_low():
+    r = np.random.default_rng(6)
+    for cells in (64, 1 << 12):
+        parts = [np.unique(r.integers(0, 3000, 700).astype(np.uint64)) for _ in range(6)]
+        truth = np.bincount(np.concatenate(parts).astype(int), minlength=3000)
+        counters = np.zeros(2 * cells, np.uint8)
+        for shard, once, more in (x for p in parts for x in d.partition_sketch(p, cells)):
+            assert shard == 0
+            d.merge_sketch(counters, once, more)
+        assert (d.estimates(counters, np.arange(3000).astype(np.uint64)) >= np.minimum(truth, 2)).all()
+    high = np.mean(d.estimates(counters, np.arange(3000).astype(np.uint64))[truth < 2] > 1)
+    assert high < 0.5
 
 
 def test_empty_table_and_kept_text(spark):
