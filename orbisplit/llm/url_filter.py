@@ -1,17 +1,22 @@
 """URL filters: rules first, then a path-template tree per host that judges what no rule names.
 
 Paths become templates: segments that look like numbers or hashes turn into typed wildcards, and a node with many
-children of few urls each gets one wildcard child. Sibling branches whose share of bad urls does not differ
-statistically from that of all siblings are merged, and a branch is rejected if its smoothed purity of bad urls
-reaches a threshold. The urls that a rule blocks are the labelled bad ones, those it allows the good ones; an
-unlabelled url counts as not known to be bad.
+children of few urls each gets one wildcard child. The tree grows from branching to branching until a template has fewer than ``support`` urls
+in all; what is below is one tail, ``**``. No depth is fixed.
+
+Labels are what the rules say: urls they block are bad, urls they allow are good, all others are unlabelled and count as neither. The
+purity of a template is bad / (bad + good) over its labelled urls, smoothed towards that of its parent template over all
+hosts, and so on up to a fixed ``prior``: a template that no label tells anything of is presumed good. Within a host, sibling
+branches are merged unless a two-sample test of their labelled shares tells them apart. A branch is rejected if its purity,
+smoothed towards its templates' purity over all hosts, reaches a threshold. So what rules say of some hosts decides urls of
+like paths on hosts and branches that no rule names.
 
 Every step is a grouped sum over (host, template) rows that are combined before they are shuffled, so a host with
 a third of all urls costs as many rows as it has templates; nothing is gathered per host.
 
-Defined cases: a null url, or one without ``://``, has an empty host and path and fits no rule (verdict ``allow``
-unless the tree says otherwise); repeated rows are judged each and counted each; an empty table gives an empty one;
-rules of one length are told apart by their host's length, then by their text; further columns are ignored.
+Defined cases: a null url, or one without ``://``, has an empty host and path, fits no rule, and is judged as the empty template of
+the empty host; paths of any length are read whole; repeated rows are judged each and counted each; an empty table gives an
+empty one; rules of one length are told apart by their host's length, then by their text; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,17 +45,17 @@ class Rule:
 
 @dataclass(frozen=True)
 class Settings:
-    """depth: segments told apart, what is deeper is one tail; wide: children beyond which a node may be a wildcard,
-    if its urls are at most ``per_child`` times the children; z: standard errors within which branches are alike;
-    support: urls below which a branch is never told apart; weight: pseudo-urls of the host's share; reject: purity."""
+    """wide: children beyond which a node may be a wildcard, if its urls are at most ``per_child`` times the children; support:
+    urls below which a template has no branches, and labelled urls below which siblings are not told apart; z: standard
+    errors within which siblings are alike; weight: pseudo-urls of what purity is smoothed to; prior, reject: purity."""
 
-    depth: int = 5
     wide: int = 50
     per_child: int = 3
-    z: float = 2.0
     support: int = 5
+    z: float = 2.0
     weight: float = 2.0
-    reject: float = 0.5
+    prior: float = 0.2
+    reject: float = 0.7
 
 
 #: The rules of the production query.
@@ -113,69 +118,90 @@ def segment_kind(segment: Column) -> Column:
     )
 
 
-def with_shape(urls: DataFrame, settings: Settings) -> DataFrame:
-    """Add ``shape``: the typed segments, the tail beyond the depth as one ``**``."""
-    parts = F.filter(F.split("path", "/"), lambda s: s != "")
-    typed = F.transform(F.slice(F.col("_seg"), 1, settings.depth), segment_kind)
-    tail = F.when(F.size("_seg") > settings.depth, F.array(F.lit("**"))).otherwise(F.array().cast("array<string>"))
-    return urls.withColumn("_seg", parts).withColumn("shape", F.concat(typed, tail)).drop("_seg")
+def with_shape(urls: DataFrame) -> DataFrame:
+    """Add ``shape``: the typed segments of the whole path."""
+    return urls.withColumn("shape", F.transform(F.filter(F.split("path", "/"), lambda s: s != ""), segment_kind))
 
 
-def branches(urls: DataFrame, settings: Settings) -> DataFrame:
-    """(host, shape, template, branch, n, n_bad, bad_share, rejected): the judged tree, one row per host and shape.
-
-    urls: rows of host, shape, ruled."""
-    total = lambda c: F.sum(c).cast("long")
+def templates(urls: DataFrame, settings: Settings) -> DataFrame:
+    """(host, shape, n, bad, good, steps): the tree, a row per host and shape; steps are what a template is made of. urls: rows of host,
+    shape, label. What all urls of a template have in common further on is one step, so levels are as many as there are branchings."""
     tree = urls.groupBy("host", "shape").agg(
-        F.count(F.lit(1)).alias("n"), total(F.when(F.col("ruled") == "block", 1).otherwise(0)).alias("n_bad")
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == "block").alias("bad"), F.count_if(F.col("label") == "allow").alias("good")
     )
-    tree = materialise(tree.withColumn("template", F.lit("")), "url-tree")
-    deepest = tree.agg(F.max(F.size("shape"))).first()[0] or 0
-    for level in range(deepest):
-        tree = tree.withColumn("_s", F.get("shape", F.lit(level)))
-        fan = (
-            tree.where(F.col("_s").isNotNull())
-            .groupBy("host", "template", "_s").agg(F.sum("n").alias("n"))
-            .groupBy("host", "template").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"))
+    # at: segments that the steps have used up, -1 where there are no more steps.
+    at = F.when(F.size("shape") == 0, F.lit(-1)).otherwise(F.lit(0))
+    tree = materialise(tree.select("*", F.array().cast("array<string>").alias("steps"), at.alias("at")), "url-tree")
+    while not tree.where("at >= 0").isEmpty():
+        growing = tree.where("at >= 0").withColumn("_s", F.get("shape", F.col("at")))
+        fan = growing.groupBy("host", "steps", "_s").agg(F.sum("n").alias("n")).groupBy("host", "steps").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"))
+        wild = fan.where((F.col("c") > settings.wide) & (F.col("n") <= settings.per_child * F.col("c"))).select("host", "steps", F.lit(True).alias("_wild"))
+        whole = growing.groupBy("steps").agg(F.sum("n").alias("a"), F.min("shape").alias("x"), F.max("shape").alias("y"))
+        # The first and the last of some arrays have in common what all have.
+        differ = F.array_position(F.zip_with("x", "y", lambda x, y: x.eqNullSafe(y)), False)
+        common = F.when(differ == 0, F.size("x")).otherwise(differ - 1).cast("int")
+        whole = whole.select("steps", (F.col("a") < settings.support).alias("_few"), common.alias("_common"))
+        shared = F.col("_common") > F.col("at")
+        end = F.when(F.col("_few"), F.size("shape")).when(shared, F.col("_common")).otherwise(F.col("at") + 1)
+        run = F.array_join(F.slice("shape", F.col("at") + 1, F.greatest(F.col("_common") - F.col("at"), F.lit(1))), "/")
+        step = F.when(F.col("_few"), F.lit("**")).when(shared, run).otherwise(F.when(F.col("_wild"), F.lit("*")).otherwise(F.col("_s")))
+        grown = growing.join(wild, ["host", "steps"], "left").join(whole, "steps").select(
+            "host", "shape", "n", "bad", "good", F.concat("steps", F.array(F.concat(F.lit("/"), step))).alias("steps"),
+            F.when(end < F.size("shape"), end).otherwise(F.lit(-1)).alias("at"),
         )
-        wild = fan.where((F.col("c") > settings.wide) & (F.col("n") <= settings.per_child * F.col("c"))).select(
-            "host", "template", F.lit(True).alias("_wild")
-        )
-        step = F.when(F.col("_wild"), F.lit("*")).otherwise(F.col("_s"))
-        # Written at each level: the next one reads the tree twice, and the plan must not double.
-        tree = materialise(
-            tree.join(wild, ["host", "template"], "left")
-            .withColumn("template", F.when(F.col("_s").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), step)))
-            .drop("_s", "_wild"),
-            "url-tree",
-        )
-    node = materialise(tree.groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("n_bad").alias("n_bad")), "url-nodes")
-    node = node.withColumn("parent", F.regexp_replace("template", "/[^/]*$", ""))
-    pool = node.groupBy("host", "parent").agg(F.sum("n").alias("p_n"), F.sum("n_bad").alias("p_bad"))
-    hosts = node.groupBy("host").agg(F.sum("n").alias("h_n"), F.sum("n_bad").alias("h_bad"))
-    p = F.col("p_bad") / F.col("p_n")
-    near = F.abs(F.col("n_bad") / F.col("n") - p) <= settings.z * F.sqrt(p * (1 - p) / F.col("n"))
-    node = node.join(pool, ["host", "parent"]).withColumn(
-        "branch", F.when(near | (F.col("n") < settings.support), F.concat("parent", F.lit("/~"))).otherwise(F.col("template"))
+        # Written at each level: the next one reads the tree more than once, and the plan must not double.
+        tree = materialise(tree.where("at < 0").unionByName(grown), "url-tree")
+    return tree.drop("at")
+
+
+def purities(tree: DataFrame, settings: Settings) -> DataFrame:
+    """(steps, purity) over all hosts: that of each step on the way from the root, smoothed to the step before."""
+    own = tree.groupBy("steps").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    ways = own.where(F.size("steps") > 0).select("*", F.explode(F.sequence(F.lit(1), F.size("steps"))).alias("k"))
+    ways = ways.select("steps", "bad", "good", "k", F.slice("steps", 1, F.col("k")).alias("node"))
+    sums = ways.groupBy("node").agg(F.sum("bad").alias("b"), F.sum("good").alias("g"))
+    way = ways.select("steps", "k", "node").join(sums, "node").groupBy("steps").agg(F.array_sort(F.collect_list(F.struct("k", "b", "g"))).alias("way"))
+    w = settings.weight
+    smoothed = F.aggregate("way", F.lit(settings.prior), lambda p, x: (x["b"] + w * p) / (x["b"] + x["g"] + w))
+    return own.select("steps").join(way, "steps", "left").select("steps", F.coalesce(smoothed, F.lit(settings.prior)).alias("purity"))
+
+
+def branches(urls: DataFrame, settings: Settings) -> DataFrame:
+    """(host, shape, template, branch, bad_share, rejected): the judged tree, a row per host and shape."""
+    tree = templates(urls, settings)
+    sums = [F.sum(c).alias(c) for c in ("n", "bad", "good")]
+    node = materialise(tree.groupBy("host", "steps").agg(*sums).join(purities(tree, settings), "steps"), "url-nodes")
+    parent = F.array_join(F.slice("steps", 1, F.greatest(F.size("steps") - 1, F.lit(0))), "")
+    node = node.select("*", F.array_join("steps", "").alias("template"), parent.alias("parent"), (F.col("bad") + F.col("good")).alias("known"))
+    pool = node.groupBy("host", "parent").agg(F.sum("bad").alias("p_bad"), F.sum("known").alias("p_known"))
+    others, others_bad = F.col("p_known") - F.col("known"), F.col("p_bad") - F.col("bad")
+    p, own, theirs = F.try_divide(F.col("p_bad"), F.col("p_known")), F.try_divide(F.col("bad"), F.col("known")), F.try_divide(others_bad, others)
+    error = F.sqrt(p * (1 - p) * (F.try_divide(F.lit(1), F.col("known")) + F.try_divide(F.lit(1), others)))
+    apart = (F.col("known") >= settings.support) & (others >= settings.support) & (F.abs(own - theirs) > settings.z * error)
+    node = node.join(pool, ["host", "parent"]).withColumn("branch", F.when(apart, F.col("template")).otherwise(F.concat("parent", F.lit("/~"))))
+    merged = node.groupBy("host", "branch").agg(
+        F.sum("bad").alias("b"), F.sum("known").alias("k"), (F.sum(F.col("n") * F.col("purity")) / F.sum("n")).alias("prior")
     )
-    merged = node.groupBy("host", "branch").agg(F.sum("n").alias("b_n"), F.sum("n_bad").alias("b_bad"))
-    share = (F.col("b_bad") + settings.weight * (F.col("h_bad") / (F.col("h_n") + settings.weight))) / (F.col("b_n") + settings.weight)
-    judged = merged.join(hosts, "host").select("host", "branch", F.round(share, 6).alias("bad_share"))
-    judged = judged.withColumn("rejected", F.col("bad_share") >= settings.reject)
+    share = (F.col("b") + settings.weight * F.col("prior")) / (F.col("k") + settings.weight)
+    judged = merged.select("host", "branch", F.round(share, 6).alias("bad_share"))
     return (
-        tree.select("host", "shape", "template")
-        .join(node.select("host", "template", "branch"), ["host", "template"])
+        tree.select("host", "shape", "steps")
+        .join(node.select("host", "steps", "template", "branch"), ["host", "steps"])
         .join(judged, ["host", "branch"])
-        .select("host", "shape", "template", "branch", "bad_share", "rejected")
+        .select("host", "shape", "template", "branch", "bad_share", (F.col("bad_share") >= settings.reject).alias("rejected"))
     )
 
 
-def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, settings: Settings = Settings(), key: str = "page_id", url: str = "url") -> DataFrame:
-    """key, host, path, rule, verdict, template, branch, bad_share of every url."""
-    urls = with_rule(with_parts(pages.select(F.col(f"`{key}`").alias("_k"), F.col(f"`{url}`").alias("_u")), "_u"), rules, "_k")
-    urls = with_shape(urls, settings)
-    tree = branches(urls.select("host", "shape", "ruled"), settings)
+def judge(
+    pages: DataFrame, rules: Sequence[Rule] = RULES, settings: Settings = Settings(), key: str = "page_id", url: str = "url", learn: Column | None = None
+) -> DataFrame:
+    """key, host, path, rule, verdict, template, branch, bad_share, rejected (by the tree) of every url. learn: a condition on host and
+    path that says whose labels the tree is given; of all urls, if there is none."""
+    urls = with_rule(with_parts(pages.select(F.col(f"`{key}`").alias("_k"), F.col(f"`{url}`").cast("string").alias("_u")), "_u"), rules, "_k")
+    urls = with_shape(urls)
+    label = F.col("ruled") if learn is None else F.when(learn, F.col("ruled"))
+    tree = branches(urls.select("host", "shape", label.alias("label")), settings)
     verdict = F.coalesce("ruled", F.when(F.col("rejected"), F.lit("block")).otherwise(F.lit("allow")))
     return urls.join(tree, ["host", "shape"]).select(
-        F.col("_k").alias(key), "host", "path", "rule", verdict.alias("verdict"), "template", "branch", "bad_share"
+        F.col("_k").alias(key), "host", "path", "rule", verdict.alias("verdict"), "template", "branch", "bad_share", "rejected"
     )

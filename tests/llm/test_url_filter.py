@@ -31,49 +31,75 @@ def kind(s):
     return re.sub("[0-9]+", "<num>", s) if re.fullmatch("[^0-9]*[0-9]+[^0-9]*", s) else s
 
 
+class Node:
+    """A node of the tree over all hosts, or of one host."""
+
+    def __init__(self):
+        self.bad = self.good = 0
+
+
 def brute(urls, rules=u.RULES, x=u.Settings()):
-    """Per url: host, path, rule, verdict, template."""
-    rows, shapes = [], defaultdict(lambda: [0, 0])
+    """Per url: host, path, rule, verdict, template. One url after another down the tree, level by level."""
+    rows = []
     for url in urls:
         host, path = parts(url)
-        r = rule(host, path, rules)
-        seg = [s for s in path.split("/") if s]
-        shape = tuple(map(kind, seg[: x.depth])) + (("**",) if len(seg) > x.depth else ())
-        rows.append((host, path, r, shape))
-        shapes[host, shape][0] += 1
-        shapes[host, shape][1] += bool(r and r.verdict == "block")
-    made = {k: "" for k in shapes}
-    for level in range(x.depth + 1):
-        children = defaultdict(lambda: defaultdict(int))
-        for (host, shape), t in made.items():
-            if level < len(shape):
-                children[host, t][shape[level]] += shapes[host, shape][0]
-        wild = {k for k, c in children.items() if len(c) > x.wide and sum(c.values()) <= x.per_child * len(c)}
-        made = {
-            (h, s): t if level >= len(s) else t + "/" + ("*" if (h, t) in wild else s[level]) for (h, s), t in made.items()
-        }
-    sums = lambda keys: {k: [sum(v[i] for v in vs) for i in (0, 1)] for k, vs in keys.items()}
-    node, pool, hosts, branch = defaultdict(list), defaultdict(list), defaultdict(list), defaultdict(list)
-    for (h, s), t in made.items():
-        node[h, t].append(shapes[h, s])
-        pool[h, re.sub("/[^/]*$", "", t)].append(shapes[h, s])
-        hosts[h].append(shapes[h, s])
-    node, pool, hosts = sums(node), sums(pool), sums(hosts)
-    to = {}
-    for (h, t), (n, bad) in node.items():
-        up = re.sub("/[^/]*$", "", t)
-        p = pool[h, up][1] / pool[h, up][0]
-        near = abs(bad / n - p) <= x.z * (p * (1 - p) / n) ** 0.5 or n < x.support
-        to[h, t] = up + "/~" if near else t
-        branch[h, to[h, t]].append((n, bad))
-    branch = sums(branch)
-    out = []
-    for host, path, r, shape in rows:
-        t = made[host, shape]
-        n, bad = branch[host, to[host, t]]
-        share = (bad + x.weight * hosts[host][1] / (hosts[host][0] + x.weight)) / (n + x.weight)
-        out.append((host, path, r and r.text, r.verdict if r else "block" if share >= x.reject else "allow", t))
-    return out
+        rows.append((host, path, rule(host, path, rules), tuple(kind(s) for s in path.split("/") if s)))
+    made, used = [() for _ in rows], [0 for _ in rows]
+    while True:
+        at = defaultdict(list)
+        for i, (_, _, _, shape) in enumerate(rows):
+            if used[i] < len(shape):
+                at[made[i]].append(i)
+        if not at:
+            break
+        for steps, inside in at.items():
+            shapes = [rows[i][3] for i in inside]
+            common = next((k for k in range(min(map(len, shapes)) + 1) if len({s[: k + 1] for s in shapes}) > 1), len(shapes[0]))
+            children = defaultdict(list)
+            for i in inside:
+                children[rows[i][0]].append(rows[i][3][used[i]])
+            for i in inside:
+                host, shape, here = rows[i][0], rows[i][3], children[rows[i][0]]
+                wild = len(set(here)) > x.wide and len(here) <= x.per_child * len(set(here))
+                if len(inside) < x.support:
+                    step, used[i] = "**", len(shape)
+                elif common > used[i]:
+                    step, used[i] = "/".join(shape[used[i] : common]), common
+                else:
+                    step, used[i] = "*" if wild else shape[used[i]], used[i] + 1
+                made[i] = (*steps, "/" + step)
+    everywhere, within, alike = defaultdict(Node), defaultdict(Node), defaultdict(set)
+    for (host, _, r, _), steps in zip(rows, made, strict=True):
+        for node in [everywhere[steps[:k]] for k in range(1, len(steps) + 1)] + [within[host, steps]]:
+            node.bad += bool(r and r.verdict == "block")
+            node.good += bool(r and r.verdict == "allow")
+        alike[host, "".join(steps[:-1])].add(steps)
+
+    def purity(steps):
+        p = x.prior
+        for k in range(1, len(steps) + 1):
+            node = everywhere[steps[:k]]
+            p = (node.bad + x.weight * p) / (node.bad + node.good + x.weight)
+        return p
+
+    share = {}
+    for (host, up), ts in alike.items():
+        together = []
+        for t in ts:
+            a, b = [within[host, t]], [within[host, o] for o in ts if o != t]
+            (m, bad), (n, worse) = [(sum(v.bad + v.good for v in c), sum(v.bad for v in c)) for c in (a, b)]
+            if m >= x.support and n >= x.support:
+                p = (bad + worse) / (m + n)
+                if abs(bad / m - worse / n) > x.z * (p * (1 - p) * (1 / m + 1 / n)) ** 0.5:
+                    share[host, t] = (bad + x.weight * purity(t)) / (m + x.weight)
+                    continue
+            together.append(t)
+        size = {t: sum(1 for r, o in zip(rows, made, strict=True) if r[0] == host and o == t) for t in together}
+        bad, known = (sum(f(within[host, t]) for t in together) for f in (lambda v: v.bad, lambda v: v.bad + v.good))
+        for t in together:
+            prior = sum(size[o] * purity(o) for o in together) / sum(size.values())
+            share[host, t] = (bad + x.weight * prior) / (known + x.weight)
+    return [(h, p, r and r.text, r.verdict if r else "block" if round(share[h, t], 6) >= x.reject else "allow", "".join(t)) for (h, p, r, _), t in zip(rows, made, strict=True)]
 
 
 def answer(df):
@@ -92,6 +118,7 @@ def test_edges_equal_brute_force(spark):
         "x://example.com/de/1://2", "http://É.example.net/en/Z", "http://h.org/" + "a/" * 30, "http://h.org//12.html/ab12cd/0123456789abcdef",
     ]
     urls += [f"http://wide.org/u/name{chr(97 + i % 26)}{chr(97 + i // 26)}/p" for i in range(80)]
+    urls += ["http://deep.org/" + "a/" * 40 + f"{c}/{i}" for c in "xy" for i in range(6)] + ["http://deep.org/" + "b/" * 3000] * 7
     bad = (u.Rule("block", "s.org", "/x/1"), u.Rule("block", "s.org", "/x/2"))
     urls += [f"http://s.org/x/{i}" for i in range(1, 30)] + [f"http://s.org/ok/{i}" for i in range(40)]
     rows = [(i, x, "clash", "clash") for i, x in enumerate(urls)]
@@ -99,6 +126,7 @@ def test_edges_equal_brute_force(spark):
     for rules in (u.RULES, bad):
         got = answer(u.judge(df, rules))
         assert got == brute(urls, rules)
+    assert any(v[4] == "/b" * 3000 for v in got)
     verdicts = {x: v[3] for x, v in zip(urls, got, strict=True)}
     assert verdicts["http://s.org/x/3"] == "block" and verdicts["http://s.org/ok/1"] == "allow"
     assert u.judge(df.where(F.lit(False))).count() == 0
@@ -110,3 +138,17 @@ def test_many_rules_are_joined(spark, monkeypatch):
     want = answer(u.judge(df))
     monkeypatch.setattr(u, "INLINE_RULES", 0)
     assert answer(u.judge(df)) == want
+
+
+def test_the_tree_decides_urls_that_no_rule_names(spark):
+    rows = u.judge(spark.read.parquet("/root/testdata/sf0.1/pages.parquet")).where("rule is null").groupBy("verdict").count().collect()
+    n = {r.verdict: r["count"] for r in rows}
+    assert n["block"] > 50 and n["allow"] > 500
+
+
+def test_held_out_urls_are_judged_as_their_rules_do(spark):
+    learn = F.pmod(F.xxhash64("host", "path"), F.lit(5)) > 0
+    got = u.judge(spark.read.parquet("/root/testdata/sf0.1/pages.parquet"), learn=learn).where("rule is not null").where(~learn)
+    n = {(r.verdict, r.rejected): r["count"] for r in got.groupBy("verdict", "rejected").count().collect()}
+    assert n["block", True] >= 0.9 * (n["block", True] + n.get(("block", False), 0))
+    assert n["allow", False] >= 0.9 * (n["allow", False] + n.get(("allow", True), 0))
