@@ -2,9 +2,10 @@ r"""Benchmark decontamination by canonical templates.
 
 Texts become tokens (runs of letters and digits, lower case). Numbers, the units that follow numbers, and names become
 typed placeholders in the template and stay as slot values beside it, so a question with other numbers or names has
-the same template. Windows of the template are joined by hash with the windows of the benchmark's items; of windows that
-meet at one offset, the slots must be consistent: a value of the item always stands for one value of the document. An
-item is found in a document if consistent windows are at least ``share`` hundredths of the item's windows.
+the same template. Windows of the template are joined by hash with the windows of the benchmark's items, and a window counts
+if its slots are consistent: within it, a value of the item stands for one value of the document. An item is found in a
+document if consistent windows are at least ``share`` hundredths of the item's windows. Consistency is judged by window, so two
+values that happen to be equal in the item, far from each other, may differ in the document.
 
 What is a name depends on the characters before it, and windows with too few literal tokens are too general as templates. So all
 windows are joined by the hash of their real tokens too (lower case, slot values included), and a verbatim passage is met
@@ -12,13 +13,16 @@ whatever stands around it or breaks its lines. An item is found if its consisten
 windows that have enough literal tokens, where these are at least half of its windows, and ``n_windows`` counts those; or
 if templates and real tokens together reach the share of all its windows, which ``n_windows`` counts then.
 
-The items' windows are broadcast only if there are few enough of them (``BROADCAST_WINDOWS``, counted first); otherwise both
-sides are shuffled by hash. Document windows are made and probed in one pass, so only what meets an item is shuffled.
+The items' windows are broadcast only if there are few enough of them (``BROADCAST_WINDOWS``, counted first); a document's windows are
+then made and probed in one pass, and only what meets an item is shuffled. Otherwise both sides are shuffled by hash, a
+document's windows with their own slot values but without its other tokens.
 
-Defined cases: a null or blank text has no tokens and meets nothing; an item below ``least`` tokens is never found, one
-below the window size is a single window of its own length; a null doc_id or item_id is carried through; repeated rows of
-a document count as one document of that doc_id, of an item as one item; empty tables give an empty result; further columns are
-ignored by ``leaks`` and kept by ``clean``. Windows are compared by 64-bit hashes of their template tokens.
+Defined cases: a null or blank text has no tokens and meets nothing; an item below the window size is a single window of its own
+length, and one below ``LEAST`` tokens is found only where it is all of a document; an item without tokens is never
+found; a null doc_id or item_id is carried through; repeated rows of a document count as one document of that doc_id, of
+an item as one item, and rows of one id with other texts add up; a text of any length is read whole, its windows one by one;
+empty tables give an empty result; further columns, whatever their names, are ignored by ``leaks`` and kept by ``clean``.
+Windows are compared by 64-bit hashes of their tokens.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 
 from orbisplit.llm.common import materialise
 
-#: Tokens in a window, and the fewest of an item that is looked for.
+#: Tokens in a window, and the fewest of an item that is looked for within texts.
 WINDOW, LEAST = 8, 4
 #: Hundredths of an item's windows that must be met.
 SHARE = 50
@@ -71,12 +75,10 @@ def _plain(token: Column) -> Column:
     return F.xxhash64(F.when(token < "\x04", F.substring(token, 2, 1 << 30)).otherwise(token))
 
 
-def _windows(size: int) -> Column:
-    """Hashes of the windows of the column ``_h``, null if there is none."""
-    return F.when(
-        F.size("_h") >= size,
-        F.transform(F.sequence(F.lit(1), F.size("_h") - (size - 1)), lambda i: F.xxhash64(F.slice("_h", i, size))),
-    )
+def _windows(size: Column) -> Column:
+    """Hashes of the windows of the column ``_h``, null if there is none. Below LEAST tokens, only a whole text is a window."""
+    n = F.size("_h") - (size - 1)
+    return F.when((n == 1) | ((n > 1) & (size >= LEAST)), F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice("_h", i, size))))
 
 
 def _hashed(rows: DataFrame, keep: list[str], text: str) -> DataFrame:
@@ -93,23 +95,17 @@ def item_windows(items: DataFrame, key: str = "item_id", text: str = "text") ->
     """(item_id, hash, size, i_pos, i_slots, template, exact, n_literal, n_windows): the hashes by which each window of an item can
     be met, of its template or of its real tokens; n_literal of its n_windows windows have enough literal tokens."""
     rows = items.select(F.col(f"`{key}`").alias("item_id"), F.col(f"`{text}`").cast("string").alias("_t")).distinct()
-    made = _hashed(rows, ["item_id"], "_t").where(F.size("_w") >= LEAST)
-    parts = []
-    for size in range(LEAST, WINDOW + 1):
-        fits = F.size("_w") == size if size < WINDOW else F.size("_w") >= WINDOW
-        parts.append(made.where(fits).select("item_id", "_w", F.lit(size).alias("size"), F.posexplode(_windows(size)).alias("i_pos", "hash")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    made = _hashed(rows, ["item_id"], "_t").where(F.size("_w") > 0).withColumn("size", F.least(F.size("_w"), F.lit(WINDOW)))
+    out = made.select("item_id", "_w", "size", F.posexplode(_windows(F.col("size"))).alias("i_pos", "hash"))
     out = out.withColumn("i_slots", _slots(F.slice("_w", F.col("i_pos") + 1, F.col("size"))))
     # What is too general here is so in documents too: equal templates have their slots at equal places.
     need = F.when(F.col("size") < WINDOW, F.ceil(F.col("size") / 2)).otherwise(F.lit(LITERALS))
     n_literals = F.size(F.filter("i_slots", lambda x: x.isNull()))
     plain = F.xxhash64(F.transform(F.slice("_w", F.col("i_pos") + 1, F.col("size")), _plain))
-    out = out.select("item_id", "hash", plain.alias("_x"), "size", "i_pos", "i_slots", (n_literals >= need).alias("_literal"))
+    out = out.select("item_id", "hash", plain.alias("_x"), "size", "i_pos", "i_slots", ((n_literals >= need) & (F.col("size") >= LEAST)).alias("_literal"))
     n_slots = F.size(F.filter("i_slots", lambda x: x.isNotNull()))
     templates = out.where("_literal").withColumn("template", F.lit(True)).withColumn("exact", n_slots == 0)
-    real = out.where(n_slots > 0).withColumn("hash", F.col("_x")).withColumn("template", F.lit(False)).withColumn("exact", F.lit(True))
+    real = out.where((n_slots > 0) | ~F.col("_literal")).withColumn("hash", F.col("_x")).withColumn("template", F.lit(False)).withColumn("exact", F.lit(True))
     n = out.groupBy("item_id").agg(F.countDistinct(F.when(F.col("_literal"), F.col("i_pos"))).alias("n_literal"), F.countDistinct("i_pos").alias("n_windows"))
     out = templates.unionByName(real).drop("_x", "_literal")
     return out.join(n, out["item_id"].eqNullSafe(n["item_id"])).drop(n["item_id"])
@@ -119,40 +115,34 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     """(doc_id, item_id, n_met, n_windows): pairs whose consistent windows reach the share."""
     book = materialise(item_windows(items, item_key, item_text), "leaks-items")
     n_windows, sizes = book.agg(F.count(F.lit(1)), F.sort_array(F.collect_set("size"))).first()
+    few = n_windows <= BROADCAST_WINDOWS
     rows = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("_t"))
     slots_at = F.filter(F.transform("_w", lambda w, i: F.when(w < "\x04", i)), lambda i: i.isNotNull())
     made = _hashed(rows, ["doc_id"], "_t").select("*", slots_at.alias("_s"))
     made = made.select("*", F.when(F.size("_s") > 0, F.transform("_w", _plain)).otherwise(F.array().cast("array<bigint>")).alias("_p"))
+    # A text is made tokens once; each size of window that items have is a row of it.
+    sizes = sizes or [WINDOW]
+    made = made.withColumn("_size", F.lit(sizes[0]) if len(sizes) == 1 else F.explode(F.array(*map(F.lit, sizes))))
+    size, n = F.col("_size"), F.size("_w") - (F.col("_size") - 1)
+    # Windows without slots have one hash; those with slots follow once more, by their real tokens.
+    at = F.when(n > 0, F.array_distinct(F.flatten(F.transform("_s", lambda i: F.sequence(F.greatest(i - (size - 1), F.lit(0)), F.least(i, n - 1))))))
+    both = F.concat(_windows(size), F.transform("_at", lambda i: F.xxhash64(F.slice("_p", i + 1, size))))
+    place = F.when(F.col("_j") < n, F.col("_j")).otherwise(F.get("_at", F.col("_j") - n))
+    probes = made.select("*", at.alias("_at")).select("doc_id", "_w", "_at", "_size", F.posexplode(both).alias("_j", "_hash"))
+    probes = probes.select("doc_id", "_hash", "_size", "_w", place.alias("_d"), (F.col("_j") < n).alias("_shape"))
+    d_slots = _slots(F.slice("_w", F.col("_d") + 1, size)).alias("d_slots")
+    if not few:
+        probes = probes.select("doc_id", "_hash", "_size", "_shape", d_slots)
     book = book.select("item_id", "hash", "size", "i_pos", "i_slots", "template", "exact", "n_literal", "n_windows")
-    book = F.broadcast(book) if n_windows <= BROADCAST_WINDOWS else book
-    hits = None
-    for size in sizes or [WINDOW]:
-        # Windows without slots have one hash; those with slots follow once more, by their real tokens.
-        n = F.size("_w") - (size - 1)
-        at = F.when(n > 0, F.array_distinct(F.flatten(F.transform("_s", lambda i: F.sequence(F.greatest(i - (size - 1), F.lit(0)), F.least(i, n - 1))))))
-        both = F.concat(_windows(size), F.transform("_at", lambda i: F.xxhash64(F.slice("_p", i + 1, size))))
-        place = F.when(F.col("_j") < n, F.col("_j")).otherwise(F.get("_at", F.col("_j") - n))
-        met = (
-            made.select("*", at.alias("_at"))
-            .select("doc_id", "_w", "_at", F.posexplode(both).alias("_j", "hash"))
-            .join(book.where(F.col("size") == size), "hash")
-            .where(F.col("exact") | (F.col("_j") < n))
-            .select("*", place.alias("d_pos"), (F.col("template") & (F.col("_j") < n)).alias("by_template"))
-            .select("doc_id", "item_id", "n_literal", "n_windows", "i_pos", (F.col("d_pos") - F.col("i_pos")).alias("offset"), "by_template", "exact", "i_slots", _slots(F.slice("_w", F.col("d_pos") + 1, size)).alias("d_slots"))
-        )
-        hits = met if hits is None else hits.unionByName(met)
-    pairs = F.filter(F.arrays_zip(F.col("i_slots").alias("i"), F.col("d_slots").alias("d")), lambda p: p["i"].isNotNull())
+    met = probes.join(F.broadcast(book) if few else book, (F.col("_hash") == F.col("hash")) & (size == F.col("size"))).where(F.col("exact") | F.col("_shape"))
     by = ["doc_id", "item_id", "n_literal", "n_windows"]
-    t = F.col("by_template")
-    # At one offset an item has a bounded number of places, however often a document repeats it elsewhere.
-    aligned = hits.groupBy(*by, "offset").agg(
-        F.collect_set(F.when(t, F.col("i_pos"))).alias("met"), F.collect_set(F.when(F.col("exact"), F.col("i_pos"))).alias("same"),
-        F.array_distinct(F.flatten(F.collect_set(F.when(t, pairs)))).alias("slots"),
-    )
-    consistent = F.size(F.array_distinct(F.transform("slots", lambda p: p["i"]))) == F.size("slots")
-    aligned = aligned.select(*by, F.when(consistent, F.col("met")).otherwise(F.array().cast("array<int>")).alias("met"), "same")
-    count = lambda c: F.size(F.array_distinct(F.flatten(F.collect_set(c)))).cast("long")
-    found = aligned.groupBy(*by).agg(count(F.col("met")).alias("_t"), count(F.array_union("met", "same")).alias("_a"))
+    met = met.select(*by, "i_pos", "i_slots", d_slots if few else "d_slots", "exact", (F.col("template") & F.col("_shape")).alias("by_template"))
+    pairs = F.filter(F.arrays_zip(F.col("i_slots").alias("i"), F.col("d_slots").alias("d")), lambda p: p["i"].isNotNull())
+    consistent = F.size(F.array_distinct(F.transform(pairs, lambda p: p["i"]))) == F.size(F.array_distinct(pairs))
+    t = F.col("by_template") & consistent
+    # One row for each window of an item that a document meets, however often it does.
+    places = met.groupBy(*by, "i_pos").agg(F.max(t).alias("t"), F.max(t | F.col("exact")).alias("a"))
+    found = places.groupBy(*by).agg(F.count_if("t").alias("_t"), F.count_if("a").alias("_a"))
     alone = (F.col("_t") > 0) & (2 * F.col("n_literal") >= F.col("n_windows")) & (100 * F.col("_t") >= share * F.col("n_literal"))
     found = found.where(alone | ((F.col("_a") > 0) & (100 * F.col("_a") >= share * F.col("n_windows"))))
     either = lambda a, b: F.when(alone, F.col(a)).otherwise(F.col(b))

@@ -48,19 +48,17 @@ def brute(docs, items, share=d.SHARE):
         t = tokens(text)
         size = min(len(t), d.WINDOW)
         if size < d.LEAST:
+            out |= {(doc, item, 1, 1) for doc, w in read if size and [v or x for x, v in w] == [v or x for x, v in t]}
             continue
         need = d.LITERALS if size == d.WINDOW else (size + 1) // 2
         places = [i for i in range(len(t) - size + 1) if sum(v is None for _, v in t[i : i + size]) >= need]
         for n, (doc, w) in enumerate(read):
-            at = {}
+            met = set()
             for i in places:
                 for j in places_of(n, size).get(tuple(x for x, _ in t[i : i + size]), ()):
-                    at.setdefault(j - i, []).append((i, j))
-            met = set()
-            for hits in at.values():
-                pairs = {(t[i + k][1], w[j + k][1]) for i, j in hits for k in range(size) if t[i + k][1]}
-                if len({p for p, _ in pairs}) == len(pairs):
-                    met |= {i for i, _ in hits}
+                    pairs = {(t[i + k][1], w[j + k][1]) for k in range(size) if t[i + k][1]}
+                    if len({p for p, _ in pairs}) == len(pairs):
+                        met.add(i)
             if places and met and 100 * len(met) >= share * len(places):
                 out.add((doc, item, len(met), len(places)))
     return sorted(out)
@@ -89,6 +87,8 @@ DOCS = [
     (19, "x " * 20000 + ITEMS[6][1] + " y" * 20000),
     (10, "Intro text. " + ITEMS[0][1] + " Outro."),
     (20, ITEMS[1][1] + " " + ITEMS[0][1].replace("Anna", "Zoe") * 3),
+    (21, " No!"),
+    (22, "no no"),
 ]
 
 
@@ -102,8 +102,8 @@ def test_edges_equal_brute_force(spark, monkeypatch):
     want = brute(DOCS, ITEMS)
     assert got(spark, DOCS, ITEMS) == want
     found = {(x, i) for x, i, *_ in want}
-    assert {(10, 1), (11, 1), (13, 2), (15, 3), (19, 7), (20, 1), (20, 2)} <= found
-    assert not {x for x, _ in found} & {14, 16, 17, 18}
+    assert {(10, 1), (11, 1), (13, 2), (15, 3), (19, 7), (20, 1), (20, 2), (21, 4)} <= found
+    assert not {x for x, _ in found} & {14, 16, 17, 18, 22}
     monkeypatch.setattr(d, "BROADCAST_WINDOWS", 0)
     assert got(spark, DOCS, ITEMS) == want
 
@@ -114,6 +114,41 @@ def test_inconsistent_slots_do_not_count(spark):
     assert [x[0] for x in got(spark, docs, item)] == [1]
 
 
+def test_equal_numbers_need_not_stay_equal(spark):
+    item = [(1, "A man x has 3 red balls and the boy y has 3 blue balls in a large old box under the stairs")]
+    docs = [
+        (1, "A man x has 3 red balls and the boy y has 4 blue balls in a large old box under the stairs"),
+        (2, "A man x has 5 red balls and the boy y has 7 blue balls in a large old box under the stairs"),
+        (3, "A man x has 5 red cups and the girl y has 7 blue cups in a large new box under the roof"),
+    ]
+    assert [x[0] for x in got(spark, docs, item)] == [1, 2]
+
+
+def test_reversed_bindings_are_not_found(spark):
+    item = [(1, "now Tom beats Kim and then Kim beats Tom and so Tom wins")]
+    docs = [(1, "now Max beats Eva and then Eva beats Max and so Max wins"), (2, "now Max beats Eva and then Max beats Eva and so Eva wins")]
+    assert [x[0] for x in got(spark, docs, item)] == [1]
+
+
+def test_shuffled_windows_leave_the_tokens_behind(spark, monkeypatch):
+    monkeypatch.setattr(d, "BROADCAST_WINDOWS", 0)
+    long = " ".join(f"w{i % 977} {i}" for i in range(10000)) + " " + ITEMS[0][1]
+    a = spark.createDataFrame([(1, long), (2, None)], "doc_id long, text string")
+    b = spark.createDataFrame(ITEMS, "item_id long, text string")
+    found = d.leaks(a, b)
+    assert [tuple(r)[:2] for r in found.collect()] == [(1, 1)]
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = d.leaks(a, b)
+        found.schema, found._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    plan = spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
+    sent = [x.split("\nInput", 1)[1].split("\n")[0] for x in plan.split("\n\n") if ") Exchange" in x and "hashpartitioning(_hash" in x]
+    assert sent and all("d_slots" in x and "_w#" not in x and "_at#" not in x for x in sent)
+
+
 def test_documents_equal_brute_force(spark):
     sf_dir = "/root/testdata/sf0.001"
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
@@ -127,7 +162,7 @@ def test_clean_and_empty_tables(spark):
     b = spark.createDataFrame(ITEMS, "item_id long, text string")
     kept = d.clean(a, b)
     assert kept.columns == a.columns
-    assert {r.doc_id for r in kept.collect()} == {None, 14, 16, 17, 18} | {12} - {x for x, *_ in brute(DOCS, ITEMS)}
+    assert {r.doc_id for r in kept.collect()} == {None, 14, 16, 17, 18, 22} | {12} - {x for x, *_ in brute(DOCS, ITEMS)}
     assert d.leaks(a.where(F.lit(False)), b).count() == 0 and d.leaks(a, b.where(F.lit(False))).count() == 0
     plan = d.leaks(a, b)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
