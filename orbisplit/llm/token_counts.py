@@ -1,21 +1,24 @@
 """Token counts under a unigram vocabulary, by dynamic programming over a trie of distinct pre-tokens.
 
 The best score of a prefix doesn't depend on what follows it, so words that share a prefix share its forward scores. Each
-task keeps a trie of the distinct pre-tokens of its rows in sorted order: a word re-uses the scores of the prefix it has in
-common with the one before, and stores the token count of its best segmentation. Texts are then sums of look-ups.
+task inserts the distinct pre-tokens of its rows in a trie that stays over all its batches: a node holds the best score of the
+prefix it stands for, which is computed when the node is made and never again, and where a word ends, the token count of its
+best segmentation is stored. Texts are then sums of look-ups of terminal counts.
 
 Scores are whole numbers, so that sums are exact; of equal scores the segmentation with fewer tokens wins. A code point that
 no piece covers costs its UTF-8 bytes as one token each.
 
-Defined cases: a null or blank text has no tokens; very long words are segmented whole; repeated rows are counted each;
-an empty table gives an empty one; further columns are ignored. The table of known words is emptied whenever it holds
-``KNOWN`` words, so memory is bounded.
+Defined cases: a null or blank text has no tokens; a word is segmented whole whatever its length, its prefix beyond
+``DEPTH`` code points outside the trie with the scores of the last few prefixes alone; a null key is carried through; repeated rows
+are counted each; an empty table gives an empty one; further columns, whatever their names, are ignored. The trie is emptied when it
+has ``NODES`` nodes or terminals, so memory is bounded.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -24,8 +27,8 @@ from pyspark.sql import functions as F
 
 from orbisplit.llm.common import bounded_batches
 
-#: Known words at most, and words that are inserted in the trie together.
-KNOWN = 400_000
+#: Nodes, or words, at which a trie is emptied; and its depth.
+NODES, DEPTH = 400_000, 128
 #: The mark that stands before a word in the vocabulary.
 MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -50,48 +53,78 @@ def load(path: str = DEFAULT_MODEL) -> Vocabulary:
     return Vocabulary(scores, min(scores.values()) - 1000, max(map(len, scores)))
 
 
-def forward(words: Iterable[str], v: Vocabulary) -> Iterator[tuple[str, int]]:
-    """(word, tokens) of sorted words. The path from the root to the last word is kept, with the best score of each prefix."""
-    path = ""
-    best: list[tuple[int, int]] = [(0, 0)]  # (score, minus tokens) of each prefix
-    for word in words:
+class Trie:
+    """Prefixes of words with their best scores, and token counts where words end."""
+
+    def __init__(self, v: Vocabulary, nodes: int = NODES) -> None:
+        self.v, self.nodes = v, nodes
+        #: (node << 21 | code point) to the node one code point on; node 0 is the root.
+        self.edges: dict[int, int] = {}
+        self.scores, self.minus = array("q", [0]), array("q", [0])
+        #: Words that end at a node, with the count that is stored there.
+        self.terminals: dict[str, int] = {}
+
+    def clear(self) -> None:
+        self.edges.clear()
+        self.terminals.clear()
+        del self.scores[1:], self.minus[1:]
+
+    def _step(self, word: str, end: int, before: list[tuple[int, int]]) -> tuple[int, int]:
+        """(score, minus tokens) of word[:end], from those of the prefixes that end just before, the last one last."""
+        n = len(word[end - 1].encode())
+        score, minus = before[-1]
+        best = (score + n * self.v.byte_score, minus - n)
+        first = end - len(before)
+        pieces = self.v.scores
+        for start in range(max(first, end - self.v.longest), end):
+            own = pieces.get(word[start:end])
+            if own is not None:
+                score, minus = before[start - first]
+                best = max(best, (score + own, minus - 1))
+        return best
+
+    def insert(self, word: str) -> int:
+        """The tokens of a word."""
+        if max(len(self.scores), len(self.terminals)) >= self.nodes:
+            self.clear()
         marked = MARK + word
-        shared = 0
-        for a, b in zip(path, marked, strict=False):
-            if a != b:
-                break
-            shared += 1
-        del best[shared + 1 :]
-        for end in range(shared + 1, len(marked) + 1):
-            n = len(marked[end - 1].encode())
-            score, tokens = best[end - 1]
-            top = (score + n * v.byte_score, tokens - n)
-            for start in range(max(0, end - v.longest), end):
-                own = v.scores.get(marked[start:end])
-                if own is not None:
-                    score, tokens = best[start]
-                    top = max(top, (score + own, tokens - 1))
-            best.append(top)
-        path = marked
-        yield word, -best[-1][1]
-
-
-def count(docs: DataFrame, model: str = DEFAULT_MODEL, key: str = "doc_id", text: str = "text") -> DataFrame:
+        node, way = 0, [(0, 0)]
+        for end in range(1, len(marked) + 1):
+            if end <= DEPTH:
+                key = node << 21 | ord(marked[end - 1])
+                known = self.edges.get(key)
+                if known is None:
+                    score, minus = self._step(marked, end, way)
+                    known = self.edges[key] = len(self.scores)
+                    self.scores.append(score)
+                    self.minus.append(minus)
+                node = known
+                way.append((self.scores[node], self.minus[node]))
+            else:
+                way.append(self._step(marked, end, way))
+                if len(way) > 8 * self.v.longest + DEPTH:
+                    del way[: -self.v.longest]
+        tokens = self.terminals[word] = -way[-1][1]
+        return tokens
+
+    def count(self, words: list[str]) -> int:
+        """The tokens of all words."""
+        known = self.terminals
+        return sum(known[w] if w in known else self.insert(w) for w in words)
+
+
+def count(docs: DataFrame, model: str = DEFAULT_MODEL, key: str = "doc_id", text: str = "text", nodes: int = NODES) -> DataFrame:
     """key, n_pretokens, n_tokens of every row."""
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(load(model))
     narrow = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").cast("string").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
+        trie = Trie(shared.value, nodes)
         for b in batches:
             texts = [[w.decode() for w in t.encode().split()] if t else [] for t in b.column(1).to_pylist()]
-            if len(known) > KNOWN:
-                known.clear()
-            new = {w for words in texts for w in words if w not in known}
-            known.update(forward(sorted(new), shared.value))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(list(map(len, texts)), pa.int64()), pa.array([sum(map(known.__getitem__, ws)) for ws in texts], pa.int64())],
+                [b.column(0), pa.array(list(map(len, texts)), pa.int64()), pa.array(list(map(trie.count, texts)), pa.int64())],
                 ["k", "n_pretokens", "n_tokens"],
             )
 
