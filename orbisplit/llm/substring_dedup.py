@@ -3,7 +3,7 @@
 1. Prefilter. A window of 13 words is counted under its anchor: the smallest hash among its runs of 8 words. Equal windows
    have equal anchors, so the number of texts with an anchor is never below that of any of its windows. A task adds the
    anchors of its texts, each once a text, to its partition sketch: two rows of counters, sent sparse (index, count up to
-   two). Sketches are merged by shard, a shard being two rows of ``CELLS`` counters whatever the data; there are as many shards as the
+   two). Sketches are merged by shard, a shard being two rows of at most ``CELLS`` counters whatever the data; there are as many shards as the
    counted windows ask for, since a sketch that fits every task would be full at some size of corpus and let all through. So
    texts ask the shards: the smaller of an anchor's two counters is its estimate, and a text hears of its anchors with an estimate of
    two or more. A shard reads its sketches first, then answers in a stream, and holds its counters alone.
@@ -38,9 +38,9 @@ from orbisplit.llm.sketches import bloom, in_bloom
 #: Words of a window and of an anchor.
 WINDOW, ANCHOR = 13, 8
 #: Entries that a task gathers before it settles and sends them.
-FLUSH = 1_500_000
-#: Counters of a shard in each of the two rows of the sketch, and counters for each anchor that is expected.
-CELLS, SPARE = 1 << 21, 4
+FLUSH = 750_000
+#: Counters of a shard in each of the two rows of the sketch at least and at most, and counters for each anchor that is expected.
+LEAST_CELLS, CELLS, SPARE = 1 << 16, 1 << 24, 4
 
 
 def classes(w: Words, hashes: np.ndarray) -> np.ndarray:
@@ -100,9 +100,13 @@ def _group_starts(*keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def _shards(n_windows: int) -> int:
-    """About one anchor in three windows; a shard has counters for so many."""
-    return max(64, -(-n_windows * SPARE // (3 * CELLS)))
+def _shape(n_windows: int, partitions: int) -> tuple[int, int]:
+    """Shards, and counters of a row of each: SPARE for each anchor, of which there is about one in three windows. Some shards for
+    each partition of the shuffle keep partitions even; a shard's counters stay within CELLS, and shards grow beyond."""
+    wanted = n_windows * SPARE // 3
+    shards = 8 * partitions
+    width = min(max(1 << max(0, wanted // shards).bit_length(), LEAST_CELLS), CELLS)
+    return max(shards, -(-wanted // width)), width
 
 
 def base_table(docs: DataFrame) -> DataFrame:
@@ -175,7 +179,7 @@ def estimates(counters: np.ndarray, places: np.ndarray) -> np.ndarray:
     return np.minimum(counters[a], counters[b])
 
 
-def repeated_cells(texts: DataFrame, shards: int, width: int = CELLS, flush: int = FLUSH) -> DataFrame:
+def repeated_cells(texts: DataFrame, shards: int, width: int, flush: int = FLUSH) -> DataFrame:
     """(class, key): cells with an estimate of two texts or more, given to each of their texts. texts: class, doc_id, text."""
 
     def read(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
@@ -361,17 +365,19 @@ def _of_classes(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, texts.schema)
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = False, width: int = CELLS, flush: int = FLUSH) -> DataFrame:
-    """key, n_words, n_removed, kept_sha256 of every row; with_text adds ``kept``, null where nothing was removed. width: counters of a shard in a row."""
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = False, width: int | None = None, flush: int = FLUSH) -> DataFrame:
+    """key, n_words, n_removed, kept_sha256 of every row; with_text adds ``kept``, null where nothing was removed. width: counters of a shard in a row,
+    where they are not to follow from the number of windows."""
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     base = materialise(base_table(docs), "dedup-base")
     first = base.groupBy("class").agg(F.min("doc_id").alias("first_id"), F.count("doc_id").alias("n"))
-    shards = _shards(base.agg(F.sum(F.greatest(F.col("n_words") - (WINDOW - 1), F.lit(0)))).first()[0] or 0)
+    n_windows = base.agg(F.sum(F.greatest(F.col("n_words") - (WINDOW - 1), F.lit(0)))).first()[0] or 0
+    shards, fitting = _shape(n_windows, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     copies = base.join(first.where("n > 1"), "class").where((F.col("doc_id") > F.col("first_id")) & (F.col("n_words") >= WINDOW))
     copies = materialise(copies.select("class", "doc_id").distinct(), "dedup-copies")
     texts = one_of_each(docs.where("doc_id is not null"), copies)
-    cells = materialise(repeated_cells(texts, shards, width, flush).groupBy("class").agg(F.collect_set("key").alias("cells")), "dedup-hot")
+    cells = materialise(repeated_cells(texts, shards, width or fitting, flush).groupBy("class").agg(F.collect_set("key").alias("cells")), "dedup-hot")
     hot = materialise(_of_classes(texts, cells.select("class")).join(cells, "class"), "dedup-texts")
     cut = cut_texts(hot, repeated_windows(hot, shards, flush))
     columns = ["n_removed", "kept_sha256"] + ["kept"] * with_text

@@ -66,6 +66,14 @@ def test_tiny_sketch_changes_nothing(spark):
     check(spark, fixture(4), width=16)
 
 
+def test_shape_of_the_sketch():
+    for n in (0, 10**4, 10**8, 10**10, 10**13):
+        for partitions in (4, 211, 10**5):
+            shards, width = d._shape(n, partitions)
+            assert shards * width * 3 >= n * d.SPARE - 3 and d.LEAST_CELLS <= width <= d.CELLS and width & (width - 1) == 0
+            assert shards == 8 * partitions or width == d.CELLS
+
+
 def test_estimates_are_never_too_low():
     r = np.random.default_rng(6)
     for cells in (64, 1 << 12):
