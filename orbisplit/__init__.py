@@ -1 +1,16 @@
-"""Region-aware dataset splitting and vector-relational operators on Spark DataFrames."""
+"""Region-aware splitting of datasets on Spark."""
+
+from orbisplit.config import Batch, Config, batch_from_yaml, from_dict, from_yaml
+from orbisplit.functions.encoders import IMAGE_ENCODERS, encode, encode_images
+from orbisplit.operators.pairs import distances, knn, knn_cross, points, self_pairs
+from orbisplit.operators.spheres import assign
+from orbisplit.plans.engine import Engine, log_to, run_batch, run_folder
+from orbisplit.sources.folders import annotations
+from orbisplit.sources.state import State
+from orbisplit.sources.tables import drop_work
+from orbisplit.streaming.ingest import ingest_stream
+
+__all__ = [
+    "IMAGE_ENCODERS", "Batch", "Config", "Engine", "State", "annotations", "assign", "batch_from_yaml", "distances", "drop_work", "encode", "encode_images", "from_dict",
+    "from_yaml", "ingest_stream", "knn", "knn_cross", "log_to", "points", "run_batch", "run_folder", "self_pairs",
+]

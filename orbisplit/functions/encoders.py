@@ -1,15 +1,18 @@
-"""Encoders turn items into vectors. One for text is built in; others are functions over Arrow-backed batches."""
+"""Encoders turn items into vectors. One for text and one for images are built in; others are functions over batches."""
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orbisplit.config import Encoding, Pixels
+
 #: An encoder gets a batch of items and gives one vector a row.
 Encoder = Callable[[pd.Series], np.ndarray]
 
@@ -21,22 +24,107 @@ def pixel_constants(model: str) -> tuple[tuple[float, ...], tuple[float, ...]]:
     return PIXELS["siglip" if "siglip" in model.lower() else "other"]
 
 
-def normalise_pixels(x: np.ndarray, model: str) -> np.ndarray:
-    """(x - mean) / deviation of images (rows, channels, height, width)."""
-    mean, std = (np.asarray(c)[None, :, None, None] for c in pixel_constants(model))
+def normalise_pixels(x: np.ndarray, model: str, mean: Sequence[float] | None = None, deviation: Sequence[float] | None = None) -> np.ndarray:
+    """(x - mean) / deviation of images (rows, channels, height, width), with those of the model's family unless they are given."""
+    own = pixel_constants(model)
+    mean, std = (np.asarray(c)[None, :, None, None] for c in (mean or own[0], deviation or own[1]))
     return (x - mean) / std
 
 
+#: Image encoders by name: each takes images (rows, 3, height, width) and gives a vector a row. A model is registered under its name.
+IMAGE_ENCODERS: dict[str, Callable[[np.ndarray], np.ndarray]] = {}
+#: Height and width of the black image that stands for one that is missing or cannot be read.
+PLACEHOLDER = 224
+
+
+def image_encoder(name: str) -> Callable[[np.ndarray], np.ndarray]:
+    """A registered encoder, or ``grid-N``: the mean colours of N by N fields."""
+    if name in IMAGE_ENCODERS:
+        return IMAGE_ENCODERS[name]
+    if name.startswith("grid-") and name[5:].isdigit() and int(name[5:]) > 0:
+        return partial(_grid, n=int(name[5:]))
+    raise ValueError(f"no image encoder {name!r}: register it in IMAGE_ENCODERS")
+
+
+def _grid(x: np.ndarray, n: int) -> np.ndarray:
+    edges = lambda size: np.minimum(np.arange(n) * size // n, size - 1)
+    sums = np.add.reduceat(np.add.reduceat(x, edges(x.shape[2]), axis=2), edges(x.shape[3]), axis=3)
+    counts = [np.diff([*edges(size), size]).clip(1) for size in x.shape[2:]]
+    return (sums / np.outer(*counts)).reshape(len(x), -1)
+
+
+def pixels_of(height: int | None, width: int | None, channels: int | None, data: bytes | None) -> np.ndarray:
+    """Red, green and blue (height, width, 3) of a row of Spark's image source, whose order is blue, green, red; black where it has none."""
+    if not data or not height or height < 1 or channels not in (1, 3, 4):
+        return np.zeros((PLACEHOLDER, PLACEHOLDER, 3), np.uint8)
+    x = np.frombuffer(data, np.uint8).reshape(height, width, channels)
+    return np.repeat(x, 3, axis=2) if channels == 1 else x[:, :, 2::-1]
+
+
+def _resized(x: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Bilinear, by the centres of pixels."""
+
+    def ways(old: int, new: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.clip((np.arange(new) + 0.5) * old / new - 0.5, 0, old - 1)
+        low = at.astype(int)
+        return low, np.minimum(low + 1, old - 1), at - low
+
+    (a, b, f), (c, d, g) = ways(x.shape[0], height), ways(x.shape[1], width)
+    f, g = f[:, None, None], g[None, :, None]
+    rows = x[a] * (1 - f) + x[b] * f
+    return rows[:, c] * (1 - g) + rows[:, d] * g
+
+
+def prepared(x: np.ndarray, pixels: Pixels) -> np.ndarray:
+    """(3, height, width): the shorter edge resized, the middle square cut out (padded with black), 0 to 255 made 0 to 1."""
+    x = x.astype(float)
+    if pixels.resize:
+        scale = pixels.resize / min(x.shape[:2])
+        x = _resized(x, max(1, round(x.shape[0] * scale)), max(1, round(x.shape[1] * scale)))
+    if pixels.crop:
+        pad = [max(0, pixels.crop - n) for n in x.shape[:2]]
+        x = np.pad(x, [(n // 2, n - n // 2) for n in pad] + [(0, 0)])
+        top, left = ((n - pixels.crop) // 2 for n in x.shape[:2])
+        x = x[top : top + pixels.crop, left : left + pixels.crop]
+    return np.moveaxis(x / 255.0 if pixels.rescale else x, 2, 0)
+
+
+def encode_images(images: DataFrame, encoding: Encoding, pixels: Pixels, key: str = "filename") -> DataFrame:
+    """(key, v) of images (key, height, width, nChannels, data): made ready once for all encoders, normalised for each, and their
+    vectors combined by consensus if there are several. Rows without an image are encoded as a black one."""
+    encoders = {name: image_encoder(name) for name in (encoding.primary, *encoding.others)}
+    kind = images.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns = [b.column(c).to_pylist() for c in ("height", "width", "nChannels", "data")]
+            for i, row in enumerate(zip(*columns, strict=True)):
+                x = prepared(pixels_of(*row), pixels)[None]
+                for name, f in encoders.items():
+                    mean, deviation = pixel_constants(name)
+                    y = normalise_pixels(x, name, pixels.mean or mean, pixels.deviation or deviation) if pixels.normalise else x
+                    v = f(y)
+                    v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12) if encoding.normalise else v
+                    yield pa.RecordBatch.from_arrays([b.column(key).slice(i, 1), pa.array([name]), pa.array(list(v), pa.list_(pa.float64()))], [key, "model", "v"])
+
+    found = images.select(key, "height", "width", "nChannels", "data").mapInArrow(run, f"{key} {kind}, model string, v array<double>")
+    if not encoding.others:
+        return found.select(key, "v")
+    return consensus(found, encoding.primary, encoding.threshold, encoding.consensus, key)
+
+
 def hashed_text(dim: int = 64, n: int = 3) -> Encoder:
-    """Counts of character n-grams, signed and hashed into dim places."""
+    """Counts of n-grams of UTF-8 bytes of the lower-cased text, signed and hashed into dim places."""
+    weights = np.array([31**j for j in range(n)], np.uint64)
 
     def encode(texts: pd.Series) -> np.ndarray:
         out = np.zeros((len(texts), dim))
         for i, text in enumerate(texts):
-            text = f" {(text or '').lower()} "
-            for j in range(len(text) - n + 1):
-                h = int.from_bytes(hashlib.blake2b(text[j : j + n].encode(), digest_size=4).digest(), "little")
-                out[i, (h >> 1) % dim] += 1 if h & 1 else -1
+            raw = np.frombuffer(f" {(text or '').lower()} ".encode(), np.uint8).astype(np.uint64)
+            if len(raw) >= n:
+                h = np.lib.stride_tricks.sliding_window_view(raw, n) @ weights
+                h = (h ^ h >> np.uint64(7)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)
+                out[i] = np.bincount(((h >> np.uint64(1)) % np.uint64(dim)).astype(np.int64), np.where(h & np.uint64(1), 1.0, -1.0), dim)
         return out
 
     return encode

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orbisplit.functions.vectors import dot
 from orbisplit.operators.pairs import knn, knn_cross, matrix
 
 DENSITY_K, LID_K = 10, 20
@@ -84,15 +85,20 @@ def lid_warp(p: DataFrame, metric: str = "cosine") -> DataFrame:
 def pca(p: DataFrame, components: int) -> DataFrame:
     """(id, pc): the centred vectors on their first principal axes; the sign of an axis is free, and made such that its
     largest weight is positive. The covariance is summed over partitions: width squared is what meets on the driver."""
+    return p.select("id", project(F.col("v"), principal_axes(p, components)).alias("pc"))
+
+
+def principal_axes(p: DataFrame, components: int) -> tuple[np.ndarray, np.ndarray]:
+    """The mean and the first axes (a column each) of points, to project other tables on as well."""
     mean, axes, _, _ = _axes(p)
-    top = axes[:, :components]
+    return mean, axes[:, :components]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                yield pd.DataFrame({"id": b["id"], "pc": list((np.vstack(b["v"]) - mean) @ top)})
 
-    return p.mapInPandas(run, "id long, pc array<double>")
+def project(v: Column, axes: tuple[np.ndarray, np.ndarray]) -> Column:
+    """A vector's coordinates on axes."""
+    mean, top = axes
+    lit = lambda x: F.array(*[F.lit(float(y)) for y in x])
+    return F.array(*[dot(v, lit(w)) - F.lit(float(mean @ w)) for w in top.T])
 
 
 def _axes(p: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:

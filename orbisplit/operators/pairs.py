@@ -43,9 +43,10 @@ def points(df: DataFrame, key: str = "vec_id", vector: str = "embedding") -> Dat
     return df.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), doubles(F.col(vector)).alias("v"))
 
 
-def _blocks(p: DataFrame, n: int, side: str) -> DataFrame:
+def _blocks(p: DataFrame, n: int, side: str, labels: bool) -> DataFrame:
     rows = p.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias(f"{side}_block"))
-    return rows.agg(F.collect_list("id").alias(f"{side}_ids"), F.flatten(F.collect_list("v")).alias(f"{side}_v"))
+    more = [F.collect_list(F.struct("label"))["label"].alias(f"{side}_labels")] if labels else []
+    return rows.agg(F.collect_list("id").alias(f"{side}_ids"), F.flatten(F.collect_list("v")).alias(f"{side}_v"), *more)
 
 
 def _unpack(b: pa.RecordBatch, row: int, side: str) -> tuple[np.ndarray, np.ndarray]:
@@ -53,16 +54,25 @@ def _unpack(b: pa.RecordBatch, row: int, side: str) -> tuple[np.ndarray, np.ndar
     return ids, np.asarray(b.column(f"{side}_v")[row].values).reshape(len(ids), -1)
 
 
+def _alike(batch: pa.RecordBatch, row: int) -> np.ndarray:
+    """Which pairs have equal labels, or one without."""
+    sides = [np.array(batch.column(f"{s}_labels")[row].as_py(), object) for s in "lr"]
+    codes = {None: 0}
+    a, b = (np.array([codes.setdefault(x, len(codes)) for x in side], np.int64) for side in sides)
+    return (a[:, None] == b[None, :]) | (a == 0)[:, None] | (b == 0)[None, :]
+
+
 def distances(
-    left: DataFrame, right: DataFrame, metric: str = "cosine", within: float | None = None, k: int | None = None, other: bool = False
+    left: DataFrame, right: DataFrame, metric: str = "cosine", within: float | None = None, k: int | None = None, other: bool = False, labels: bool = False
 ) -> DataFrame:
-    """(l, r, d) of points (id, v). within: distances up to it; k: the k nearest, ties by id; other: not a row with itself."""
+    """(l, r, d) of points (id, v). within: distances up to it; k: the k nearest, ties by id; other: not a row with itself; labels: points
+    are (id, v, label), and pairs of different labels are left out. Ids of a side may repeat."""
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}")
     n_left, (n_right, width) = left.count(), right.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
     slots = left.sparkSession.sparkContext.defaultParallelism
-    a = _blocks(left, max(1, min(max(slots, -(-n_left // BLOCK)), max(n_left, 1))), "l")
-    b = _blocks(right, max(1, -(-n_right // BLOCK)), "r")
+    a = _blocks(left, max(1, min(max(slots, -(-n_left // BLOCK)), max(n_left, 1))), "l", labels)
+    b = _blocks(right, max(1, -(-n_right // BLOCK)), "r", labels)
     pairs = a.join(F.broadcast(b) if n_right * (width or 1) * 8 <= BROADCAST else b, how="cross")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,6 +82,8 @@ def distances(
                 ri, rv = _unpack(batch, row, "r")
                 d = matrix(lv, rv, metric)
                 keep = np.ones(d.shape, bool) if within is None else d <= within
+                if labels:
+                    keep &= _alike(batch, row)
                 if other:
                     keep &= li[:, None] != ri[None, :]
                 if k is not None and d.shape[1] > k:
@@ -81,7 +93,7 @@ def distances(
                 i, j = np.nonzero(keep)
                 yield pa.RecordBatch.from_arrays([pa.array(li[i]), pa.array(ri[j]), pa.array(d[i, j])], ["l", "r", "d"])
 
-    out = pairs.select("l_ids", "l_v", "r_ids", "r_v").mapInArrow(run, "l long, r long, d double")
+    out = pairs.select("l_ids", "l_v", "r_ids", "r_v", *["l_labels", "r_labels"] * labels).mapInArrow(run, "l long, r long, d double")
     return out if k is None else nearest(out, k)
 
 
@@ -91,9 +103,80 @@ def nearest(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
-def self_pairs(p: DataFrame, metric: str = "cosine", within: float | None = None) -> DataFrame:
+def _each_pair(p: DataFrame, labels: bool = False) -> DataFrame:
+    """Pairs of blocks of one table, each unordered pair once. Every block meets half of those that follow it around a circle, so tasks
+    have equal shares."""
+    n_rows, width = p.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    n = max(1, min(max(p.sparkSession.sparkContext.defaultParallelism, -(-n_rows // BLOCK)), max(n_rows, 1)))
+    a, b = (_blocks(p, n, side, labels) for side in "lr")
+    ahead = 2 * F.pmod(F.col("r_block") - F.col("l_block"), F.lit(n))
+    once = (ahead < n) | ((ahead == n) & (F.col("l_block") < F.col("r_block")))
+    return a.join(F.broadcast(b) if n_rows * (width or 1) * 8 <= BROADCAST else b, once)
+
+
+def _pair_distances(batch: pa.RecordBatch, row: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, distances, and which of them count: within a block, those of a smaller id with a larger one."""
+    li, lv = _unpack(batch, row, "l")
+    ri, rv = _unpack(batch, row, "r")
+    one = batch.column("l_block")[row].as_py() == batch.column("r_block")[row].as_py()
+    return li, ri, matrix(lv, rv, metric), (li[:, None] < ri[None, :]) if one else (li[:, None] != ri[None, :])
+
+
+def self_pairs(p: DataFrame, metric: str = "cosine", within: float | None = None, labels: bool = False) -> DataFrame:
     """(l, r, d) with l < r."""
-    return distances(p, p, metric, within).where("l < r")
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric {metric!r}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                li, ri, d, keep = _pair_distances(batch, row, metric)
+                if within is not None:
+                    keep = keep & (d <= within)
+                if labels:
+                    keep = keep & _alike(batch, row)
+                i, j = np.nonzero(keep)
+                x, y = li[i], ri[j]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(d[i, j])], ["l", "r", "d"])
+
+    return _each_pair(p, labels).mapInArrow(run, "l long, r long, d double")
+
+
+def pair_histogram(p: DataFrame, metric: str, low: float, high: float, bins: int) -> DataFrame:
+    """(b, c, low, high): how many pairs have distances from low to high, by bin, and the least and largest in each. Bins are counted
+    where distances are made: no pair leaves its task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, least, most = np.zeros(bins, np.int64), np.full(bins, np.inf), np.full(bins, -np.inf)
+        for batch in batches:
+            for row in range(batch.num_rows):
+                _, _, d, keep = _pair_distances(batch, row, metric)
+                x = d[keep & (d >= low) & (d <= high)]
+                at = place_of(x, low, high, bins)
+                count += np.bincount(at, minlength=bins)
+                np.minimum.at(least, at, x)
+                np.maximum.at(most, at, x)
+        b = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (b, count[b], least[b], most[b])], ["b", "c", "low", "high"])
+
+    parts = _each_pair(p).mapInArrow(run, "b long, c long, low double, high double")
+    return parts.groupBy("b").agg(F.sum("c").alias("c"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+def place_of(x: np.ndarray, low: float, high: float, bins: int) -> np.ndarray:
+    return np.clip(np.floor((x - low) / (high - low) * bins), 0, bins - 1).astype(np.int64)
+
+
+def pair_values(p: DataFrame, metric: str, low: float, high: float) -> DataFrame:
+    """(d): the distances of pairs from low to high."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                _, _, d, keep = _pair_distances(batch, row, metric)
+                yield pa.RecordBatch.from_arrays([pa.array(d[keep & (d >= low) & (d <= high)])], ["d"])
+
+    return _each_pair(p).mapInArrow(run, "d double")
 
 
 def knn(p: DataFrame, k: int, metric: str = "cosine") -> DataFrame:

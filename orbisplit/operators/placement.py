@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable, Iterator, Mapping
+from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -14,11 +16,13 @@ from orbisplit.functions.vectors import uniform
 from orbisplit.operators import density as dens
 from orbisplit.operators import sampling, spheres
 from orbisplit.operators.dedup import far_from, spacing_filter, uncovered
-from orbisplit.operators.pairs import distances, knn_cross, self_pairs
+from orbisplit.operators.pairs import distances, knn_cross, pair_histogram, pair_values
 from orbisplit.sources.tables import materialise
 
 #: Values of a bin up to which they are collected; a fuller bin is divided again.
 COLLECTED = 100_000
+#: Unassigned rows below which a class has no candidates of its own; and the bit above the numbers of a class's candidates.
+LEAST_OF_CLASS, RANK = 5, 40
 
 
 def num_anchors(n: Column, ratio: float, least: int = 3) -> Column:
@@ -44,38 +48,57 @@ def base_radius(p: DataFrame, config: Config) -> float:
         return s.fixed_radius
     if p.count() < 2:
         return s.min_radius
-    pairs = self_pairs(p, config.metric)
-    share = s.percentile / 100
-    found = exact_quantile(pairs, "d", share)
+    found = pair_quantile(p, config.metric, s.percentile / 100)
     return float(min(max(found * s.radius_scale, s.min_radius), s.max_radius))
 
 
+def pair_quantile(p: DataFrame, metric: str, share: float, bins: int = 4096) -> float:
+    """The quantile of all pair distances. They are made anew in each pass, and only counts leave the tasks until few are left."""
+    low, high = 0.0, 2.0 + 1e-6  # more than rounding adds
+    if metric != "cosine":
+        low, high = pair_histogram(p, metric, 0.0, float("inf"), 1).agg(F.min("low"), F.max("high")).first()
+    histogram = lambda a, b: pair_histogram(p, metric, a, b, bins)
+    return _quantile(histogram, lambda a, b: pair_values(p, metric, a, b), low, high, share)
+
+
 def exact_quantile(df: DataFrame, column: str, share: float, bins: int = 4096) -> float:
-    """The quantile with linear interpolation. A histogram finds the bins of its two neighbours; a bin that holds both is
+    """The quantile of a column."""
+    x = F.col(column).cast("double")
+    low, high = df.agg(F.min(x), F.max(x)).first()
+    if low is None:
+        return float("nan")
+    inside = lambda a, b: df.where(x.between(a, b)).select(x.alias("d"))
+
+    def histogram(a: float, b: float) -> DataFrame:
+        place = F.greatest(F.least(F.floor((F.col("d") - a) / (b - a) * bins), F.lit(bins - 1)), F.lit(0)).cast("long")
+        return inside(a, b).groupBy(place.alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min("d").alias("low"), F.max("d").alias("high"))
+
+    return _quantile(histogram, inside, low, high, share)
+
+
+def _quantile(histogram: Callable[[float, float], DataFrame], values: Callable[[float, float], DataFrame], low: float, high: float, share: float) -> float:
+    """With linear interpolation. A histogram from low to high finds the bins of the quantile's two neighbours; a bin that holds both is
     divided again until it has at most COLLECTED values, and only those are sorted."""
-    x = F.col(column)
-    n, low, high = df.agg(F.count(x), F.min(x), F.max(x)).first()
-    if not n or low == high:
-        return float("nan") if not n else float(low)
-    at = share * (n - 1)
-    k = int(math.floor(at))
-    below, held, after = 0, n, min(k + 1, n - 1)
-    part = df.where(x.isNotNull())
-    while held > COLLECTED:
-        place = F.greatest(F.least(F.floor((x - low) / (high - low) * bins), F.lit(bins - 1)), F.lit(0)).cast("int")
-        rows = part.groupBy(place.alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min(x).alias("low"), F.max(x).alias("high")).collect()
-        rows.sort(key=lambda r: r.b)
+    below, k, after = 0, None, None
+    while low < high:
+        rows = sorted(histogram(low, high).collect(), key=lambda r: r.b)
+        if k is None:
+            n = sum(r.c for r in rows)
+            if not n:
+                return float("nan")
+            at = share * (n - 1)
+            k = int(math.floor(at))
+            after = min(k + 1, n - 1)
         ends = below + np.cumsum([r.c for r in rows])
         i, j = (int(np.searchsorted(ends, m, side="right")) for m in (k, after))
         if i != j:  # the last value of one bin and the first of the next
             return float(rows[i].high + (at - k) * (rows[j].low - rows[i].high))
         low, high, held, below = rows[i].low, rows[i].high, rows[i].c, int(ends[i]) - rows[i].c
-        if low == high:
-            return float(low)
-        part = part.where(place == rows[i].b)
-    values = np.sort([r.x for r in part.select(x.alias("x")).collect()])
-    a, b = values[k - below], values[after - below]
-    return float(a + (at - k) * (b - a))
+        if low < high and held <= COLLECTED:
+            x = np.sort([r.d for r in values(low, high).collect()])
+            a, b = x[k - below], x[after - below]
+            return float(a + (at - k) * (b - a))
+    return float(low)
 
 
 def snap(candidates: DataFrame, p: DataFrame, config: Config) -> DataFrame:
@@ -179,104 +202,164 @@ def eval_deficit(stored_train: int, stored_eval: int, n: int, new_eval: int, con
 
 
 @dataclass
-class Accepted:
-    candidate: int
-    radius: float
-
-
-def scan(near: list[tuple[int, list[tuple[int, float]], float]], deficit: int, overshoot: int, low: float, buffer: float) -> list[Accepted]:
-    """Candidates in order: cap the radius to what is wanted, take free rows, accept if more than one counts for eval.
-
-    near: (candidate, its rows within reach with distances, its valid radius). Order decides, so this runs in one place, over the
-    sparse table of rows within reach alone."""
-    free: dict[int, bool] = {}
-    out: list[Accepted] = []
-    for candidate, rows, radius in near:
-        if deficit <= 0:
-            break
-        open_rows = [(i, d) for i, d in rows if free.get(i, True)]
-        d = np.array([x for _, x in open_rows])
-        radius = capped_radius(d, radius, deficit + overshoot, low)
-        captured = int((d < radius).sum())
-        if captured > 1:
-            out.append(Accepted(candidate, radius))
-            deficit -= captured
-            for i, x in open_rows:
-                if x <= radius:
-                    free[i] = False
-    return out
-
-
-def closed_loop(
-    p: DataFrame, everything: DataFrame, train: DataFrame, existing: DataFrame, deficit: int, total: int, config: Config, num: int | None = None, base: float | None = None
-) -> DataFrame:
-    """Anchors (id, v, radius) over unassigned rows p: propose, give radii, validate, then accept in order until the deficit is met."""
+class Ledger:
+    """What a scan over candidates has given out. It holds the rows that are taken, no others: about as many as eval rows are wanted."""
+
+    target: int
+    n_eval: int
+    overshoot: int
+    low: float
+    by_class: dict[str, int] = field(default_factory=dict)
+    taken: set[int] = field(default_factory=set)
+    accepted: list[tuple[int, float]] = field(default_factory=list)
+
+    @property
+    def full(self) -> bool:
+        return self.n_eval >= self.target
+
+    def offer(self, candidate: int, near: list[tuple[float, int, str | None]], radius: float) -> bool:
+        """Cap the radius to what is still wanted and take its free rows, if more than one counts for eval. near: (distance, row, label)."""
+        free = [x for x in near if x[1] not in self.taken]
+        radius = capped_radius(np.array([x[0] for x in free]), radius, self.target - self.n_eval + self.overshoot, self.low)
+        inside = [x for x in free if x[0] < radius]
+        if len(inside) <= 1:
+            return False
+        self.accepted.append((candidate, radius))
+        self.taken.update(x[1] for x in free if x[0] <= radius)
+        self.n_eval += len(inside)
+        for _, _, label in inside:
+            if label is not None:
+                self.by_class[label] = self.by_class.get(label, 0) + 1
+        return True
+
+
+def scan(candidates: Iterable[tuple[int, list, float]], ledger: Ledger) -> None:
+    """Candidates (id, rows in reach, radius) in order until the target is met. Order decides, so this runs in one place, over one
+    candidate at a time."""
+    for candidate, near, radius in candidates:
+        if ledger.full:
+            return
+        ledger.offer(candidate, near, radius)
+
+
+@dataclass(frozen=True)
+class Goal:
+    """A class: its eval target, and how much of it its own candidates fill."""
+
+    label: str
+    target: int
+
+    @property
+    def fill(self) -> int:
+        return int(0.8 * self.target)
+
+    def open(self, ledger: Ledger) -> bool:
+        """Past the overall target only classes below half of their own go on."""
+        have = ledger.by_class.get(self.label, 0)
+        return have < self.fill and (not ledger.full or have < 0.5 * self.target)
+
+
+def scan_classes(candidates: Iterable[tuple[int, list, float]], goals: Mapping[int, Goal], ledger: Ledger) -> None:
+    """Candidates in order of their classes, whose rank is in the upper bits of the id."""
+    for candidate, near, radius in candidates:
+        if goals[candidate >> RANK].open(ledger):
+            ledger.offer(candidate, near, radius)
+
+
+def with_radii(c: DataFrame, everything: DataFrame, train: DataFrame, base: float, config: Config) -> DataFrame:
+    """Candidates (id, v) with the radius that density gives them, without those that stored training rows don't leave room for."""
     s = config.spheres
-    base = base if base is not None else base_radius(p, config)
-    c = materialise(propose(p, existing, config, num, filtered=num is None), "proposed")
     if s.radius == "fixed" or s.adaptive == "none":
         radii = c.select("id", F.lit(base).alias("radius"))
     else:
         radii = dens.adaptive_radius(c, everything, base, s.adaptive, s.min_radius, s.max_radius, s.scale_factor, config.metric)
-    c = materialise(validate(c.join(radii, "id"), train, s.min_radius, config.metric), "valid")
+    return materialise(validate(c.join(radii, "id"), train, s.min_radius, config.metric), "valid")
+
+
+def in_reach(c: DataFrame, p: DataFrame, config: Config) -> Iterator[tuple[int, list[tuple[float, int, str | None]], float]]:
+    """The candidates (id, v, radius) in order of their ids, each with the rows (id, v, label) within its radius, one at a time."""
     reach = c.agg(F.max("radius")).first()[0]
     if reach is None:
-        return c
-    sparse = distances(c.select("id", "v"), p, config.metric, within=reach + s.buffer)
-    rows = sparse.groupBy(F.col("l").alias("id")).agg(F.sort_array(F.collect_list(F.struct("d", "r"))).alias("near")).join(c.select("id", "radius"), "id")
-    # What comes here is bounded by candidates times rows within one radius.
-    near = [(r.id, [(x.r, x.d) for x in r.near], r.radius) for r in rows.orderBy("id").toLocalIterator()]
-    taken = scan(near, deficit, max(1, int(total * config.splits.tolerance)), s.min_radius, s.buffer)
-    if not taken:
+        return
+    sparse = distances(c.select("id", "v"), p.select("id", "v"), config.metric, within=reach)
+    sparse = sparse.join(c.select(F.col("id").alias("l"), "radius"), "l").where("d <= radius").join(p.select(F.col("id").alias("r"), F.lower("label").alias("label")), "r")
+    rows = sparse.groupBy("l", "radius").agg(F.sort_array(F.collect_list(F.struct("d", "r", "label"))).alias("near")).orderBy("l")
+    for row in rows.toLocalIterator():
+        yield row.l, [(x.d, x.r, x.label) for x in row.near], row.radius
+
+
+def _accepted(c: DataFrame, ledger: Ledger) -> DataFrame:
+    """The accepted candidates (id, v, radius), with the radius they were given."""
+    if not ledger.accepted:
         return c.limit(0)
-    spark = p.sparkSession
-    order = spark.createDataFrame([(a.candidate, a.radius) for a in taken], "id long, radius double")
-    return c.drop("radius").join(order, "id")
+    order = c.sparkSession.createDataFrame(ledger.accepted, "id long, radius double")
+    return c.drop("radius").join(F.broadcast(order), "id").select("id", "v", "radius")
+
 
+def _overshoot(total: int, config: Config) -> int:
+    return max(1, int(total * config.splits.tolerance))
 
-def class_order(labels: DataFrame, stored: DataFrame, config: Config) -> DataFrame:
-    """(label, total, n_eval, wanted) of batch and stored rows (label, split), lower case, rare classes first."""
+
+def closed_loop(
+    p: DataFrame, everything: DataFrame, train: DataFrame, existing: DataFrame, deficit: int, total: int, config: Config, num: int | None = None, base: float | None = None
+) -> DataFrame:
+    """Anchors (id, v, radius) over unassigned rows p: propose, give radii, validate, then accept in order until the deficit is met."""
+    base = base if base is not None else base_radius(p, config)
+    c = materialise(propose(p, existing, config, num, filtered=num is None), "proposed")
+    c = with_radii(c, everything, train, base, config)
+    ledger = Ledger(deficit, 0, _overshoot(total, config), config.spheres.min_radius)
+    scan(in_reach(c, p.select("id", "v", F.lit(None).cast("string").alias("label")), config), ledger)
+    return _accepted(c, ledger)
+
+
+def class_counts(labels: DataFrame, stored: DataFrame, config: Config) -> DataFrame:
+    """(label, total, n_eval, target) of batch and stored rows (label, split), lower case, rare classes first."""
     both = labels.select(F.lower("label").alias("label"), "split").unionByName(stored.select(F.lower("label").alias("label"), "split"))
     counted = both.where("label is not null").groupBy("label").agg(
         F.count(F.lit(1)).alias("total"), F.count_if(F.col("split").isin("validation", "test", "val")).alias("n_eval")
     )
-    target = F.greatest(F.lit(1), F.floor(F.col("total") * config.splits.eval)).cast("long")
-    return counted.withColumn("wanted", target - F.col("n_eval")).orderBy("total", "label")
-
+    return counted.withColumn("target", F.greatest(F.lit(1), F.floor(F.col("total") * config.splits.eval)).cast("long")).orderBy("total", "label")
 
-def class_aware_loop(p: DataFrame, everything: DataFrame, train: DataFrame, existing: DataFrame, stored: DataFrame, deficit: int, total: int, config: Config) -> DataFrame:
-    """Anchors by class, rare ones first, each filled to four fifths of its target; then without regard to class.
 
-    p: unassigned rows (id, v, label). Classes with fewer than five of them wait for the last pass."""
-    p, everything = materialise(p, "class-rows"), materialise(everything, "class-all")
-    base = base_radius(p, config)
-    order = class_order(everything.join(p.select("id", F.lit("unassigned").alias("_s")), "id", "left").withColumn("split", F.coalesce("split", "_s")), stored, config)
-    spark = p.sparkSession
-    found: DataFrame = spark.createDataFrame([], "id long, v array<double>, radius double")
-    rest, first = p, 0
-    for r in order.collect():
-        goal = int(0.8 * max(1, int(r.total * config.splits.eval))) - r.n_eval
-        own = rest.where(F.lower("label") == r.label)
-        n = own.count()
-        if n < 5 or goal <= 0 or deficit <= 0:
+def class_aware_loop(
+    p: DataFrame, everything: DataFrame, train: DataFrame, existing: DataFrame, stored: DataFrame, target: int, n_eval: int, total: int, config: Config
+) -> DataFrame:
+    """Anchors (id, v, radius) by class, rare ones first, each filled to four fifths of its target; then without regard to class.
+
+    p: unassigned rows (id, v, label); everything: the batch (id, v, label, split); n_eval of ``target`` eval rows are there already. Any
+    free row in a sphere is taken, whatever its class, and counts for the target and for its own class. Classes with fewer than five
+    unassigned rows wait for the last pass. Candidates of all classes are proposed, given radii and compared with p at once."""
+    p, everything = materialise(p.select("id", "v", "label"), "class-rows"), materialise(everything, "class-all")
+    base = base_radius(p.select("id", "v"), config)
+    ledger = Ledger(target, n_eval, _overshoot(total, config), config.spheres.min_radius)
+    sizes = {r.label: r.n for r in p.groupBy(F.lower("label").alias("label")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    goals: dict[int, Goal] = {}
+    parts = []
+    for rank, r in enumerate(class_counts(everything, stored, config).collect()):
+        ledger.by_class[r.label] = r.n_eval
+        goals[rank] = Goal(r.label, r.target)
+        n = sizes.get(r.label, 0)
+        if n < LEAST_OF_CLASS or not goals[rank].open(ledger):  # what is closed now stays so
             continue
-        num = max(3, int(n * 0.5) * 3)
-        new = closed_loop(own.select("id", "v"), everything.select("id", "v"), train, existing, min(goal, deficit), total, config, num, base)
-        found, rest, deficit, first = _take(found, rest, new, deficit, first, config)
-    if deficit > 0 and not rest.isEmpty():
-        new = closed_loop(rest.select("id", "v"), everything.select("id", "v"), train, existing, deficit, total, config)
-        found, rest, deficit, first = _take(found, rest, new, deficit, first, config)
+        own = p.where(F.lower("label") == r.label).select("id", "v")
+        c = propose(own, existing, config, max(3, int(n * 0.5) * 3), filtered=False)
+        number = F.row_number().over(Window.partitionBy(F.lit(rank)).orderBy("id")).cast("long")
+        parts.append(c.select((F.lit(rank << RANK) + number).cast("long").alias("id"), "v"))
+    found = p.select("id", "v", F.lit(0.0).alias("radius")).limit(0)
+    if parts:
+        c = with_radii(materialise(reduce(DataFrame.unionByName, parts), "proposed"), everything.select("id", "v"), train, base, config)
+        scan_classes(in_reach(c, p, config), goals, ledger)
+        found = materialise(_accepted(c, ledger), "accepted")
+    if not ledger.full:
+        inside = spheres.containing(p.select("id", "v"), to_anchors(found, config), config.metric).select("id").distinct()
+        rest = materialise(p.select("id", "v").join(inside, "id", "left_anti"), "rest")
+        if not rest.isEmpty():
+            known = existing.select("id", "v").unionByName(found.select("id", "v"))
+            more = closed_loop(rest, everything.select("id", "v"), train, known, target - ledger.n_eval, total, config)
+            found = found.unionByName(more.withColumn("id", F.col("id") + F.lit(1 << 62)))
     return found
 
 
-def _take(found: DataFrame, rest: DataFrame, new: DataFrame, deficit: int, first: int, config: Config) -> tuple[DataFrame, DataFrame, int, int]:
-    new = materialise(new.select((F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("id")) + first).cast("long").alias("id"), "v", "radius"), "accepted")
-    as_anchors = to_anchors(new, config, config.spheres.buffer)
-    hit = materialise(spheres.containing(rest.select("id", "v"), as_anchors, config.metric).groupBy("id").agg(F.min_by("d", "anchor_id").alias("d"), F.min("anchor_id").alias("a")), "captured")
-    inner = hit.join(new.select(F.col("id").alias("a"), "radius"), "a").where("d < radius").count()
-    return found.unionByName(new), materialise(rest.join(hit.select("id"), "id", "left_anti"), "rest"), deficit - inner, first + new.count()
-
-
 def to_anchors(placed: DataFrame, config: Config, buffer: float = 0.0, first: int = 0) -> DataFrame:
     """Anchor rows of placed (id, v, radius), numbered in their order from first on."""
     number = (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("id")) - 1 + first).cast("long")

@@ -71,11 +71,19 @@ def containing_lists(p: DataFrame, anchors: DataFrame, metric: str = "cosine") -
     return p.select("id").join(found, "id", "left").withColumn("anchor_ids", F.coalesce("anchor_ids", F.array().cast("array<bigint>")))
 
 
-def assign(p: DataFrame, anchors: DataFrame, metric: str = "cosine") -> DataFrame:
-    """(id, split, anchor_id, distance, n_containing): the first containing anchor decides, not the nearest."""
-    first = containing(p, anchors, metric).groupBy("id").agg(F.min(F.struct("anchor_id", "d")).alias("m"), F.count(F.lit(1)).cast("int").alias("n_containing"))
-    met = first.select("id", "m.anchor_id", F.col("m.d").alias("distance"), "n_containing").join(anchors.drop("center"), "anchor_id")
-    met = met.select("id", split_at(F.col("distance"), F.col("base_radius"), F.col("buffer_radius"), F.col("shells")).alias("split"), "anchor_id", "distance", "n_containing")
+def assign(p: DataFrame, anchors: DataFrame, metric: str = "cosine", placed: bool = False) -> DataFrame:
+    """(id, split, anchor_id, distance, n_containing): the first containing anchor decides, not the nearest.
+
+    placed: anchors were placed one after another over p. A row in a border can still be taken then: the first anchor that has it
+    within its base radius decides, else the last one whose border it is in."""
+    met = containing(p, anchors, metric).join(anchors.drop("center"), "anchor_id")
+    at = F.struct("anchor_id", "d", "base_radius", "buffer_radius", "shells")
+    first, last = F.min_by(at, "anchor_id"), F.max_by(at, "anchor_id")
+    if placed:
+        first = F.coalesce(F.min_by(at, F.when(F.col("d") <= F.col("base_radius"), F.col("anchor_id"))), last)
+    met = met.groupBy("id").agg(first.alias("m"), F.count(F.lit(1)).cast("int").alias("n_containing"))
+    split = split_at(F.col("m.d"), F.col("m.base_radius"), F.col("m.buffer_radius"), F.col("m.shells"))
+    met = met.select("id", split.alias("split"), "m.anchor_id", F.col("m.d").alias("distance"), "n_containing")
     return p.select("id").join(met, "id", "left").select(
         "id", F.coalesce("split", F.lit("train")).alias("split"), "anchor_id", "distance", F.coalesce("n_containing", F.lit(0)).alias("n_containing")
     )

@@ -4,19 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orbisplit.config import Config, Placement, Spheres
 from orbisplit.functions import encoders
 from orbisplit.functions import vectors as vec
 from orbisplit.operators import dedup, density, pairs, placement, report, sampling, spheres
+from orbisplit.sources.tables import materialise
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 N_ANCHORS, RADIUS, BUFFER = 10, 0.8, 0.05
-CONFIG = Config(spheres=Spheres(max_radius=0.8, percentile=20.0), placement=Placement(min_distance=0.3), dedup=Config().dedup)
+CONFIG = Config(spheres=Spheres(max_radius=0.8, percentile=20.0, strategy="inner_val"), placement=Placement(min_distance=0.3))
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -417,7 +418,20 @@ def validate_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(placement.validate(c, train, 0.01).select(F.col("id").alias("anchor_id"), "radius"), "radius")
 
 
-@query()
+def _capped_sql(rows: str, low: float, radius: float) -> str:
+    """Add the radius ``r`` to rows that have ``free`` (structs with a distance d) and ``allowed``: five bisections, written out."""
+    n = lambda x: f"len(list_filter(free, lambda x: x.d < {x}))"
+    sql = f"SELECT *, {low}::DOUBLE AS a0, {radius}::DOUBLE AS b0 FROM ({rows})"
+    for i in range(5):
+        m = f"(a{i} + b{i}) / 2"
+        sql = f"SELECT *, CASE WHEN {n(m)} > allowed THEN a{i} ELSE {m} END AS a{i + 1}, CASE WHEN {n(m)} > allowed THEN {m} ELSE b{i} END AS b{i + 1} FROM ({sql})"
+    return f"SELECT *, CASE WHEN {n(radius)} > allowed THEN a5 ELSE {radius} END AS r FROM ({sql})"
+
+
+@query(
+    "SELECT anchor_id, round(r, 6) AS radius, len(list_filter(free, lambda x: x.d < r)) AS captured FROM ("
+    + _capped_sql("SELECT anchor_id, 5 AS allowed, list({'d': d}) AS free FROM far WHERE d <= 0.8 GROUP BY anchor_id", 0.01, 0.8) + ")"
+)
 def eval_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The radius at which each anchor captures at most five rows."""
     d = pairs.distances(points(spark, sf_dir), spheres.centers(anchors(spark, sf_dir)), within=RADIUS)
@@ -430,12 +444,89 @@ def eval_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(d.groupBy("r").applyInPandas(one, "r long, radius double, captured long").withColumnRenamed("r", "anchor_id"), "radius")
 
 
+def _taken(p: DataFrame, c: DataFrame, ledger: placement.Ledger) -> DataFrame:
+    """(id, split, place): rows that accepted candidates took, with the candidate's place among those."""
+    a = placement.to_anchors(placement._accepted(c, ledger), CONFIG)
+    return spheres.assign(p.select("id", "v"), a, placed=True).where("anchor_id is not null").select("id", "split", F.col("anchor_id").alias("place"))
+
+
+def _candidates(p: DataFrame, n: int, *by: str) -> DataFrame:
+    """The n rows (of each group) that a hash puts first, as candidates of one radius."""
+    order = Window.partitionBy(*by or [F.lit(0)]).orderBy("u", "id")
+    return p.withColumn("u", vec.uniform(42, F.col("id"))).withColumn("k", F.row_number().over(order).cast("long") - 1).where(F.col("k") < n).withColumn("radius", F.lit(RADIUS))
+
+
+def _walk_sql(candidates: str, goes_on: str, is_open: str) -> str:
+    """Candidates (k, n, cls, goal, fill) in order, as a recursion that carries the rows taken."""
+    row = "STRUCT(d DOUBLE, id BIGINT, label VARCHAR)[]"
+    offered = (
+        "SELECT w.k + 1 AS k, w.taken, w.place, len(w.taken) AS n_eval, o.cls, o.goal, o.fill, t.target, t.target - len(w.taken) + t.overshoot AS allowed, "
+        "list_filter(o.near, lambda x: NOT list_contains(list_transform(w.taken, lambda y: y.id), x.id)) AS free "
+        f"FROM walk w JOIN offer o ON o.k = w.k + 1 CROSS JOIN total t WHERE {goes_on}"
+    )
+    capped = _capped_sql(offered, CONFIG.spheres.min_radius, RADIUS)
+    return CTE.replace("WITH e AS", "WITH RECURSIVE e AS").rstrip() + f""",
+hashed AS (SELECT *, ('0x' || substr(md5('42:' || id), 1, 8))::BIGINT / 4294967296.0 AS u FROM unit),
+total AS (SELECT floor(count(*) * 0.2)::BIGINT AS target, greatest(1, floor(count(*) * 0.03))::BIGINT AS overshoot FROM e),
+cand AS ({candidates}),
+offer AS (
+  SELECT k, any_value(cls) AS cls, any_value(goal) AS goal, any_value(fill) AS fill, list({{'d': d, 'id': id, 'label': label}} ORDER BY d, id) AS near
+  FROM (SELECT c.k, c.cls, c.goal, c.fill, p.id, p.label, greatest(1 - list_dot_product(p.n, c.n), 0) AS d FROM cand c CROSS JOIN unit p) WHERE d <= {RADIUS} GROUP BY k),
+walk(k, taken, place, got) AS (
+  SELECT -1::BIGINT, []::{row}, -1::BIGINT, []::{row}
+  UNION ALL
+  SELECT k, CASE WHEN ok THEN list_concat(taken, inside) ELSE taken END, CASE WHEN ok THEN place + 1 ELSE place END,
+         CASE WHEN ok THEN list_transform(inside, lambda x: {{'d': x.d / r, 'id': x.id, 'label': x.label}}) ELSE []::{row} END
+  FROM (SELECT *, len(inside) > 1 AND {is_open} AS ok FROM (SELECT *, list_filter(free, lambda x: x.d < r) AS inside FROM ({capped}))))
+SELECT g.id AS id, CASE WHEN g.d < power(0.5, 1 / 64.0) * 0.7 THEN 'validation' ELSE 'test' END AS split, place FROM (SELECT unnest(got) AS g, place FROM walk)"""
+
+
+@query()
+def closed_loop_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scan of the closed loop over 40 given candidates of one radius: rows taken, and the place of the anchor that took each."""
+    p = labelled(spark, sf_dir)
+    c = materialise(_candidates(p, 40).select(F.col("k").alias("id"), "v", "radius"), "offered")
+    n = p.count()
+    ledger = placement.Ledger(int(n * 0.2), 0, max(1, int(n * 0.03)), CONFIG.spheres.min_radius)
+    placement.scan(placement.in_reach(c, p, CONFIG), ledger)
+    return _taken(p, c, ledger)
+
+
+SQL["closed_loop_accept"] = _walk_sql(
+    "SELECT row_number() OVER (ORDER BY u, id) - 1 AS k, n, NULL::VARCHAR AS cls, 0 AS goal, 0 AS fill FROM hashed ORDER BY u, id LIMIT 40", "len(w.taken) < t.target", "true"
+)
+
+
+@query()
+def class_aware_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scan by classes, rare ones first, over six given candidates of each."""
+    p = labelled(spark, sf_dir)
+    everything = p.withColumn("split", F.lit("unassigned"))
+    counts = placement.class_counts(everything, everything.select("label", "split").limit(0), CONFIG).collect()
+    goals = {i: placement.Goal(r.label, r.target) for i, r in enumerate(counts)}
+    rank = F.create_map(*[F.lit(x) for i, g in goals.items() for x in (g.label, i)])[F.lower("label")].cast("long")
+    c = _candidates(p, 6, "label").withColumn("id", F.shiftleft(rank, placement.RANK) + F.col("k"))
+    c = materialise(c.select("id", "v", "radius"), "offered")
+    n = p.count()
+    ledger = placement.Ledger(int(n * 0.2), 0, max(1, int(n * 0.03)), CONFIG.spheres.min_radius)
+    placement.scan_classes(placement.in_reach(c, p, CONFIG), goals, ledger)
+    return _taken(p, c, ledger)
+
+
+SQL["class_aware_accept"] = _walk_sql(
+    "SELECT row_number() OVER (ORDER BY c, label, u, id) - 1 AS k, n, label AS cls, greatest(1, floor(c * 0.2)) AS goal, floor(greatest(1, floor(c * 0.2)) * 0.8) AS fill "
+    "FROM (SELECT *, count(*) OVER (PARTITION BY label) AS c, row_number() OVER (PARTITION BY label ORDER BY u, id) AS nth FROM hashed) WHERE nth <= 6",
+    "true",
+    "len(list_filter(taken, lambda y: y.label = cls)) < fill AND (n_eval < target OR len(list_filter(taken, lambda y: y.label = cls)) < 0.5 * goal)",
+)
+
+
 def _loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points(spark, sf_dir)
     none = p.limit(0)
     n = p.count()
     placed = placement.closed_loop(p, p, none, none, int(n * 0.2), n, CONFIG)
-    return spheres.assign(p, placement.to_anchors(placed, CONFIG))
+    return spheres.assign(p, placement.to_anchors(placed, CONFIG), placed=True)
 
 
 @query()
@@ -449,8 +540,8 @@ def class_aware_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     everything = p.withColumn("split", F.lit("unassigned"))
     none = p.select("id", "v").limit(0)
     n = p.count()
-    placed = placement.class_aware_loop(p, everything, none, none, everything.select("label", "split").limit(0), int(n * 0.2), n, CONFIG)
-    return spheres.assign(p.select("id", "v"), placement.to_anchors(placed, CONFIG))
+    placed = placement.class_aware_loop(p, everything, none, none, everything.select("label", "split").limit(0), int(n * 0.2), 0, n, CONFIG)
+    return spheres.assign(p.select("id", "v"), placement.to_anchors(placed, CONFIG), placed=True)
 
 
 @query()
@@ -602,6 +693,14 @@ def representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.representatives(assigned(spark, sf_dir), 3).select("anchor_id", "id", F.col("rank").cast("long").alias("rank"))
 
 
+_FAR = ", s1 AS (SELECT 0 AS place, arg_max(anchor_id, (list_distance(v, m), -anchor_id)) AS anchor_id FROM chosen, (SELECT list(a ORDER BY i) AS m FROM (SELECT i, avg(v[i]) AS a FROM chosen, range(1, 65) r(i) GROUP BY i)))"
+for _i in range(1, 5):
+    _FAR += (
+        f", s{_i + 1} AS (SELECT * FROM s{_i} UNION ALL SELECT {_i}, arg_max(anchor_id, (d, -anchor_id)) FROM ("
+        f"SELECT c.anchor_id, min(list_distance(c.v, t.v)) AS d FROM chosen c CROSS JOIN chosen t WHERE t.anchor_id IN (SELECT anchor_id FROM s{_i}) GROUP BY c.anchor_id))"
+    )
+
+
 @query()
 def farthest_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A spread order of the anchors."""
@@ -612,6 +711,9 @@ def farthest_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(order)), "place long, anchor_id long")
 
 
+SQL["farthest_point"] = CTE.rstrip() + _FAR + " SELECT place::BIGINT AS place, anchor_id FROM s5"
+
+
 def _plane(spark: SparkSession, sf_dir: str) -> DataFrame:
     return density.pca(points(spark, sf_dir), 2).select("id", F.col("pc")[0].alias("x"), F.col("pc")[1].alias("y"))
 
@@ -621,10 +723,12 @@ def pca_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_plane(spark, sf_dir), "x", "y")
 
 
-@query()
+@query("SELECT a.i AS a, b.i AS b, (a.i = b.i)::INT::DOUBLE AS covariance FROM range(64) a(i), range(64) b(i) WHERE a.i <= b.i")
 def whitened(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = density.whiten(points(spark, sf_dir))
-    return rounded(w.select("id", vec.norm(F.col("v")).alias("size")), "size")
+    """The covariances of whitened vectors, which are those of independent axes of variance one."""
+    w = density.whiten(points(spark, sf_dir)).select("id", F.posexplode("v").alias("a", "x"))
+    both = w.join(w.select("id", F.col("a").alias("b"), F.col("x").alias("y")), "id").where("a <= b")
+    return rounded(both.groupBy(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).agg(F.covar_samp("x", "y").alias("covariance")), "covariance")
 
 
 @query(
@@ -664,13 +768,24 @@ def split_hulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(report.hulls(a.select("split", F.col("v")[0].alias("x"), F.col("v")[1].alias("y")), ["split"]), "x", "y")
 
 
-@query()
+SQL["split_hulls"] = CTE.replace("WITH e AS", "WITH RECURSIVE e AS").rstrip() + """,
+flat AS (SELECT split, v[1] AS x, v[2] AS y FROM assigned JOIN e USING (id)),
+side AS (SELECT p.split, p.x, p.y, q.x AS to_x, q.y AS to_y FROM flat p JOIN flat q ON p.split = q.split AND (p.x, p.y) <> (q.x, q.y)
+  WHERE NOT EXISTS (SELECT 1 FROM flat r WHERE r.split = p.split AND (q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x) < 0)),
+way(split, place, x, y) AS (SELECT split, 0, arg_min(x, (x, y)), arg_min(y, (x, y)) FROM side GROUP BY split
+  UNION ALL SELECT s.split, w.place + 1, s.to_x, s.to_y FROM way w JOIN side s ON s.split = w.split AND s.x = w.x AND s.y = w.y
+  WHERE (s.to_x, s.to_y) <> (SELECT min((f.x, f.y)) FROM side f WHERE f.split = s.split))
+SELECT split, place, round(x, 6) + 0 AS x, round(y, 6) + 0 AS y FROM way"""
+
+
+@query("SELECT anchor_id, 20 AS n, i - 1 AS dim, round(v[i], 6) + 0 AS mean FROM chosen, range(1, 65) r(i)")
 def sphere_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = report.sphere_samples(anchors(spark, sf_dir), 20)
-    return rounded(s.select("anchor_id", "i", vec.norm(F.col("v")).alias("size")), "size")
+    """The mean of points on a sphere's boundary, which is its centre."""
+    s = report.sphere_samples(anchors(spark, sf_dir), 20).select("anchor_id", F.posexplode("v").alias("dim", "x"))
+    return rounded(s.groupBy("anchor_id", F.col("dim").cast("long").alias("dim")).agg(F.count(F.lit(1)).cast("int").alias("n"), F.avg("x").alias("mean")), "mean")
 
 
-@query()
+@query("SELECT anchor_id, i::INTEGER AS i, round(sqrt(list_dot_product(v, v)), 6) AS size FROM chosen, range(20) r(i)")
 def sphere_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = report.sphere_samples(anchors(spark, sf_dir), 20, volume=True)
     return rounded(s.select("anchor_id", "i", vec.norm(F.col("v")).alias("size")), "size")

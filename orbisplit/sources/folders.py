@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orbisplit.functions.vectors import base_name, suffix
+from orbisplit.sources.tables import materialise
 
 #: File endings that count as images.
 IMAGES = ("png", "jpg", "jpeg", "bmp", "tiff", "tif", "webp")
@@ -16,24 +17,47 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p)
 
 
+def _is_image(path: str = "path") -> Column:
+    return suffix(F.col(path)).isin(*[f".{s}" for s in IMAGES])
+
+
 def image_files(spark: SparkSession, folder: str) -> DataFrame:
     """(filename, path), sorted by name, of the folder itself; none is an error. Contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder).select("path")
-    files = files.where(suffix(F.col("path")).isin(*[f".{s}" for s in IMAGES])).select(base_name(F.col("path")).alias("filename"), "path")
+    files = files.where(_is_image()).select(base_name(F.col("path")).alias("filename"), "path")
     if files.isEmpty():
         raise FileNotFoundError(f"no images in {folder}")
     return files.orderBy("filename")
 
 
+def numbered(df: DataFrame, name: str = "original_index") -> DataFrame:
+    """Rows numbered from 0 in the order they are in: written with their place within a partition, then moved by what stands before."""
+    at = F.monotonically_increasing_id()
+    df = materialise(df.withColumns({"_part": F.shiftright(at, 33), "_row": at.bitwiseAND(F.lit((1 << 33) - 1))}), "numbered")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = df.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    # A row for each partition.
+    return df.join(F.broadcast(starts), "_part").withColumn(name, (F.col("_start") + F.col("_row")).cast("long")).drop("_part", "_row", "_start")
+
+
 def annotations(spark: SparkSession, folder: str) -> DataFrame:
-    """``annotations.csv`` with all its columns, else the image files; ``original_index`` numbers the rows from 0."""
+    """``annotations.csv`` with all its columns, as strings, in the order of the file, else the image files by name; ``original_index``
+    numbers the rows from 0."""
     path = f"{folder.rstrip('/')}/annotations.csv"
-    found = spark.read.option("header", True).option("inferSchema", True).csv(path) if _exists(spark, path) else image_files(spark, folder).select("filename")
-    by = Window.partitionBy(F.lit(0)).orderBy(*(["filename"] if "filename" in found.columns else found.columns))
-    return found.withColumn("original_index", (F.row_number().over(by) - 1).cast("long"))
+    if not _exists(spark, path):
+        return numbered(image_files(spark, folder).select("filename"))
+    found = spark.read.option("header", True).option("escape", '"').csv(path)
+    # One file's pieces come in their order, a partition each: they are of one size but for the last.
+    return numbered(found)
 
 
 def contents(spark: SparkSession, folder: str) -> DataFrame:
     """(filename, content) of the image files."""
     files = spark.read.format("binaryFile").load(folder)
-    return files.where(suffix(F.col("path")).isin(*[f".{s}" for s in IMAGES])).select(base_name(F.col("path")).alias("filename"), "content")
+    return files.where(_is_image()).select(base_name(F.col("path")).alias("filename"), "content")
+
+
+def images(spark: SparkSession, folder: str) -> DataFrame:
+    """(filename, height, width, nChannels, data) of the image files, decoded by Spark's image source; what it cannot read has no data."""
+    files = spark.read.format("image").option("dropInvalid", False).load(folder).select("image.*").where(_is_image("origin"))
+    return files.select(base_name(F.col("origin")).alias("filename"), "height", "width", "nChannels", F.when(F.col("height") > 0, F.col("data")).alias("data"))

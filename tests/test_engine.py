@@ -1,16 +1,24 @@
 """Incremental rounds, replay, streams and folders."""
 
+import copy
 import dataclasses
+import logging
+import struct
 import uuid
+import zlib
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orbisplit.config import Batch, Config, Dedup, Placement, Spheres
-from orbisplit.functions.encoders import encode, hashed_text
-from orbisplit.plans.engine import Engine, run_batch, run_folder, run_id_of
+from orbisplit.config import Batch, Config, Dedup, Encoding, Pixels, Placement, Spheres, batch_from_yaml, from_dict
+from orbisplit.functions.encoders import IMAGE_ENCODERS, encode, hashed_text
+from orbisplit.operators import report
+from orbisplit.plans import summary
+from orbisplit.plans.engine import Engine, embed_folder, log_to, run_batch, run_folder, run_id_of
 from orbisplit.sources import folders
+from orbisplit.sources.state import State
 from orbisplit.sources.tables import shared_root
 from orbisplit.streaming.ingest import ingest_stream
 
@@ -88,3 +96,126 @@ def test_folders(spark, tmp_path):
         folders.annotations(spark, str(empty))
     root = f"{shared_root(spark)}/batch-{uuid.uuid4().hex}"
     assert run_batch(spark, Batch((str(empty), str(tmp_path)), root), by_name) == [str(empty)]
+
+
+def test_annotations_keep_the_order_of_their_file(spark, tmp_path):
+    names = [f"f{(i * 37) % 101:03d}.png" for i in range(101)]
+    (tmp_path / "annotations.csv").write_text("filename,label\n" + "".join(f"{n},{i}\n" for i, n in enumerate(names)))
+    found = folders.annotations(spark, str(tmp_path)).orderBy("original_index").collect()
+    assert [(r.filename, r.original_index, r.label) for r in found] == [(n, i, str(i)) for i, n in enumerate(names)]
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200b")
+    try:
+        assert [r.filename for r in folders.annotations(spark, str(tmp_path)).orderBy("original_index").collect()] == names
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def png(path, rgb):
+    """An 8-bit image of rows of (red, green, blue)."""
+    raw = b"".join(b"\0" + bytes(c for p in row for c in p) for row in rgb)
+    chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
+    head = struct.pack(">IIBBBBB", len(rgb[0]), len(rgb), 8, 2, 0, 0, 0)
+    path.write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b""))
+
+
+def test_images_are_decoded_prepared_and_encoded(spark, tmp_path):
+    png(tmp_path / "red.png", [[(255, 0, 0)] * 40] * 20)
+    png(tmp_path / "half.png", [[(0, 255, 0)] * 10 + [(0, 0, 255)] * 10] * 20)
+    (tmp_path / "broken.png").write_bytes(b"no image")
+    e = engine(spark, dataclasses.replace(CONFIG, pixels=Pixels(resize=20, crop=20, normalise=False), encoding=Encoding(primary="grid-2", normalise=False)))
+    rows = spark.createDataFrame([("red.png",), ("half.png",), ("broken.png",), ("missing.png",)], "filename string")
+    v = {r.filename: np.round(np.reshape(r.v, (3, 2, 2)), 2).tolist() for r in embed_folder(e, str(tmp_path), rows).collect()}
+    one, none = [[1.0, 1.0]] * 2, [[0.0, 0.0]] * 2
+    assert v["red.png"] == [one, none, none] and v["half.png"] == [none, [[1.0, 0.0]] * 2, [[0.0, 1.0]] * 2]
+    assert v["broken.png"] == v["missing.png"] == [none] * 3
+    two = dataclasses.replace(e.config, encoding=Encoding("grid-2", ("grid-2-siglip",), "union", 0.01), pixels=Pixels(resize=20, crop=20))
+    monkey = IMAGE_ENCODERS.setdefault("grid-2-siglip", lambda x: x[:, :, ::10, ::10].reshape(len(x), -1))
+    try:
+        both = embed_folder(Engine(spark, e.root, two), str(tmp_path), rows)
+        assert {len(r.v) for r in both.collect()} == {12} and monkey
+    finally:
+        IMAGE_ENCODERS.clear()
+    with pytest.raises(ValueError):
+        embed_folder(Engine(spark, e.root, dataclasses.replace(e.config, encoding=Encoding("unknown/model"))), str(tmp_path), rows)
+
+
+def test_rows_without_a_file_stay_in_the_dataset(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    for f in ("one", "two", "three"):
+        (tmp_path / f).mkdir()
+        names = [f"{f}{i:02d}.png" for i in range(24)]
+        for name in names[1:]:
+            png(tmp_path / f / name, [[tuple(map(int, rng.integers(0, 256, 3))) for _ in range(4)] for _ in range(4)])
+        extra = ",more" if f == "two" else ""
+        (tmp_path / f / "annotations.csv").write_text(f"filename,label{extra}\n" + "".join(f"{n},{'ab'[i % 2]}{extra and ',x'}\n" for i, n in enumerate(names)))
+    root = f"{shared_root(spark)}/batch-{uuid.uuid4().hex}"
+    settings = tmp_path / "settings.yaml"
+    settings.write_text("pixels: {resize: 4, crop: 4}\nencoding: {primary: grid-4}\nspheres: {max_radius: 0.8}\n")
+    batch = tmp_path / "batch.yaml"
+    batch.write_text(f"folders: [{tmp_path}/one, {tmp_path}/two, {tmp_path}/three]\noutput_dir: {root}\nconfig: {settings}\nreports: [stats, rebuilt, {{type: standalone, save: flat}}]\n")
+    assert run_batch(spark, batch_from_yaml(str(batch))) == []
+    state = State(spark, root)
+    data = state.dataset()
+    n = {r.folder_path: r["count"] for r in data.groupBy("folder_path").count().collect()}
+    # The black image is in each folder; it is a duplicate in the second and third.
+    assert n == {f"{tmp_path}/one": 24, f"{tmp_path}/two": 23, f"{tmp_path}/three": 23}
+    assert {"filename", "label", "more", "run_id", "dataset_split", "train_split", "original_index", "anchor_id"} <= set(data.columns)
+    assert data.where("more = 'x'").count() == 23
+    runs = [r.run_id for r in state.runs().collect()]
+    assert len(runs) == 3 and state.dataset(runs[:1]).count() == 24
+    s = report.statistics(state.assignments(), "dataset_split").first()
+    assert s.total_points == 70 and 0 < s.eval_ratio <= 0.25
+    members = state.similar().groupBy("anchor_id").count().collect()
+    want = {r.anchor_id: r["count"] for r in state.assignments().where("anchor_id is not null").groupBy("anchor_id").count().collect()}
+    assert {r.anchor_id: r["count"] for r in members} == want
+    assert state.anchors_of([0]).count() == 1
+    stats = spark.read.parquet(f"{root}/reports/stats")
+    assert stats.where("section = 'dataset' and name = 'total_points'").first().value == 70
+    assert spark.read.text(f"{root}/reports/stats.txt").count() == stats.count()
+    closest = spark.read.parquet(f"{root}/reports/rebuilt")
+    assert closest.count() == 70 and closest.where("split = 'train' and anchor_id is null and closest_anchor is null").isEmpty()
+    flat, centers = summary.projected(state)
+    assert {len(r.p) for r in flat.collect()} == {2} and centers.count() == state.anchors().count()
+    assert summary.radius_histogram(state).agg(F.sum("n")).first()[0] == centers.count()
+    assert summary.representatives(state).select("anchor_id").distinct().count() == min(7, len(want))
+    plan = state.dataset(runs[:1])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "run_id" in plan[plan.index("PartitionFilters") :]
+
+
+def test_log_file(tmp_path):
+    handler = log_to(str(tmp_path / "x.log"), Config(log_level="WARNING"))
+    logging.getLogger("orbisplit.plans.engine").warning("told")
+    logging.getLogger("orbisplit").removeHandler(handler)
+    handler.close()
+    assert "WARNING told" in (tmp_path / "x.log").read_text()
+
+
+def test_settings_in_sections(tmp_path):
+    given = {
+        "class_aware": False,
+        "foundation_models": {"primary_model": "m", "multi_encoder_enabled": True, "additional_models": ["n"], "consensus_method": "union"},
+        "preprocessing": {"resize_size": {"height": 64, "width": 96}, "do_center_crop": False},
+        "deduplication": {"similarity_threshold": 0.9999},
+        "density_transformation": {"enabled": True, "method": "PCA"},
+        "anchor_placement": {"method": "random", "snap_strategy": "nearest"},
+        "hypersphere": {"adaptive_method": "local_density", "base_radius_mode": "fixed", "base_radius_fixed": 0.2, "buffer_zones": {"enabled": True, "buffer_radius": 0.1}},
+        "nested_shells": {"shell_configuration": "inner_test"},
+        "dataset_splits": {"train_ratio": 0.7, "eval_ratio": 0.3, "ratio_monitoring": {"enabled": True}},
+        "streaming": {"enabled": True, "persistent_anchors": False},
+        "distance": {"metric": "euclidean", "precision": "float32"},
+        "random_seed": {"random_seed": 7},
+    }
+    before = copy.deepcopy(given)
+    c = from_dict(given)
+    assert given == before and not c.class_aware and not c.streaming and c.seed == 7 and c.metric == "euclidean"
+    assert c.encoding == Encoding("m", ("n",), "union", 0.8) and c.pixels == Pixels(resize=64, crop=None)
+    assert c.spheres == Spheres(radius="fixed", fixed_radius=0.2, buffer=0.1, adaptive="density", strategy="inner_test") and c.dedup.threshold == 0.9999
+    assert c.density_transform == "whiten" and c.placement == Placement(method="random", snap="nearest") and c.splits.eval == 0.3
+    assert from_dict({"hypersphere": {"radius_computation": "fixed"}}).spheres == Spheres(adaptive="none")
+    assert from_dict({"foundation_models": {"primary_model": "m", "additional_models": ["n"]}}).encoding.others == ()
+    for bad in ({"hypersphere": {"radius": 1}}, {"hypersphere": {}, "else": {}}, {"dataset_splits": {"train_ratio": 0.9}}):
+        with pytest.raises(ValueError):
+            from_dict(bad)
+    (tmp_path / "b.yaml").write_text("folders: [a]\noutput_dir: o\nbf_config: null\nvisualizations: [{type: stats}, {type: 3d, save: x.html}]\n")
+    assert batch_from_yaml(str(tmp_path / "b.yaml")).reports == ({"type": "stats"}, {"type": "3d", "save": "x.html"})
