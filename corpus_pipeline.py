@@ -2,6 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``. The last
 one adds a row's domain, its tokens, and how many epochs it is taken for.
+
+Defined cases: a null or blank text fails the quality rules and goes; a row without a doc_id is judged by its text in quality and
+secrets, is never a duplicate of a row with one, is never found to leak, and is mixed like any other; rows of one doc_id with
+different texts are judged each by its own text, except that all rows of a doc_id go if a benchmark item is found in one of
+them; rows alike in doc_id and words leave one; of linked documents the smallest doc_id stays; texts of any length are read
+whole; an empty table gives an empty one; further columns, whatever their names, are carried through.
 """
 
 from __future__ import annotations
