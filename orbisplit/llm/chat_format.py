@@ -11,7 +11,8 @@ turn is parsed again and compared with its source; should a plain template ever
 (a backslash before each character that a control string starts with) until it is identical.
 
 Turns are escaped where they lie, one by one; conversations are then gathered by a sort within hash partitions of
-``conv_id`` and streamed, so no conversation is held in memory as a whole, whatever its length.
+``conv_id`` and streamed. The reader gets a conversation's joined text in pieces of PIECE code points, cut wherever they end, and
+finds the turns by the grammar alone; so no conversation is held in memory as a whole, whatever its length.
 
 Defined cases: null text: empty; null role: the empty role; a null ``conv_id`` is a conversation of its own; rows of
 one turn are ordered by (turn, role, text), nulls first, and repeated rows are each a turn; an empty table has no
@@ -22,7 +23,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,6 +32,8 @@ from pyspark.sql import functions as F
 
 from orbisplit.llm.common import bounded_batches
 
+#: Code points of joined text that are read at once.
+PIECE = 1 << 20
 #: Control strings of the template.
 OPEN, MIDDLE, CLOSE = "### ", ": ", "</turn>\n"
 CONTROL = re.compile(r"\\|###|</turn>")
@@ -71,6 +75,34 @@ def parse(rendered: str) -> list[tuple[str, str]]:
     return [(role, unescape(rendered[a:b])) for role, a, b in parse_spans(rendered)]
 
 
+def recut(parts: Iterable[str], size: int = PIECE) -> Iterator[str]:
+    """The joined text in pieces of one size."""
+    held, n = [], 0
+    for part in parts:
+        held.append(part)
+        n += len(part)
+        if n >= size:
+            text = "".join(held)
+            whole = n - n % size
+            yield from (text[i : i + size] for i in range(0, whole, size))
+            held, n = [text[whole:]], n - whole
+    if n:
+        yield "".join(held)
+
+
+def parse_stream(pieces: Iterable[str]) -> Iterator[tuple[str, str]]:
+    """The turns of a text that comes in pieces. A turn ends at its first unescaped close, so none is read before it is whole."""
+    rest = ""
+    for piece in pieces:
+        rest, at = rest + piece, 0
+        while m := TURN.match(rest, at):
+            yield unescape(m[1]), unescape(m[2])
+            at = m.end()
+        rest = rest[at:]
+    if rest:
+        raise ValueError("a text ends within a turn")
+
+
 TURN_SCHEMA = "conv_id long, turn long, role string, text string, rendered string"
 
 
@@ -138,9 +170,16 @@ def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, I
         yield conv, (r[1:] for r in group)
 
 
+def _rendered(rows: Iterator[tuple[str | None, str | None, str]], source: deque[tuple[str, str]], sizes: list[int]) -> Iterator[str]:
+    for role, text, rendered in rows:
+        source.append((role or "", text or ""))
+        sizes.append(len(rendered))
+        yield rendered
+
+
 def digests(conversations: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """Per conversation what a reader of the rendered text finds: turns and loss text are parsed from it, not taken
-    from the source."""
+    """Per conversation what a reader of its joined text finds: turns and loss text are parsed from it, not taken from the source,
+    and then compared with it."""
     bounded_batches(conversations.sparkSession)
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "round_trip"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_()]
@@ -151,18 +190,16 @@ def digests(conversations: DataFrame, loss_roles: tuple[str, ...] = ("assistant"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for conv, rows in _streamed(batches):
-            turns, loss, n, chars, size, same = hashlib.sha256(), hashlib.sha256(), 0, 0, 0, True
-            for role, text, rendered in rows:
-                size += len(rendered)
-                read = parse(rendered)
-                same = same and read == [(role or "", text or "")]
-                for r, t in read:
-                    n += 1
-                    turns.update(f"{r}\n{t}\n".encode())
-                    if r in loss_roles:
-                        chars += len(t)
-                        loss.update(t.encode())
-            out.append((conv, n, turns.hexdigest(), chars, loss.hexdigest(), size, same))
+            turns, loss, n, chars, sizes, same = hashlib.sha256(), hashlib.sha256(), 0, 0, [], True
+            source: deque[tuple[str, str]] = deque()  # turns that are rendered and not read yet
+            for r, t in parse_stream(recut(_rendered(rows, source, sizes))):
+                same = same and bool(source) and source.popleft() == (r, t)
+                n += 1
+                turns.update(f"{r}\n{t}\n".encode())
+                if r in loss_roles:
+                    chars += len(t)
+                    loss.update(t.encode())
+            out.append((conv, n, turns.hexdigest(), chars, loss.hexdigest(), sum(sizes), same and not source))
             if len(out) >= 5000:
                 yield packed(out)
                 out = []
