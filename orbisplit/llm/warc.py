@@ -1,7 +1,7 @@
 """WARC archives of pages, a two-level capture index, and reading back through it.
 
 Writing. Equal payloads are found by digest: the one with the smallest page_id is the response, the others are revisit records
-that name it. A task writes the records of its partition, one gzip member each, to one archive in the shared folder.
+that name its record. A task writes the records of its partition, one gzip member each, to one archive in the shared folder.
 
 Index. Lines (key, page_id, archive, offset, length) are range-partitioned by key (the host reversed, then path and query) and
 sorted; a task writes its range as gzip blocks of ``BLOCK`` lines and a sparse directory, one entry a block. The top level is
@@ -13,7 +13,8 @@ the block, and the record by one ranged read. Look-ups come sorted by key, so a
 Files are written under a name of the attempt and then renamed to a name of the partition: a lost executor or a second attempt
 leaves whole files only. All access goes through the file system that the shared folder's address names.
 
-Defined cases: a null url is the empty one, a null html an empty payload; payloads below ``least`` bytes are never revisits; a null
+Defined cases: a null url is the empty one, a null html an empty payload; a payload of any length is one record, held whole by the task that
+writes or reads it; payloads below ``least`` bytes are never revisits; a null
 page_id is written and read, and comes before no other id; repeated rows are records of their own, and of equal payloads with
 one smallest page_id one row is the response; an empty table makes an empty archive; further columns are ignored.
 """
@@ -64,6 +65,10 @@ def sort_key(url: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), rest)
 
 
+def _record_id(row: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, row)}>"
+
+
 def record(page: dict, payload: bytes) -> bytes:
     """One WARC record; a revisit has no payload but names the digest and length of what it revisits."""
     response = page["record_type"] == "response"
@@ -71,12 +76,12 @@ def record(page: dict, payload: bytes) -> bytes:
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     body = http + payload if response else http
     head = [
-        "WARC/1.1", f"WARC-Type: {page['record_type']}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, page['row'])}>",
+        "WARC/1.1", f"WARC-Type: {page['record_type']}", f"WARC-Record-ID: {_record_id(page['row'])}",
         "WARC-Date: 2000-01-01T00:00:00Z", f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha1:{page['payload_digest']}",
         f"X-Payload-Length: {page['payload_bytes']}", f"X-Row: {page['row']}", f"X-Page-ID: {json.dumps(page['page_id'])}",
     ]
     if not response:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{page['refers_to']}>"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_record_id(page['refers_row'])}", "WARC-Refers-To-Date: 2000-01-01T00:00:00Z", f"X-Refers-To-Page-ID: {page['refers_to']}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}", "", ""]
     return "\r\n".join(head).encode() + body + b"\r\n\r\n"
 
@@ -100,7 +105,7 @@ def parse(raw: bytes) -> dict:
             raise ValueError("a payload differs from its digest")
     else:
         out |= {"payload_bytes": int(fields["X-Payload-Length"]), "payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha1:")}
-        out["refers_to"] = int(fields["WARC-Refers-To"].removeprefix("<urn:page:").removesuffix(">"))
+        out["refers_to"] = int(fields["X-Refers-To-Page-ID"])
     return out
 
 
@@ -134,7 +139,7 @@ def _partition() -> int:
 
 
 def roles(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """row, page_id, payload_bytes, payload_digest, record_type, refers_to of pages (row, page_id, html)."""
+    """row, page_id, payload_bytes, payload_digest, record_type, refers_to, refers_row of pages (row, page_id, html)."""
     spark = pages.sparkSession
     bounded_batches(spark)
 
@@ -157,7 +162,7 @@ def roles(pages: DataFrame, least: int = LEAST) -> DataFrame:
     return joined.select(
         "row", "page_id", "payload_bytes", "payload_digest",
         F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")).alias("record_type"),
-        F.when(revisit, F.col("first.page_id")).alias("refers_to"),
+        F.when(revisit, F.col("first.page_id")).alias("refers_to"), F.when(revisit, F.col("first.row")).alias("refers_row"),
     )
 
 
@@ -190,7 +195,7 @@ def write(pages: DataFrame, root: str, least: int = LEAST) -> DataFrame:
         if out:
             out.close()
 
-    ordered = whole.select("key", "row", "page_id", "url", "html", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    ordered = whole.select("key", "row", "page_id", "url", "html", "payload_bytes", "payload_digest", "record_type", "refers_to", "refers_row")
     # Sorted by row: a second attempt at a partition writes the same bytes.
     return materialise(ordered.sortWithinPartitions("row").mapInArrow(run, LINES), "warc-lines")
 
