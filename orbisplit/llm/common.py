@@ -1,18 +1,18 @@
-"""Pieces the training-data operators share: word rules, table reading, and the shared work folder."""
+"""Pieces the training-data operators share: word rules, table reading, and work tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orbisplit.sources.tables import materialise, shared_root, work_dir
+
+__all__ = ["BREAK", "bounded_batches", "free_name", "materialise", "shared_root", "table", "words", "work_dir"]
+
 #: What separates words: the space and the ASCII controls from tab to carriage return.
 BREAK = r"[\x20\x09-\x0D]+"
-#: Where the shared folder of a session without spark.checkpoint.dir is remembered.
-OWN_ROOT = "orbisplit.shared.dir"
 #: Arrow batches that reach Python stay below this size, whatever the length of the texts.
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 
@@ -27,29 +27,9 @@ def words(text: Column) -> Column:
     return F.filter(parts, lambda w: w != "")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is chosen only where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(OWN_ROOT, None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="orbisplit-")
-        spark.conf.set(OWN_ROOT, root)
-    return root.rstrip("/")
-
-
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A path for one run of one operator, below the shared folder; nothing else writes there."""
-    return f"{shared_root(spark)}/orbisplit/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read again: lineage ends, and a lost executor loses nothing."""
-    path = work_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small in rows and bytes: texts have no upper length."""
+    """Keep Arrow batches small in rows and bytes: texts have no upper length. This holds for the session from here on, since batches are
+    made when a result is, not when a plan is."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 

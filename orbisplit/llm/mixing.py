@@ -10,7 +10,8 @@ ends, and a running sum within that slice finds the last document. Each leaf the
 compared with it where they lie: their texts are never shuffled.
 
 All numbers are whole, so results don't depend on the order of sums. Defined cases: null domain, language or source are
-``unknown``; a null or blank text has no tokens and is taken with the prefix it falls into; a null doc_id is ordered as the
+``unknown``; a null or blank text has no tokens and is taken with the prefix it falls into; a text of any length is one row
+that is taken or left whole; a null doc_id is ordered as the
 text ``null``; repeated rows are each taken or left alike, unless the cutoff falls between them, where both are left; an
 empty table gives an empty one; columns keep their values, and added ones avoid clashes.
 """

@@ -16,7 +16,7 @@ SUFFIX fixed parts of the hash space.
 A link between two texts of one component need not be looked at, since it changes no component; no other link is lost.
 
 Defined cases: null and blank texts have an empty set, no links, and themselves as component; fewer words than a shingle make
-one shingle; a null doc_id takes part but is never the smallest (a component of nulls alone has a null id); repeated rows
+one shingle; a text of any length gives all its shingles, and a task holds those of a few texts; a null doc_id takes part but is never the smallest (a component of nulls alone has a null id); repeated rows
 are answered each; an empty table gives an empty one; further columns are ignored. Shingles and classes are 64-bit hashes.
 """
 
@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from orbisplit.llm.common import bounded_batches, materialise
-from orbisplit.llm.components import components
 from orbisplit.llm.kernels import U, Words, chunks, mix, windows
 from orbisplit.llm.sketches import bloom, build, count_min_add, count_min_read, in_bloom, share
+from orbisplit.operators.components import components
 
 #: Words of a shingle; least similarity in hundredths.
 SIZE, PERCENT = 5, 75

@@ -6,7 +6,7 @@ long, so changing a policy never reads a text again. Only built-in expressions a
 shuffled but the histogram of bit patterns.
 
 Defined cases: a null or blank text has no words (it fails ``few_words``); a null ``doc_id`` is carried
-through; repeated rows give repeated ledger rows; an empty table gives an empty ledger; further columns of the
+through; a text of any length is measured whole; repeated rows give repeated ledger rows; an empty table gives an empty ledger; further columns of the
 input are ignored by ``ledger`` and kept by ``keep``. Two different 8-word windows of one text count as equal
 only if their 64-bit hashes collide.
 """

@@ -5,7 +5,8 @@ One pass over the rows, no shuffle: each text is scanned whole, inside the Arrow
 have no keyword, so a single pattern of fixed minimum length looks for them.
 
 Defined cases: a null text is empty; an empty text has no spans; ``start`` and ``end`` count code points, the
-end exclusive; of one kind, spans never overlap (leftmost first); spans of different kinds may. Repeated rows are
+end exclusive; of one kind, spans never overlap (leftmost first); spans of different kinds may. A text of any length is scanned
+whole; memory is its batch, or the text where it is longer. Repeated rows are
 scanned each for itself, an empty table gives an empty one, further columns are left as they are.
 """
 

@@ -16,7 +16,7 @@ Bloom filter, so that only they are shuffled. Tasks settle what they can see: of
 hold, one entry is sent. So a passage that a third of all documents share sends as many entries as there are tasks.
 
 Defined cases: a null or blank text has no words (the digest of kept words is that of the empty string); texts below the
-window size are kept whole; a null doc_id is neither earlier nor later than any other; repeated rows of one doc_id keep
+window size are kept whole; texts of any length are read whole, a few megabytes or one text at once; a null doc_id is neither earlier nor later than any other; repeated rows of one doc_id keep
 their words, as no smaller doc_id has them; an empty table gives an empty one; further columns are ignored. Window hashes
 have 96 bits; classes of equal texts have 64, as do the windows of a single text.
 """

@@ -80,3 +80,30 @@ def test_two_near_texts_under_one_key_leave_one(spark):
     df = spark.createDataFrame([(3, a), (3, a + " end"), (9, a + " tail")], "doc_id long, text string")
     kept = ngram_join.first_of_groups(df).collect()
     assert len(kept) == 1 and kept[0].doc_id == 3
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Nulls, blank and very long texts, repeated rows and ids, clashing names: each stage gives what the docstring says."""
+    words = lambda c, n: " ".join(f"{c}{i % 89}{chr(97 + i % 7)}" for i in range(n))
+    plain = "the old miller walked slowly over the {} bridge and told a long story about his youngest daughter who sails {} boats at sea"
+    rows = [
+        (1, None, "en", "src1"), (2, " \n", "en", "src1"), (3, plain.format("red", "big"), None, None), (3, plain.format("red", "big"), None, None),
+        (4, plain.format("red", "big"), "en", "src2"), (5, " ".join(f"{a}w{i}" for i, a in enumerate("xyz" * 20000)), "de", "src3"), (None, plain.format("blue", "tiny"), "en", "src1"),
+        (None, None, None, None), (6, "another tale of a quiet harbour where nobody ever asked why the lamps were lit at noon on every day", "en", "src0"),
+        (6, "some other words under this very id tell of mountains rivers and the people who once lived between them all", "en", "src0"),
+    ]
+    schema = "doc_id long, text string, lang string, source string"
+    odd = spark.createDataFrame(rows, schema).selectExpr("*", "1 as n_chars", "'k' as _set", "'k' as c0", "'k' as domain", "'k' as kept", "'k' as failed")
+    items = spark.createDataFrame([(1, None), (None, " "), (3, "no such question was ever asked of anyone here before now")], "item_id long, text string")
+    items.write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    odd.write.parquet(f"file://{tmp_path}/documents.parquet")
+    assert [r.doc_id for r in corpus_pipeline.quality(spark, odd, str(tmp_path)).orderBy("doc_id").collect()] == [None, 3, 3, 4, 5, 6, 6]
+    got = corpus_pipeline.run(spark, f"file://{tmp_path}")
+    assert got.columns[: len(odd.columns)] == odd.columns
+    left = corpus_pipeline.secrets(spark, corpus_pipeline.decontamination(spark, corpus_pipeline.near_duplicates(spark, corpus_pipeline.quality(spark, odd, ""), ""), f"file://{tmp_path}"), "")
+    # The row without an id is near 3 and 4, and stays.
+    assert sorted((r.doc_id or 0 for r in left.collect())) == [0, 3, 5, 6, 6]
+    assert {r.doc_id for r in got.collect()} <= {None, 3, 5, 6}
+    empty = odd.where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, f"file://{tmp_path}").count() == 0
