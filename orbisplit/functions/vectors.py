@@ -49,11 +49,6 @@ def similarity(d: Column, metric: str = "cosine") -> Column:
     return 1.0 - d if metric == "cosine" else 1.0 / (1.0 + d)
 
 
-def scale_to_box(u: Column, low: Column, high: Column) -> Column:
-    """A point of the unit cube, moved into a box."""
-    return F.zip_with(u, F.arrays_zip(low.alias("lo"), high.alias("hi")), lambda x, b: b["lo"] + x * (b["hi"] - b["lo"]))
-
-
 def uniform(seed: int | str, *parts: Column) -> Column:
     """A number in [0, 1) from a seed and a key, the same in any engine that has MD5."""
     key = F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts])

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orbisplit.functions.vectors import folder_of_run
+
 
 def split_counts(a: DataFrame, split: str = "split") -> DataFrame:
     return a.groupBy(F.col(split).alias("split")).agg(F.count(F.lit(1)).alias("n"))
@@ -102,6 +104,31 @@ def first_seen(df: DataFrame, run: str, order: str) -> DataFrame:
     return df.groupBy(run).agg(F.min(order).alias("first"))
 
 
+def nth_of_folder(df: DataFrame, folder: str, order: str) -> DataFrame:
+    """Number the runs (or batches) of each folder in their order, from 1: the n-th batch of a folder is its n-th run."""
+    return df.withColumn("ordinal", F.row_number().over(Window.partitionBy(folder).orderBy(order)))
+
+
+def with_split(a: DataFrame, split: str = "dataset_split") -> DataFrame:
+    """Rows whose split is neither null nor empty: those that are no duplicates."""
+    return a.where(F.col(split).isNotNull() & (F.col(split) != ""))
+
+
+def run_labels(runs: DataFrame) -> DataFrame:
+    """(run_id, label) of runs (run_id, folder_path): the run's name without its stamp, or, where those are not unique, the part of its folder
+    in which the folders differ. Runs are few: a row each."""
+    name = folder_of_run(F.col("run_id"))
+    parts = F.split(F.regexp_replace(F.coalesce("folder_path", "run_id"), r"\\", "/"), "/")
+    rows = runs.select("run_id", name.alias("_name"), parts.alias("_p"), F.reverse(parts).alias("_q"))
+    ends = rows.agg(F.count(F.lit(1)).alias("_n"), F.countDistinct("_name").alias("_names"), F.min("_p").alias("_a"), F.max("_p").alias("_b"), F.min("_q").alias("_c"), F.max("_q").alias("_d"))
+    # What the first and the last of some arrays begin with, all begin with.
+    alike = lambda a, b: F.size(F.filter(F.transform(F.sequence(F.lit(1), F.size(a)), lambda k: F.slice(a, 1, k) == F.slice(b, 1, k)), lambda x: x))
+    front, back = alike("_a", "_b"), alike("_c", "_d")
+    middle = F.array_join(F.slice("_p", front + 1, F.greatest(F.size("_p") - front - back, F.lit(0))), "/")
+    label = F.when((F.col("_n") == F.col("_names")) | (middle == ""), F.col("_name")).otherwise(middle)
+    return rows.join(F.broadcast(ends), how="cross").select("run_id", label.alias("label"))
+
+
 def representatives(a: DataFrame, n: int) -> DataFrame:
     """The n rows of each anchor nearest to its centre."""
     by = Window.partitionBy("anchor_id").orderBy("distance", "id")

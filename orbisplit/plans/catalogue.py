@@ -810,9 +810,71 @@ def kmeans_centers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placement.kmeans_centers(points(spark, sf_dir), 6)
 
 
-@query("SELECT DISTINCT a.anchor_id, e.id FROM chosen a JOIN e ON list_distance(a.v, e.v) < 1e-4")
+@query(
+    "SELECT anchor_id, id FROM assigned WHERE distance < 1e-4 UNION ALL SELECT a.anchor_id, e.id FROM chosen a JOIN e ON list_distance(a.v, e.v) < 1e-4 "
+    "WHERE a.anchor_id NOT IN (SELECT anchor_id FROM assigned WHERE distance < 1e-4)"
+)
 def center_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spheres.center_rows(assigned(spark, sf_dir).limit(0), points(spark, sf_dir), anchors(spark, sf_dir))
+    return spheres.center_rows(assigned(spark, sf_dir), points(spark, sf_dir), anchors(spark, sf_dir))
+
+
+@query("SELECT DISTINCT a.anchor_id, e.id FROM chosen a JOIN e ON list_distance(a.v, e.v) < 1e-4")
+def center_rows_by_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Centres that no row was assigned to yet: all rows in their place."""
+    nothing_yet = spheres.assign(points(spark, sf_dir), anchors(spark, sf_dir).where("anchor_id < 0"))
+    return spheres.center_rows(nothing_yet, points(spark, sf_dir), anchors(spark, sf_dir))
+
+
+@query(
+    "SELECT id, arg_min(anchor_id, (d, anchor_id)) AS anchor_id, round(min(d), 6) AS distance FROM far WHERE id IN (SELECT id FROM assigned WHERE split = 'train' AND anchor_id IS NULL) GROUP BY id"
+)
+def closest_anchor_of_train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    free = assigned(spark, sf_dir).where("split = 'train' and anchor_id is null").select("id")
+    near = spheres.nearest_anchor(points(spark, sf_dir).join(free, "id", "left_semi"), anchors(spark, sf_dir))
+    return rounded(near.select("id", "anchor_id", "distance"), "distance")
+
+
+@query("SELECT lang, source, row_number() OVER (PARTITION BY lang ORDER BY source)::INTEGER AS ordinal FROM (SELECT DISTINCT lang, source FROM documents)")
+def nth_of_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.nth_of_folder(table(spark, sf_dir, "documents").select("lang", "source").distinct(), "lang", "source")
+
+
+@query("SELECT DISTINCT source || '_1' AS run_id, source AS label FROM documents")
+def run_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = table(spark, sf_dir, "documents").select(F.concat("source", F.lit("_1")).alias("run_id"), F.concat(F.lit("/data/"), "source", F.lit("/images")).alias("folder_path"))
+    return report.run_labels(runs.distinct())
+
+
+@query("SELECT DISTINCT 'run_' || lang AS run_id, lang AS label FROM documents")
+def run_labels_by_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = table(spark, sf_dir, "documents").select(F.concat(F.lit("run_"), "lang").alias("run_id"), F.concat(F.lit("/data/"), "lang", F.lit("/images")).alias("folder_path"))
+    return report.run_labels(runs.distinct())
+
+
+@query()
+def radius_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The radii that neighbours give the anchors, in ten bins."""
+    return rounded(report.histogram(_adaptive(spark, sf_dir, "kNN"), "radius", 10, 0.0, 2.0), "density")
+
+
+SQL["radius_histogram"] = (
+    "SELECT bin, n, round(n / (sum(n) OVER () * 0.2), 6) AS density FROM (SELECT least(floor(radius / 0.2::DOUBLE), 9)::INTEGER AS bin, count(*) AS n FROM ("
+    + SQL["adaptive_radius_knn"] + ") GROUP BY 1)"
+)
+
+
+@query(
+    "SELECT gx::INTEGER AS gx, gy::INTEGER AS gy, round(CASE WHEN max(h) >= 0.05 THEN max(h) END, 6) AS heat FROM (SELECT gx, gy, "
+    "exp(-(power(-0.5 + gx * (1.0::DOUBLE / 29) - v[1], 2) + power(-0.5 + gy * (1.0::DOUBLE / 29) - v[2], 2)) / (2 * s * s)) AS h FROM range(30) x(gx), range(30) y(gy), "
+    "(SELECT any_value(c.v) AS v, avg(sqrt(power(e.v[1] - c.v[1], 2) + power(e.v[2] - c.v[2], 2))) AS s FROM assigned JOIN e USING (id) JOIN chosen c USING (anchor_id) "
+    "GROUP BY anchor_id HAVING count(*) >= 2)) GROUP BY gx, gy"
+)
+def heatmap_by_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each anchor's Gaussian as wide as its rows lie from its centre in the plane."""
+    c = anchors(spark, sf_dir).select("anchor_id", F.col("center")[0].alias("cx"), F.col("center")[1].alias("cy"))
+    rows = assigned(spark, sf_dir).join(points(spark, sf_dir), "id").join(c, "anchor_id").withColumn("x", F.col("v")[0]).withColumn("y", F.col("v")[1])
+    c = c.join(report.projected_radius(rows).withColumnRenamed("radius", "sigma"), "anchor_id")
+    return rounded(report.heatmap(c, 30, (-0.5, -0.5), (0.5, 0.5)), "heat")
 
 
 @query("SELECT source AS run_id, lang AS label, count(*) AS n FROM documents GROUP BY ALL UNION ALL SELECT 'pages', NULL, count(*) FROM pages")
@@ -836,5 +898,3 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Splits of all points by the first region they lie in."""
     return report.split_counts(assigned(spark, sf_dir))
 
-
-BENCH = {name: QUERIES[name] for name in ("knn_self", "lid", "local_density", "first_match_assign", "leader_dedup", "base_radius", "cosine_pairs_close", "split_counts")}
