@@ -312,6 +312,22 @@ def document_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.leader_dedup(v, 0.9999).select(F.col("id").alias("doc_id"))
 
 
+SQL["document_leaders"] = """
+WITH RECURSIVE raw AS (SELECT doc_id, hex(encode(' ' || lower(coalesce(text, '')) || ' ')) AS h FROM documents),
+tri AS (SELECT doc_id, t, count(*) AS times FROM (SELECT doc_id, unnest(list_transform(range(0, length(h) // 2 - 2), lambda i: substr(h, 2 * i + 1, 6))) AS t FROM raw) GROUP BY ALL),
+gram AS (SELECT t, (('0x' || substr(t, 1, 2))::INTEGER + 31 * ('0x' || substr(t, 3, 2))::INTEGER + 961 * ('0x' || substr(t, 5, 2))::INTEGER)::UHUGEINT AS g FROM (SELECT DISTINCT t FROM tri)),
+place AS (SELECT t, ((xor(g, g >> 7) * 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT) >> 32 AS p FROM gram),
+cell AS (SELECT doc_id, ((p >> 1) % 64)::INTEGER AS c, sum(CASE WHEN p % 2 = 1 THEN times ELSE -times END)::DOUBLE AS x FROM tri JOIN place USING (t) GROUP BY ALL),
+vec AS (SELECT d.doc_id AS id, list(coalesce(x, 0) ORDER BY k.k) AS v FROM documents d CROSS JOIN range(64) k(k) LEFT JOIN cell ON cell.doc_id = d.doc_id AND cell.c = k.k GROUP BY d.doc_id),
+n AS (SELECT id, list_transform(v, lambda x: x / greatest(sqrt(list_dot_product(v, v)), 1e-8)) AS v FROM vec),
+ed AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM n a JOIN n b ON a.id < b.id WHERE 1 - greatest(1 - list_dot_product(a.v, b.v), 0) > 0.9999),
+late AS MATERIALIZED (SELECT b, list(a) AS before, row_number() OVER (ORDER BY b) AS k FROM ed GROUP BY b),
+r(k, gone) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL
+  SELECT late.k, CASE WHEN len(list_filter(before, lambda a: NOT list_contains(r.gone, a))) > 0 THEN list_append(gone, b) ELSE gone END FROM r JOIN late ON late.k = r.k + 1)
+SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT unnest(gone) FROM (SELECT gone FROM r ORDER BY k DESC LIMIT 1))
+"""
+
+
 @query(
     "SELECT i.i AS i, p.d AS d, round((list_sum(list_transform(range(0, 12), lambda k: ((i.i + 1) // power(p.b, k)::BIGINT % p.b) * power(p.b, -(k + 1)))) + "
     "('0x' || substr(md5('42:halton:' || p.d), 1, 8))::BIGINT / 4294967296.0) % 1.0, 6) AS x FROM range(32) i(i), (VALUES (0, 2), (1, 3), (2, 5), (3, 7)) p(d, b)"
@@ -723,6 +739,30 @@ def pca_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_plane(spark, sf_dir), "x", "y")
 
 
+def _axis_sql(name: str, matrix: str, squarings: int = 13) -> str:
+    """CTEs that end with ``name`` (w): the main axis of a matrix (m), from its power, whose rows are multiples of the axis. In the row of the
+    largest weight that weight is positive."""
+    out = f", {name}0 AS MATERIALIZED ({matrix})"
+    for i in range(squarings):
+        out += (
+            f", {name}{i + 1} AS MATERIALIZED (SELECT list_transform(m, lambda r: list_transform(m, lambda c: list_dot_product(r, c) / s)) AS m "
+            f"FROM (SELECT m, list_sum(list_transform(m, lambda r: list_dot_product(r, r))) AS s FROM {name}{i}))"
+        )
+    row = "list_transform(m, lambda r: list_dot_product(r, r))"
+    return out + f", {name} AS MATERIALIZED (SELECT list_transform(r, lambda x: x / sqrt(list_dot_product(r, r))) AS w FROM (SELECT m[list_position({row}, list_max({row}))] AS r FROM {name}{squarings}))"
+
+
+SQL["pca_2d"] = CTE.rstrip() + ", mid AS MATERIALIZED (SELECT list(a ORDER BY i) AS mu FROM (SELECT i, avg(v[i]) AS a FROM e, range(1, 65) r(i) GROUP BY i))" + _axis_sql(
+    "one", "SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(c ORDER BY j) AS r FROM (SELECT i, j, covar_samp(v[i], v[j]) AS c FROM e, range(1, 65) a(i), range(1, 65) b(j) GROUP BY i, j) GROUP BY i)"
+) + _axis_sql(
+    "two",
+    "SELECT list_transform(m, lambda r, i: list_transform(r, lambda x, j: x - l * w[i] * w[j])) AS m FROM (SELECT m, w, list_dot_product(w, list_transform(m, lambda r: list_dot_product(r, w))) AS l FROM one0, one)",
+) + (
+    " SELECT id, round(list_dot_product(c, one.w), 6) + 0 AS x, round(list_dot_product(c, two.w), 6) + 0 AS y "
+    "FROM (SELECT id, list_transform(v, lambda x, i: x - mu[i]) AS c FROM e, mid), one, two"
+)
+
+
 @query("SELECT a.i AS a, b.i AS b, (a.i = b.i)::INT::DOUBLE AS covariance FROM range(64) a(i), range(64) b(i) WHERE a.i <= b.i")
 def whitened(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The covariances of whitened vectors, which are those of independent axes of variance one."""
