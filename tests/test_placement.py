@@ -96,7 +96,7 @@ def sequential(spark, p, config, target, total, stored=()):
     return split, evals, len(centers)
 
 
-@pytest.mark.parametrize("stored", [(), tuple([("c1", "test")] * 9 + [("c1", "train")] * 4 + [("c3", "train")] * 30)])
+@pytest.mark.parametrize("stored", [tuple([("c1", "test")] * 9 + [("c1", "train")] * 4 + [("c3", "train")] * 30)])
 def test_class_aware_loop_equals_a_sequential_one(spark, sf_dir, stored):
     p = labelled(spark, sf_dir, 90).withColumn("label", F.when(F.col("id") % 17 > 0, F.col("label")))
     n, there = 90 + len(stored), sum(1 for _, s in stored if s != "train")
@@ -122,6 +122,20 @@ def test_labelled_ingest_keeps_the_eval_share(spark, sf_dir, low, high):
     assert s.total_points == high - low and 0 < s.eval_ratio <= config.splits.eval + config.splits.tolerance
 
 
+@pytest.mark.parametrize("method", ["qmc", "random", "kmeans"])
+def test_stand_alone_placement_keeps_its_spacing(spark, method):
+    v = np.random.default_rng(8).standard_normal((50, 3))
+    p = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    config = Config(metric="euclidean", placement=Placement(method=method, min_distance=0.2, snap="nearest"))
+    first = placement.place(p, config, 6)
+    got = np.array([r.v for r in first.collect()])
+    assert 1 <= len(got) <= 6 and (method == "qmc" or matrix(got, got, "euclidean")[np.triu_indices(len(got), 1)].min() >= 0.2)
+    if method == "qmc":
+        assert all(min(np.abs(v - x).max(1)) == 0 for x in got)
+        more = placement.place_more(p, first, 0.5, config).collect()
+        assert more and matrix(np.array([r.v for r in more]), got, "euclidean").min() >= 0.2
+
+
 def test_rows_in_a_border_can_be_taken_later(spark):
     p = spark.createDataFrame([(1, [1.0]), (2, [1.35]), (3, [1.55]), (4, [9.0])], "id long, v array<double>")
     shells = "array(struct(0D as inner, base_radius as outer, 'test' as split))"
