@@ -215,15 +215,3 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))
-
-
-SQL["op6_warc"] = r"""
-WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
-d AS (SELECT *, sha1(t) AS h, min(page_id) OVER (PARTITION BY t) AS first_id FROM p)
-SELECT page_id, octet_length(encode(t))::BIGINT AS payload_bytes,
-       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
-         1 + ((('0x' || substr(h, 1 + 10 * (i // 8), 10))::BIGINT >> (35 - 5 * (i % 8))) & 31)::INTEGER, 1)), '') AS payload_digest,
-       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
-FROM d
-"""
