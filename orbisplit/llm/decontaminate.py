@@ -13,7 +13,7 @@ whatever stands around it or breaks its lines. An item is found if its consisten
 windows that have enough literal tokens, where these are at least half of its windows, and ``n_windows`` counts those; or
 if templates and real tokens together reach the share of all its windows, which ``n_windows`` counts then.
 
-The items' windows are broadcast only if there are few enough of them (``BROADCAST_WINDOWS``, counted first); a document's windows are
+The items' windows are broadcast only if there are few enough of them (``BROADCAST_WINDOWS``, ``BROADCAST_CHARS``, counted first); a document's windows are
 then made and probed in one pass, and only what meets an item is shuffled. Otherwise both sides are shuffled by hash, a
 document's windows with their own slot values but without its other tokens.
 
@@ -38,8 +38,8 @@ WINDOW, LEAST = 8, 4
 SHARE = 50
 #: A window with fewer literal tokens than this is too general to count (shorter windows need half of theirs).
 LITERALS = 4
-#: Windows of items up to which they are broadcast: about 60 MB.
-BROADCAST_WINDOWS = 200_000
+#: Windows of items, and characters of their slots, up to which they are broadcast: about 60 MB.
+BROADCAST_WINDOWS, BROADCAST_CHARS = 200_000, 32 << 20
 #: Units that are placeholders after a number.
 UNITS = (
     "percent", "mm", "cm", "m", "km", "inch", "inches", "foot", "feet", "ft", "yard", "yards", "mile", "miles",
@@ -114,8 +114,9 @@ def item_windows(items: DataFrame, key: str = "item_id", text: str = "text") ->
 def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", share: int = SHARE) -> DataFrame:
     """(doc_id, item_id, n_met, n_windows): pairs whose consistent windows reach the share."""
     book = materialise(item_windows(items, item_key, item_text), "leaks-items")
-    n_windows, sizes = book.agg(F.count(F.lit(1)), F.sort_array(F.collect_set("size"))).first()
-    few = n_windows <= BROADCAST_WINDOWS
+    chars = F.sum(F.length(F.array_join("i_slots", "")))
+    n_windows, n_chars, sizes = book.agg(F.count(F.lit(1)), chars, F.sort_array(F.collect_set("size"))).first()
+    few = n_windows <= BROADCAST_WINDOWS and (n_chars or 0) <= BROADCAST_CHARS
     rows = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("_t"))
     slots_at = F.filter(F.transform("_w", lambda w, i: F.when(w < "\x04", i)), lambda i: i.isNotNull())
     made = _hashed(rows, ["doc_id"], "_t").select("*", slots_at.alias("_s"))
