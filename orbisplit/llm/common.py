@@ -14,7 +14,7 @@ __all__ = ["BREAK", "bounded_batches", "free_name", "materialise", "shared_root"
 #: What separates words: the space and the ASCII controls from tab to carriage return.
 BREAK = r"[\x20\x09-\x0D]+"
 #: Arrow batches that reach Python stay below this size, whatever the length of the texts.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -14,11 +14,10 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 U = np.uint64
 #: Odd, and 3 modulo 4: two neighbours that change places change the hash.
 BASE = 0x9E3779B97F4A7C17
-MASK = (1 << 64) - 1
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,10 +31,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def mix1(x: int) -> int:
-    return int(mix(np.array([x & MASK], U))[0])
-
-
 @cache
 def _space() -> np.ndarray:
     table = np.zeros(256, bool)
