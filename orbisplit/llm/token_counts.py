@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from orbisplit.llm.common import bounded_batches
 
 #: Nodes, or words, at which a trie is emptied; and its depth.
-NODES, DEPTH = 400_000, 128
+NODES, DEPTH = 1_200_000, 128
 #: The mark that stands before a word in the vocabulary.
 MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
