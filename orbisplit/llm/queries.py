@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbisplit.llm import (
+    centroid_clustering,
     chat_format,
     decontaminate,
+    embedding_dedup,
     mixing,
     ngram_join,
     quality_rules,
@@ -215,3 +217,52 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))
+
+
+@query
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clustering.report(table(spark, sf_dir, "embeddings"))
+
+
+def _rounds(n: int) -> str:
+    """The rounds of clustering, written out: a{i} assigns to the centroids c{i}, which come from a{i - 1}."""
+    parts = []
+    for i in range(n + 1):
+        parts.append(f"""
+d{i} AS (SELECT v.vec_id, v.x, c, list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - k.x[i]) * (v.x[i] - k.x[i])))::BIGINT AS d FROM v, c{i} k),
+a{i} AS (SELECT vec_id, x, c, d FROM d{i} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, c) = 1)""")
+        if i < n:
+            parts.append(f"""
+s{i} AS (SELECT c, i, sum(y)::BIGINT AS s, count(*) AS m FROM (SELECT c, unnest(x) AS y, generate_subscripts(x, 1) AS i FROM a{i}) GROUP BY c, i),
+n{i} AS (SELECT c, list((s - ((s % m) + m) % m) // m ORDER BY i) AS x FROM s{i} GROUP BY c),
+c{i + 1} AS (SELECT c{i}.c, coalesce(n{i}.x, c{i}.x) AS x FROM c{i} LEFT JOIN n{i} USING (c))""")
+    return ",".join(parts)
+
+
+SQL["op11_centroid_clustering"] = f"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda e: floor(256 * e::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+c0 AS (SELECT (row_number() OVER (ORDER BY h) - 1)::INTEGER AS c, x FROM (SELECT x, sha256('2:' || vec_id) AS h FROM v ORDER BY h LIMIT 40)),{_rounds(5)}
+SELECT vec_id, a5.c AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a5.c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(c5.x, ',')) AS centroid_sha256
+FROM a5 JOIN c5 USING (c)
+"""
+
+
+@query
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+SQL["op13_embedding_dedup"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, x, sqrt(list_sum(list_transform(x, lambda e: e * e))) AS n
+  FROM (SELECT vec_id, list_transform(embedding, lambda e: e::DOUBLE) AS x FROM embeddings
+        WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0)
+  WHERE len(list_filter(x, lambda e: e <> 0)) > 0),
+link AS (SELECT l.vec_id AS a, r.vec_id AS b FROM v l JOIN v r ON l.vec_id <> r.vec_id AND list_inner_product(l.x, r.x) / (l.n * r.n) >= 0.9),
+reach(d, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.d, link.b FROM reach JOIN link ON reach.c = link.a),
+n AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT d AS vec_id, coalesce(any_value(n.n), 0)::BIGINT AS n_links, min(c) AS component_id, d = min(c) AS kept FROM reach LEFT JOIN n ON n.a = d GROUP BY d
+"""
