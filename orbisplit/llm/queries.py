@@ -14,6 +14,7 @@ from orbisplit.llm import (
     embedding_dedup,
     mixing,
     ngram_join,
+    prefix_trie,
     quality_rules,
     secret_scan,
     substring_dedup,
@@ -266,3 +267,41 @@ reach(d, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.d, link
 n AS (SELECT a, count(*) AS n FROM link GROUP BY a)
 SELECT d AS vec_id, coalesce(any_value(n.n), 0)::BIGINT AS n_links, min(c) AS component_id, d = min(c) AS kept FROM reach LEFT JOIN n ON n.a = d GROUP BY d
 """
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+#: CRC-32 of a number's digits, bit by bit.
+_CRC = """xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(string_split(c::VARCHAR, ''), lambda d: ord(d)::BIGINT), lambda acc, d:
+  list_reduce([xor(acc, d)] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda y, i: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END)))"""
+
+SQL["op12_prefix_trie"] = f"""
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT c, {_CRC} % 9 AS h FROM (SELECT DISTINCT c FROM t)),
+r AS (
+  SELECT c, p, role, text FROM t JOIN ids USING (c) WHERE p > h
+  UNION ALL SELECT ids.c, p, role, text FROM ids JOIN t ON t.c = ids.c - ids.c % 5 AND p <= h),
+s AS (SELECT c, p, role, text, row_number() OVER (PARTITION BY c ORDER BY p) AS depth, count(*) OVER (PARTITION BY c) AS n FROM r),
+k AS (
+  SELECT c, depth, n, octet_length(encode(text)) AS size,
+         sha256(string_agg(sha256(role) || sha256(text), '') OVER (PARTITION BY c ORDER BY depth ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS k FROM s
+  UNION ALL SELECT ids.c, 0, coalesce(max(depth), 0), 0, 'root' FROM ids LEFT JOIN s USING (c) GROUP BY ids.c),
+node AS (
+  SELECT k, min(c) AS conv_id, min(depth) AS depth, count(*) AS n_convs, min(size) AS size,
+         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (depth = n), '')) AS ends_sha256 FROM k GROUP BY k),
+up AS (
+  SELECT node.k, p.k AS pk, p.conv_id AS parent_conv_id FROM node JOIN k b ON b.c = node.conv_id AND b.depth = node.depth - 1 JOIN node p ON p.k = b.k),
+kids AS (SELECT pk AS k, count(*) AS n_children FROM up GROUP BY pk),
+full_node AS (SELECT node.*, parent_conv_id, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN up USING (k) LEFT JOIN kids USING (k)),
+below AS (
+  SELECT a.k, sum((f.n_children = 0)::BIGINT) AS n_leaves, sum((f.n_convs - 1) * f.size) AS saved_tokens
+  FROM full_node f JOIN k a ON a.c = f.conv_id AND a.depth <= f.depth GROUP BY a.k)
+SELECT conv_id, depth::BIGINT AS depth, parent_conv_id, n_convs::BIGINT AS n_convs, n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves,
+       saved_tokens::BIGINT AS saved_tokens, ends_sha256
+FROM full_node JOIN below USING (k)
+"""
