@@ -10,7 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbisplit.functions.vectors import dot
-from orbisplit.operators.pairs import knn, knn_cross, matrix
+from orbisplit.operators.blocks import matrix
+from orbisplit.operators.pairs import knn, knn_cross
+from orbisplit.operators.quantiles import exact_quantiles
+from orbisplit.operators.scans import Scan
+from orbisplit.sources.tables import materialise
 
 DENSITY_K, LID_K = 10, 20
 SMALL = 1e-8
@@ -19,11 +23,15 @@ LID_LOW, LID_HIGH = 0.1, 100.0
 
 def local_density(p: DataFrame, k: int = DENSITY_K, metric: str = "cosine") -> DataFrame:
     """(id, density): one over the mean distance to the k nearest others; one for a single row."""
-    n = p.count()
-    k = min(k, n - 1)
+    k = min(k, p.count() - 1)
     if k < 1:
         return p.select("id", F.lit(1.0).alias("density"))
-    return knn(p, k, metric).groupBy(F.col("l").alias("id")).agg((1.0 / (F.avg("d") + SMALL)).alias("density"))
+    return density_of(knn(p, k, metric), k)
+
+
+def density_of(neighbours: DataFrame, k: int) -> DataFrame:
+    """(id, density) of ranked neighbours (l, d, rank)."""
+    return neighbours.where(F.col("rank") <= k).groupBy(F.col("l").alias("id")).agg((1.0 / (F.avg("d") + SMALL)).alias("density"))
 
 
 def lid_of(neighbours: DataFrame, k: int) -> DataFrame:
@@ -44,38 +52,42 @@ def lid(p: DataFrame, k: int = LID_K, metric: str = "cosine") -> DataFrame:
     return lid_of(knn(p, k, metric), k)
 
 
-def quantiles(df: DataFrame, column: str, *at: float) -> list[float]:
-    """Exact quantiles with linear interpolation."""
-    found = df.agg(F.expr(f"percentile({column}, array({', '.join(map(repr, at))}))")).first()[0]
-    return list(found) if found is not None else [float("nan")] * len(at)
-
-
 def density_stats(p: DataFrame, metric: str = "cosine") -> DataFrame:
-    """One row: count; mean, sample deviation, extremes and quartiles of density and dimensionality."""
-    both = local_density(p, metric=metric).join(lid(p, metric=metric), "id")
+    """One row: count; mean, sample deviation, extremes and quartiles of density and dimensionality. Both come from one search for neighbours."""
+    k = min(LID_K, p.count() - 1)
+    if k < 1:
+        both = p.select("id", F.lit(1.0).alias("density"), F.lit(1.0).alias("lid"))
+    else:
+        near = materialise(knn(p, k, metric), "neighbours")
+        both = density_of(near, min(DENSITY_K, k)).join(lid_of(near, k), "id")
+    both = materialise(both, "densities")
+    at = exact_quantiles(both, dict.fromkeys(("density", "lid"), (0.25, 0.5, 0.75, 0.95)))
+    some = F.count(F.lit(1)) > 0
     out = [F.count(F.lit(1)).alias("num_points")]
     for c in ("density", "lid"):
         out += [F.avg(c).alias(f"{c}_mean"), F.stddev_samp(c).alias(f"{c}_std"), F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max")]
-        out += [F.expr(f"percentile({c}, {q / 100})").alias(f"{c}_p{q}") for q in (25, 50, 75, 95)]
+        out += [F.when(some, F.lit(x)).alias(f"{c}_p{q}") for q, x in zip((25, 50, 75, 95), at[c], strict=True)]
     return both.agg(*out)
 
 
 def dense_runs(density: DataFrame, threshold: float = 1.5, run: str | None = None) -> DataFrame:
     """(run_start, run_end): maximal runs of consecutive ids, ends included, with density above threshold times the mean.
 
-    ``run`` names a column of trajectories; without one all rows are one trajectory. Runs are found per trajectory, after
-    dense rows alone have been kept."""
+    ``run`` names a column of trajectories; without one all rows are one trajectory. Dense rows alone are kept, and then numbered by a
+    scan that cuts a long trajectory over many tasks."""
     by = [run] if run else []
-    mean = F.broadcast(density.agg(F.avg("density").alias("mean")))
-    dense = density.join(mean, how="cross").where(F.col("density") > threshold * F.col("mean"))
-    at = F.row_number().over(Window.partitionBy(*by or [F.lit(0)]).orderBy("id"))
-    return dense.withColumn("island", F.col("id") - at).groupBy(*by, "island").agg(F.min("id").alias("run_start"), F.max("id").alias("run_end")).drop("island")
+    mean = density.agg(F.avg("density")).first()[0]
+    if mean is None:
+        return density.select(*by, F.col("id").alias("run_start"), F.col("id").alias("run_end")).limit(0)
+    dense = density.where(F.col("density") > threshold * mean).select(*by, "id")
+    numbered = Scan(dense, by, ["id"]).number("_at").rows().withColumn("island", F.col("id") - F.col("_at"))
+    return numbered.groupBy(*by, "island").agg(F.min("id").alias("run_start"), F.max("id").alias("run_end")).drop("island")
 
 
 def lid_warp(p: DataFrame, metric: str = "cosine") -> DataFrame:
     """(id, v, factor): vectors stretched by 1 to 3, most where the dimensionality is low."""
-    lids = lid(p, metric=metric)
-    low, high = quantiles(lids, "lid", 0.05, 0.95)
+    lids = materialise(lid(p, metric=metric), "lids")
+    low, high = exact_quantiles(lids, {"lid": [0.05, 0.95]})["lid"]
     place = (F.col("lid") - low) / (high - low + SMALL)
     factor = 1.0 + 2.0 * (1.0 - F.greatest(F.least(place, F.lit(1.0)), F.lit(0.0)))
     joined = p.join(lids, "id").withColumn("factor", factor)

@@ -3,7 +3,8 @@
 Both sides are packed into blocks of about BLOCK rows by a hash of the id; pairs of blocks go through one matrix product
 each and send on only what is asked for (all pairs, those within a radius, or the k nearest). Memory is two blocks and
 their distances, whatever the tables' sizes. The blocks of the right side are broadcast if their bytes, counted first, are
-within BROADCAST; otherwise pairs of blocks are dealt out by their numbers.
+within BROADCAST; otherwise pairs of blocks are dealt out by their numbers. Pairs within a radius, and nearest neighbours of more
+rows than that, go by cells of the metric space instead (see cells.py), where most pairs of blocks never meet.
 """
 
 from __future__ import annotations
@@ -15,27 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orbisplit.functions.vectors import EPS, METRICS, doubles
+from orbisplit.functions.vectors import METRICS, doubles
+from orbisplit.operators import cells
+from orbisplit.operators.blocks import BLOCK, BROADCAST, alike, matrix, unpack
 
-BLOCK = 1024
-BROADCAST = 64 << 20
-
-
-def matrix(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
-    """Distances of each row of a to each row of b."""
-    if metric == "cosine":
-        a = a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), EPS)
-        b = b / np.maximum(np.linalg.norm(b, axis=1, keepdims=True), EPS)
-        return np.maximum(1.0 - a @ b.T, 0.0)
-    if metric == "euclidean":
-        square = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
-        return np.sqrt(np.maximum(square, 0.0))
-    if metric == "manhattan":
-        out = np.empty((len(a), len(b)))
-        for i in range(0, len(a), 64):
-            out[i : i + 64] = np.abs(a[i : i + 64, None, :] - b[None, :, :]).sum(2)
-        return out
-    raise ValueError(f"unknown metric {metric!r}")
+#: Rows of the right side up to which all blocks meet: describing cells would cost more than it saves.
+PLAIN = 8192
 
 
 def points(df: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -49,19 +35,6 @@ def _blocks(p: DataFrame, n: int, side: str, labels: bool) -> DataFrame:
     return rows.agg(F.collect_list("id").alias(f"{side}_ids"), F.flatten(F.collect_list("v")).alias(f"{side}_v"), *more)
 
 
-def _unpack(b: pa.RecordBatch, row: int, side: str) -> tuple[np.ndarray, np.ndarray]:
-    ids = np.asarray(b.column(f"{side}_ids")[row].values)
-    return ids, np.asarray(b.column(f"{side}_v")[row].values).reshape(len(ids), -1)
-
-
-def _alike(batch: pa.RecordBatch, row: int) -> np.ndarray:
-    """Which pairs have equal labels, or one without."""
-    sides = [np.array(batch.column(f"{s}_labels")[row].as_py(), object) for s in "lr"]
-    codes = {None: 0}
-    a, b = (np.array([codes.setdefault(x, len(codes)) for x in side], np.int64) for side in sides)
-    return (a[:, None] == b[None, :]) | (a == 0)[:, None] | (b == 0)[None, :]
-
-
 def distances(
     left: DataFrame, right: DataFrame, metric: str = "cosine", within: float | None = None, k: int | None = None, other: bool = False, labels: bool = False
 ) -> DataFrame:
@@ -70,30 +43,37 @@ def distances(
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}")
     n_left, (n_right, width) = left.count(), right.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    if within is not None and k is None and n_right > PLAIN:
+        return cells.close_pairs(left, cells.build(right, n_right, metric), within, other, labels)
+    if k is not None and within is None and not labels and n_right * (width or 1) * 8 > BROADCAST:
+        return nearest(cells.nearest_by_cells(left, cells.build(right, n_right, metric), k, other)[0], k)
     slots = left.sparkSession.sparkContext.defaultParallelism
     a = _blocks(left, max(1, min(max(slots, -(-n_left // BLOCK)), max(n_left, 1))), "l", labels)
     b = _blocks(right, max(1, -(-n_right // BLOCK)), "r", labels)
     pairs = a.join(F.broadcast(b) if n_right * (width or 1) * 8 <= BROADCAST else b, how="cross")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, best = None, np.zeros((0, 0))  # the k smallest so far of each row of one left block: its pairs come one after another
         for batch in batches:
             for row in range(batch.num_rows):
-                li, lv = _unpack(batch, row, "l")
-                ri, rv = _unpack(batch, row, "r")
+                li, lv = unpack(batch, row, "l")
+                ri, rv = unpack(batch, row, "r")
                 d = matrix(lv, rv, metric)
                 keep = np.ones(d.shape, bool) if within is None else d <= within
                 if labels:
-                    keep &= _alike(batch, row)
+                    keep &= alike(batch, row)
                 if other:
                     keep &= li[:, None] != ri[None, :]
-                if k is not None and d.shape[1] > k:
+                if k is not None:
                     # All that are no farther than the k-th: ties are settled by id later on.
-                    far = np.where(keep, d, np.inf)
-                    keep &= d <= np.partition(far, k - 1, axis=1)[:, k - 1 : k]
+                    if block != (block := batch.column("l_block")[row].as_py()):
+                        best = np.full((len(li), k), np.inf)
+                    best = np.partition(np.concatenate([best, np.where(keep, d, np.inf)], axis=1), k - 1, axis=1)[:, :k]
+                    keep &= d <= best.max(axis=1, keepdims=True)
                 i, j = np.nonzero(keep)
                 yield pa.RecordBatch.from_arrays([pa.array(li[i]), pa.array(ri[j]), pa.array(d[i, j])], ["l", "r", "d"])
 
-    out = pairs.select("l_ids", "l_v", "r_ids", "r_v", *["l_labels", "r_labels"] * labels).mapInArrow(run, "l long, r long, d double")
+    out = pairs.select("l_block", "l_ids", "l_v", "r_ids", "r_v", *["l_labels", "r_labels"] * labels).mapInArrow(run, "l long, r long, d double")
     return out if k is None else nearest(out, k)
 
 
@@ -116,8 +96,8 @@ def _each_pair(p: DataFrame, labels: bool = False) -> DataFrame:
 
 def _pair_distances(batch: pa.RecordBatch, row: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Ids, distances, and which of them count: within a block, those of a smaller id with a larger one."""
-    li, lv = _unpack(batch, row, "l")
-    ri, rv = _unpack(batch, row, "r")
+    li, lv = unpack(batch, row, "l")
+    ri, rv = unpack(batch, row, "r")
     one = batch.column("l_block")[row].as_py() == batch.column("r_block")[row].as_py()
     return li, ri, matrix(lv, rv, metric), (li[:, None] < ri[None, :]) if one else (li[:, None] != ri[None, :])
 
@@ -126,6 +106,8 @@ def self_pairs(p: DataFrame, metric: str = "cosine", within: float | None = None
     """(l, r, d) with l < r."""
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}")
+    if within is not None and (n := p.count()) > PLAIN:
+        return cells.close_self_pairs(cells.build(p, n, metric), within, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,7 +116,7 @@ def self_pairs(p: DataFrame, metric: str = "cosine", within: float | None = None
                 if within is not None:
                     keep = keep & (d <= within)
                 if labels:
-                    keep = keep & _alike(batch, row)
+                    keep = keep & alike(batch, row)
                 i, j = np.nonzero(keep)
                 x, y = li[i], ri[j]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(d[i, j])], ["l", "r", "d"])

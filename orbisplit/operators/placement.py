@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterable, Iterator, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,11 +18,16 @@ from orbisplit.functions.vectors import uniform
 from orbisplit.operators import density as dens
 from orbisplit.operators import sampling, spheres
 from orbisplit.operators.dedup import far_from, spacing_filter, uncovered
+from orbisplit.operators.blocks import matrix
 from orbisplit.operators.pairs import distances, knn_cross, pair_histogram, pair_values
+from orbisplit.operators.quantiles import exact_quantile
+from orbisplit.operators.scans import Scan
 from orbisplit.sources.tables import materialise
 
 #: Values of a bin up to which they are collected; a fuller bin is divided again.
 COLLECTED = 100_000
+#: Pairs of candidates and rows in reach that one task settles one by one (about 40 bytes each).
+SCANNED = 1_000_000
 #: Unassigned rows below which a class has no candidates of its own; and the bit above the numbers of a class's candidates.
 LEAST_OF_CLASS, RANK = 5, 40
 
@@ -61,21 +68,6 @@ def pair_quantile(p: DataFrame, metric: str, share: float, bins: int = 4096) ->
     return _quantile(histogram, lambda a, b: pair_values(p, metric, a, b), low, high, share)
 
 
-def exact_quantile(df: DataFrame, column: str, share: float, bins: int = 4096) -> float:
-    """The quantile of a column."""
-    x = F.col(column).cast("double")
-    low, high = df.agg(F.min(x), F.max(x)).first()
-    if low is None:
-        return float("nan")
-    inside = lambda a, b: df.where(x.between(a, b)).select(x.alias("d"))
-
-    def histogram(a: float, b: float) -> DataFrame:
-        place = F.greatest(F.least(F.floor((F.col("d") - a) / (b - a) * bins), F.lit(bins - 1)), F.lit(0)).cast("long")
-        return inside(a, b).groupBy(place.alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min("d").alias("low"), F.max("d").alias("high"))
-
-    return _quantile(histogram, inside, low, high, share)
-
-
 def _quantile(histogram: Callable[[float, float], DataFrame], values: Callable[[float, float], DataFrame], low: float, high: float, share: float) -> float:
     """With linear interpolation. A histogram from low to high finds the bins of the quantile's two neighbours; a bin that holds both is
     divided again until it has at most COLLECTED values, and only those are sorted."""
@@ -119,7 +111,6 @@ def snap(candidates: DataFrame, p: DataFrame, config: Config) -> DataFrame:
 
 def propose(p: DataFrame, existing: DataFrame, config: Config, num: int | None = None, filtered: bool = True) -> DataFrame:
     """(id, v): quasi-random or uniform points in the box of p, spaced from each other and from existing ones, snapped."""
-    spark = p.sparkSession
     pl = config.placement
     num = num or max(3, pl.overpropose * anchors_for(p.count(), config.splits.eval, pl.min_points_per_anchor))
     low, high = sampling.box_arrays(p)
@@ -127,8 +118,8 @@ def propose(p: DataFrame, existing: DataFrame, config: Config, num: int | None =
         return p.limit(0)
     if not filtered and bool((low >= high).any()):
         return p  # no box to sample: the points themselves
-    make = {"random": sampling.uniform_box}.get(pl.method) or (sampling.halton if pl.engine == "halton" else sampling.sobol)
-    c = sampling.as_points(spark, sampling.in_box(make(num, len(low), config.seed), low, high))
+    kind = "random" if pl.method == "random" else "halton" if pl.engine == "halton" else "sobol"
+    c = sampling.points_in_box(p.sparkSession, kind, num, low, high, config.seed)
     c = far_from(spacing_filter(c, pl.min_distance, config.metric), existing, pl.min_distance, config.metric)
     return snap(materialise(c, "candidates"), p, config)
 
@@ -142,9 +133,9 @@ def place(p: DataFrame, config: Config, num: int | None = None) -> DataFrame:
         c = kmeans_centers(p, n, config.seed)
         return spacing_filter(c, config.placement.min_distance, config.metric)
     if config.placement.method == "random":
-        c = sampling.as_points(spark, sampling.in_box(sampling.uniform_box(2 * n, len(low), config.seed), low, high))
+        c = sampling.points_in_box(spark, "random", 2 * n, low, high, config.seed)
         return spacing_filter(c, config.placement.min_distance, config.metric).orderBy("id").limit(n)
-    c = sampling.as_points(spark, sampling.in_box(sampling.sobol(n, len(low), config.seed), low, high))
+    c = sampling.points_in_box(spark, "sobol", n, low, high, config.seed)
     return snap(spacing_filter(c, config.placement.min_distance, config.metric), p, config)
 
 
@@ -156,12 +147,45 @@ def place_more(p: DataFrame, existing: DataFrame, radius: float, config: Config)
     return far_from(place(rest, config), existing, config.placement.min_distance, config.metric)
 
 
-def kmeans_centers(p: DataFrame, k: int, seed: int = 42) -> DataFrame:
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    model = KMeans(k=k, seed=seed, maxIter=20).fit(p.select(array_to_vector("v").alias("features")))
-    return sampling.as_points(p.sparkSession, np.array(sorted(tuple(map(float, c)) for c in model.clusterCenters())))
+def kmeans_centers(p: DataFrame, k: int, seed: int = 42, starts: int = 10, rounds: int = 100) -> DataFrame:
+    """(id, v): the centres of the best of some starts, in order of their components. A start begins at the k rows that its hash puts first; all
+    starts move in the same passes over the data, which send sums alone: starts * k * width numbers reach the driver. A centre without rows stays."""
+    spark, order = p.sparkSession, {}
+    for s in range(starts):
+        key = F.xxhash64(F.lit(seed), F.lit(s), "id", "v")
+        order[s] = np.array([r.v for r in p.orderBy(key, "id").limit(k).collect()], np.float64)  # k rows
+    if not len(order[0]):
+        return p.select("id", "v").limit(0)
+    centers = np.array([order[s] for s in range(starts)])
+    inertia = np.zeros(starts)
+    for _ in range(rounds):
+        now = spark.sparkContext.broadcast(centers)
+
+        def sums(batches: Iterator[pa.RecordBatch], now: Broadcast = now) -> Iterator[pa.RecordBatch]:
+            c = now.value
+            total = np.zeros((*c.shape[:2], c.shape[2] + 2))
+            for b in batches:
+                if b.num_rows:
+                    v = np.asarray(b.column("v").flatten()).reshape(b.num_rows, -1)
+                    for s in range(len(c)):
+                        d = matrix(v, c[s], "euclidean")
+                        at = d.argmin(1)
+                        np.add.at(total[s], at, np.hstack([v, np.ones((len(v), 1)), d.min(1)[:, None] ** 2]))
+            s, i, j = np.nonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (s, i, j, total[s, i, j])], ["s", "c", "i", "x"])
+
+        total = np.zeros((*centers.shape[:2], centers.shape[2] + 2))
+        for r in p.select("v").mapInArrow(sums, "s long, c long, i long, x double").groupBy("s", "c", "i").agg(F.sum("x").alias("x")).collect():
+            total[r.s, r.c, r.i] = r.x
+        n = total[:, :, -2:-1]
+        inertia = total[:, :, -1].sum(1)
+        moved = np.where(n > 0, total[:, :, :-2] / np.maximum(n, 1), centers)
+        done = np.abs(moved - centers).max() <= 1e-9
+        if done:
+            break
+        centers = moved
+    best = centers[int(np.argmin(inertia))]
+    return sampling.as_points(spark, np.array(sorted(tuple(map(float, c)) for c in best)))
 
 
 def valid_radius(radius: Column, nearest: Column, low: float, steps: int = 4) -> Column:
@@ -182,7 +206,11 @@ def validate(candidates: DataFrame, train: DataFrame, low: float, metric: str =
     return candidates.join(near, "id", "left").withColumn("radius", valid_radius(F.col("radius"), F.col("near"), low)).where("radius is not null").drop("near")
 
 
-def capped_radius(d: np.ndarray, radius: float, allowed: int, low: float, steps: int = 5) -> float:
+#: How often the radius is halved between the least one and its own.
+HALVINGS = 5
+
+
+def capped_radius(d: np.ndarray, radius: float, allowed: int, low: float, steps: int = HALVINGS) -> float:
     """The radius, or after bisection one that captures (d < radius) no more than allowed."""
     if (d < radius).sum() <= allowed:
         return radius
@@ -203,43 +231,32 @@ def eval_deficit(stored_train: int, stored_eval: int, n: int, new_eval: int, con
 
 @dataclass
 class Ledger:
-    """What a scan over candidates has given out. It holds the rows that are taken, no others: about as many as eval rows are wanted."""
+    """What acceptance has given out, in all and by class: counts alone. Which rows are taken stands in tables."""
 
     target: int
     n_eval: int
     overshoot: int
     low: float
     by_class: dict[str, int] = field(default_factory=dict)
-    taken: set[int] = field(default_factory=set)
-    accepted: list[tuple[int, float]] = field(default_factory=list)
 
     @property
     def full(self) -> bool:
         return self.n_eval >= self.target
 
-    def offer(self, candidate: int, near: list[tuple[float, int, str | None]], radius: float) -> bool:
-        """Cap the radius to what is still wanted and take its free rows, if more than one counts for eval. near: (distance, row, label)."""
-        free = [x for x in near if x[1] not in self.taken]
-        radius = capped_radius(np.array([x[0] for x in free]), radius, self.target - self.n_eval + self.overshoot, self.low)
-        inside = [x for x in free if x[0] < radius]
-        if len(inside) <= 1:
-            return False
-        self.accepted.append((candidate, radius))
-        self.taken.update(x[1] for x in free if x[0] <= radius)
-        self.n_eval += len(inside)
-        for _, _, label in inside:
+    def offer(self, d: np.ndarray, labels: np.ndarray, radius: float) -> float | None:
+        """The radius, capped to what is still wanted, if more than one of the free rows in reach (distances d) counts for eval."""
+        radius = capped_radius(d, radius, self.target - self.n_eval + self.overshoot, self.low)
+        inside = d < radius
+        if inside.sum() <= 1:
+            return None
+        self.count(int(inside.sum()), labels[inside])
+        return radius
+
+    def count(self, n: int, labels: Iterable[str | None]) -> None:
+        self.n_eval += n
+        for label in labels:
             if label is not None:
                 self.by_class[label] = self.by_class.get(label, 0) + 1
-        return True
-
-
-def scan(candidates: Iterable[tuple[int, list, float]], ledger: Ledger) -> None:
-    """Candidates (id, rows in reach, radius) in order until the target is met. Order decides, so this runs in one place, over one
-    candidate at a time."""
-    for candidate, near, radius in candidates:
-        if ledger.full:
-            return
-        ledger.offer(candidate, near, radius)
 
 
 @dataclass(frozen=True)
@@ -259,11 +276,165 @@ class Goal:
         return have < self.fill and (not ledger.full or have < 0.5 * self.target)
 
 
-def scan_classes(candidates: Iterable[tuple[int, list, float]], goals: Mapping[int, Goal], ledger: Ledger) -> None:
-    """Candidates in order of their classes, whose rank is in the upper bits of the id."""
-    for candidate, near, radius in candidates:
-        if goals[candidate >> RANK].open(ledger):
-            ledger.offer(candidate, near, radius)
+#: By the rank of a class, which is in the upper bits of the ids of its candidates.
+Goals = Mapping[int, Goal]
+
+
+def _offered(ledger: Ledger, goals: Goals | None, candidate: int) -> bool:
+    return goals[candidate >> RANK].open(ledger) if goals else not ledger.full
+
+
+def _in_order(pairs: pa.Table, ledger: Ledger, goals: Goals | None) -> pa.Table:
+    """Candidates of some pairs (c, radius, d, r, label), one after another: (c, radius, label, n) of those accepted, in all and by label."""
+    pairs = pairs.sort_by([("c", "ascending"), ("d", "ascending"), ("r", "ascending")])
+    c, radii, d, r = (pairs.column(x).to_numpy() for x in ("c", "radius", "d", "r"))
+    labels = np.array(pairs.column("label").to_pylist(), object)
+    taken: set[int] = set()
+    out: list[tuple[int, float, str | None, int]] = []
+    starts = np.flatnonzero(np.diff(c, prepend=c[0] - 1)) if len(c) else np.zeros(0, np.int64)
+    for start, end in zip(starts, [*starts[1:], len(c)], strict=True):
+        candidate = int(c[start])
+        if not goals and ledger.full:
+            break
+        if not _offered(ledger, goals, candidate):
+            continue
+        free = start + np.flatnonzero([x not in taken for x in r[start:end].tolist()])
+        before = dict(ledger.by_class), ledger.n_eval
+        radius = ledger.offer(d[free], labels[free], float(radii[start]))
+        if radius is None:
+            continue
+        taken.update(r[free[d[free] <= radius]].tolist())
+        out.append((candidate, radius, None, ledger.n_eval - before[1]))
+        out += [(candidate, radius, k, n - before[0].get(k, 0)) for k, n in ledger.by_class.items() if n != before[0].get(k, 0)]
+    columns = zip(*out, strict=True) if out else ([], [], [], [])
+    return pa.table({k: pa.array(x, t) for (k, t), x in zip({"c": pa.int64(), "radius": pa.float64(), "label": pa.string(), "n": pa.int64()}.items(), columns, strict=True)})
+
+
+def reach_pairs(c: DataFrame, p: DataFrame, config: Config, labels: bool = True) -> DataFrame | None:
+    """(c, radius, d, r, label): candidates (id, v, radius) with the rows (id, v, label) within their radius; none without candidates."""
+    reach = c.agg(F.max("radius")).first()[0]
+    if reach is None:
+        return None
+    sparse = distances(c.select("id", "v"), p.select("id", "v"), config.metric, within=reach).withColumnRenamed("l", "c")
+    sparse = sparse.join(c.select(F.col("id").alias("c"), "radius"), "c").where("d <= radius")
+    named = p.select(F.col("id").alias("r"), F.lower("label").alias("label")) if labels else None
+    return sparse.join(named, "r") if labels else sparse.withColumn("label", F.lit(None).cast("string"))
+
+
+def settle(c: DataFrame, p: DataFrame, ledger: Ledger, config: Config, goals: Goals | None = None, scanned: int | None = None) -> DataFrame:
+    """Candidates (id, v, radius) that are accepted, in order of their ids, over rows p (id, v, label), with the radius they were given.
+
+    By its definition acceptance is sequential: a candidate sees what earlier ones left. But a candidate with one free row in its radius or none
+    is refused whatever comes before, and one whose rows no earlier open candidate reaches has nothing to wait for, as long as the targets
+    would not be met even if all earlier ones took all they reach. So acceptance goes in rounds over the pairs of candidates and free rows: each
+    round settles all such candidates at once, and takes their rows and themselves out of the pairs. Where the targets come into play, the
+    first candidates, up to ``scanned`` pairs, are settled one by one in one task, which returns radii and counts. Pairs, rows that are taken
+    and candidates stay in tables; the driver reads counts only.
+    """
+    scanned = scanned or SCANNED
+    none = c.select(F.col("id").alias("c"), "radius", F.lit(None).cast("string").alias("label"), F.lit(0).cast("long").alias("n")).limit(0)
+    found = reach_pairs(c, p, config, labels=goals is not None)
+    if found is None:
+        return c.limit(0)
+    left = materialise(found, "reach")
+    accepted = none
+    while goals or not ledger.full:
+        sizes = materialise(left.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("d") < F.col("radius")).alias("a")), "reach-sizes")
+        total = sizes.agg(F.sum("n")).first()[0]
+        if not total:
+            break
+        if total <= scanned:
+            accepted = accepted.unionByName(_scanned(left, ledger, goals))
+            break
+        took, done = _round(left, sizes, ledger, goals)
+        if done.isEmpty():
+            upto = Scan(sizes, [], ["c"]).running({"upto": F.col("n")}).rows()
+            first = upto.where(F.col("upto") <= scanned).agg(F.max("c")).first()[0]
+            if first is None:  # one candidate that reaches more
+                took = _alone(left, sizes, ledger, goals)
+                done = sizes.agg(F.min("c").alias("c"))
+            else:
+                took = _scanned(left.where(F.col("c") <= first), ledger, goals)
+                done = sizes.where(F.col("c") <= first).select("c")
+        accepted = accepted.unionByName(took)
+        given = took.where("label is null").select("c", F.col("radius").alias("given"))
+        gone = left.join(given, "c").where("d <= given").select("r").distinct()
+        left = materialise(left.join(done, "c", "left_anti").join(gone, "r", "left_anti").select("c", "radius", "d", "r", "label"), "reach")
+    given = accepted.where("label is null").select(F.col("c").alias("id"), "radius")
+    return c.drop("radius").join(given, "id").select("id", "v", "radius")
+
+
+ACCEPTED = "c long, radius double, label string, n long"
+
+
+def _counted(took: DataFrame, ledger: Ledger) -> DataFrame:
+    """Enter what was accepted (c, radius, label, n)."""
+    for r in took.groupBy("label").agg(F.sum("n").alias("n")).collect():  # a row a class
+        if r.label is None:
+            ledger.n_eval += r.n
+        else:
+            ledger.by_class[r.label] = ledger.by_class.get(r.label, 0) + r.n
+    return took
+
+
+def _scanned(left: DataFrame, ledger: Ledger, goals: Goals | None) -> DataFrame:
+    """Candidates one by one, in one task."""
+    start = replace(ledger, by_class=dict(ledger.by_class))
+    kernel = lambda t: _in_order(t, replace(start, by_class=dict(start.by_class)), goals)
+    return _counted(materialise(left.withColumn("_all", F.lit(0)).groupBy("_all").applyInArrow(kernel, ACCEPTED), "accepted"), ledger)
+
+
+def _round(left: DataFrame, sizes: DataFrame, ledger: Ledger, goals: Goals | None) -> tuple[DataFrame, DataFrame]:
+    """What is accepted (c, radius, label, n) whatever earlier candidates do, and all that is settled (c)."""
+    first = left.groupBy("r").agg(F.min("c").alias("first"))
+    waits = left.join(first, "r").where("c > first").select("c").distinct()
+    upto = Scan(sizes, [], ["c"]).running({"upto": F.col("a")}).rows()
+    sure = upto.where((F.col("a") > 1) & (F.col("upto") + ledger.n_eval <= ledger.target)).join(waits, "c", "left_anti")
+    inside = left.where("d < radius")
+    closed = sizes.select("c").where("false")
+    if goals:
+        # Nothing is settled past the place where all captures so far could fill a class that still has candidates.
+        room = {i: (g.label, g.fill - ledger.by_class.get(g.label, 0)) for i, g in goals.items()}
+        rank = F.shiftright("c", RANK)
+        closed = sizes.where(rank.isin([i for i, (_, n) in room.items() if n <= 0])).select("c")
+        waiting = [room[r.rank] for r in sizes.select(rank.alias("rank")).distinct().collect() if room[r.rank][1] > 0]  # a row a class
+        rows = inside.where(F.col("label").isin([label for label, _ in waiting])).groupBy("label", "c").agg(F.count(F.lit(1)).alias("n"))
+        so_far = Scan(rows, ["label"], ["c"]).running({"got": F.col("n")}).rows()
+        full = F.coalesce(*[F.when(F.col("label") == label, F.col("got") >= n) for label, n in waiting], F.lit(False))
+        limit = so_far.where(full).agg(F.min("c")).first()[0]
+        if limit is not None:
+            sure = sure.where(F.col("c") < limit)
+        sure = sure.join(closed, "c", "left_anti")
+    took = inside.join(sure.select("c"), "c", "left_semi")
+    counts = took.groupBy("c", "radius").agg(F.count(F.lit(1)).alias("n")).withColumn("label", F.lit(None).cast("string"))
+    if goals:
+        counts = counts.unionByName(took.where("label is not null").groupBy("c", "radius", "label").agg(F.count(F.lit(1)).alias("n")))
+    took = _counted(materialise(counts.select("c", "radius", "label", "n"), "accepted"), ledger)
+    return took, took.select("c").unionByName(sizes.where("a <= 1").select("c")).unionByName(closed).distinct()
+
+
+def _alone(left: DataFrame, sizes: DataFrame, ledger: Ledger, goals: Goals | None) -> DataFrame:
+    """The first candidate, by counts of its rows at the radii that halving can give."""
+    c = sizes.agg(F.min("c")).first()[0]
+    own = left.where(F.col("c") == c)
+    radius = own.agg(F.first("radius")).first()[0]
+    empty = own.select("c", "radius", "label", F.lit(0).cast("long").alias("n")).limit(0)
+    if not _offered(ledger, goals, c):
+        return empty
+    allowed, low = ledger.target - ledger.n_eval + ledger.overshoot, ledger.low
+    captured = lambda r: own.where(F.col("d") < r).count()
+    if captured(radius) > allowed:
+        a, b = low, radius
+        for _ in range(HALVINGS):
+            middle = (a + b) / 2
+            a, b = (a, middle) if captured(middle) > allowed else (middle, b)
+        radius = a
+    inside = own.where(F.col("d") < radius)
+    if inside.count() <= 1:
+        return empty
+    named = lambda d: d.agg(F.count(F.lit(1)).alias("n"))
+    both = named(inside.where("label is not null").groupBy("label")).select("label", "n").unionByName(named(inside).select(F.lit(None).cast("string").alias("label"), "n"))
+    return _counted(materialise(both.select(F.lit(c).cast("long").alias("c"), F.lit(radius).alias("radius"), "label", "n"), "accepted"), ledger)
 
 
 def with_radii(c: DataFrame, everything: DataFrame, train: DataFrame, base: float, config: Config) -> DataFrame:
@@ -276,26 +447,6 @@ def with_radii(c: DataFrame, everything: DataFrame, train: DataFrame, base: floa
     return materialise(validate(c.join(radii, "id"), train, s.min_radius, config.metric), "valid")
 
 
-def in_reach(c: DataFrame, p: DataFrame, config: Config) -> Iterator[tuple[int, list[tuple[float, int, str | None]], float]]:
-    """The candidates (id, v, radius) in order of their ids, each with the rows (id, v, label) within its radius, one at a time."""
-    reach = c.agg(F.max("radius")).first()[0]
-    if reach is None:
-        return
-    sparse = distances(c.select("id", "v"), p.select("id", "v"), config.metric, within=reach)
-    sparse = sparse.join(c.select(F.col("id").alias("l"), "radius"), "l").where("d <= radius").join(p.select(F.col("id").alias("r"), F.lower("label").alias("label")), "r")
-    rows = sparse.groupBy("l", "radius").agg(F.sort_array(F.collect_list(F.struct("d", "r", "label"))).alias("near")).orderBy("l")
-    for row in rows.toLocalIterator():
-        yield row.l, [(x.d, x.r, x.label) for x in row.near], row.radius
-
-
-def _accepted(c: DataFrame, ledger: Ledger) -> DataFrame:
-    """The accepted candidates (id, v, radius), with the radius they were given."""
-    if not ledger.accepted:
-        return c.limit(0)
-    order = c.sparkSession.createDataFrame(ledger.accepted, "id long, radius double")
-    return c.drop("radius").join(F.broadcast(order), "id").select("id", "v", "radius")
-
-
 def _overshoot(total: int, config: Config) -> int:
     return max(1, int(total * config.splits.tolerance))
 
@@ -308,8 +459,7 @@ def closed_loop(
     c = materialise(propose(p, existing, config, num, filtered=num is None), "proposed")
     c = with_radii(c, everything, train, base, config)
     ledger = Ledger(deficit, 0, _overshoot(total, config), config.spheres.min_radius)
-    scan(in_reach(c, p.select("id", "v", F.lit(None).cast("string").alias("label")), config), ledger)
-    return _accepted(c, ledger)
+    return settle(c, p, ledger, config)
 
 
 def class_counts(labels: DataFrame, stored: DataFrame, config: Config) -> DataFrame:
@@ -348,8 +498,7 @@ def class_aware_loop(
     found = p.select("id", "v", F.lit(0.0).alias("radius")).limit(0)
     if parts:
         c = with_radii(materialise(reduce(DataFrame.unionByName, parts), "proposed"), everything.select("id", "v"), train, base, config)
-        scan_classes(in_reach(c, p, config), goals, ledger)
-        found = materialise(_accepted(c, ledger), "accepted")
+        found = materialise(settle(c, p, ledger, config, goals), "accepted")
     if not ledger.full:
         inside = spheres.containing(p.select("id", "v"), to_anchors(found, config), config.metric).select("id").distinct()
         rest = materialise(p.select("id", "v").join(inside, "id", "left_anti"), "rest")
@@ -362,11 +511,12 @@ def class_aware_loop(
 
 def to_anchors(placed: DataFrame, config: Config, buffer: float = 0.0, first: int = 0) -> DataFrame:
     """Anchor rows of placed (id, v, radius), numbered in their order from first on."""
-    number = (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("id")) - 1 + first).cast("long")
+    placed = Scan(placed, [], ["id"]).number("_number").rows()
+    number = F.col("_number") - 1 + first
     dim = placed.select(F.size("v")).first()
     s = config.spheres
     coin = uniform(config.seed, F.lit("coin"), F.col("anchor_id"))
     shape = spheres.shells(F.col("radius"), dim[0] if dim else 1, s.strategy, config.splits.validation_share, s.nested, coin)
-    return placed.withColumn("anchor_id", number).select(
+    return placed.withColumn("anchor_id", number.cast("long")).select(
         "anchor_id", F.col("v").alias("center"), F.col("radius").alias("base_radius"), F.lit(float(buffer)).alias("buffer_radius"), shape.alias("shells")
     )

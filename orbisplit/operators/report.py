@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbisplit.functions.vectors import folder_of_run
+from orbisplit.operators.scans import Scan
 
 
 def split_counts(a: DataFrame, split: str = "split") -> DataFrame:
@@ -77,26 +78,24 @@ def train_mask(a: DataFrame, split: str = "dataset_split") -> Column:
 
 
 def ordered(df: DataFrame, run: str, *order: str) -> DataFrame:
-    """Add ``place``, from 1, and ``position``, from 0 to 1, within each run."""
-    place = F.row_number().over(Window.partitionBy(run).orderBy(*order))
-    n = F.count(F.lit(1)).over(Window.partitionBy(run))
-    return df.withColumn("place", place).withColumn("position", (F.col("place") - 1) / F.greatest(n - 1, F.lit(1)))
+    """Add ``place``, from 1, and ``position``, from 0 to 1, within each run. A long run is cut over many tasks, as in all of these."""
+    placed = Scan(df, [run], order).number("place", "_n").rows()
+    return placed.withColumn("position", (F.col("place") - 1) / F.greatest(F.col("_n") - 1, F.lit(1))).drop("_n")
 
 
 def arc_length(df: DataFrame, run: str, order: list[str], coordinates: list[str]) -> DataFrame:
     """Add ``arc``: the length of the way from a run's first row."""
-    w = Window.partitionBy(run).orderBy(*order)
-    step = sum(((F.col(c) - F.lag(c).over(w)) ** 2 for c in coordinates), F.lit(0.0))
-    return df.withColumn("_step", F.coalesce(F.sqrt(step), F.lit(0.0))).withColumn("arc", F.sum("_step").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_step")
+    s = Scan(df, [run], order).previous({f"_was_{c}": c for c in coordinates})
+    step = F.sqrt(sum(((F.col(c) - F.col(f"_was_{c}")) ** 2 for c in coordinates), F.lit(0.0)))
+    return s.running({"arc": step}).rows().drop(*[f"_was_{c}" for c in coordinates])
 
 
 def at_fractions(df: DataFrame, run: str, order: list[str], step: float) -> DataFrame:
     """The rows of each run at the fractions 0, step, 2 * step … of its length."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(run))
-    i = F.row_number().over(Window.partitionBy(run).orderBy(*order)) - 1
+    placed = Scan(df, [run], order).number("_i", "_n").rows()
     count = int(1 / step + 1e-9)
-    wanted = F.exists(F.sequence(F.lit(0), F.lit(count)), lambda k: F.floor(k * F.lit(step) * (F.col("_n") - 1) + 1e-9) == F.col("_i"))
-    return df.withColumn("_n", n).withColumn("_i", i).where(wanted).drop("_n", "_i")
+    wanted = F.exists(F.sequence(F.lit(0), F.lit(count)), lambda k: F.floor(k * F.lit(step) * (F.col("_n") - 1) + 1e-9) == F.col("_i") - 1)
+    return placed.where(wanted).drop("_n", "_i")
 
 
 def first_seen(df: DataFrame, run: str, order: str) -> DataFrame:
@@ -106,12 +105,7 @@ def first_seen(df: DataFrame, run: str, order: str) -> DataFrame:
 
 def nth_of_folder(df: DataFrame, folder: str, order: str) -> DataFrame:
     """Number the runs (or batches) of each folder in their order, from 1: the n-th batch of a folder is its n-th run."""
-    return df.withColumn("ordinal", F.row_number().over(Window.partitionBy(folder).orderBy(order)))
-
-
-def with_split(a: DataFrame, split: str = "dataset_split") -> DataFrame:
-    """Rows whose split is neither null nor empty: those that are no duplicates."""
-    return a.where(F.col(split).isNotNull() & (F.col(split) != ""))
+    return Scan(df, [folder], [order]).number("ordinal").rows()
 
 
 def run_labels(runs: DataFrame) -> DataFrame:

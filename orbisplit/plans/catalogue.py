@@ -329,18 +329,23 @@ SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT unnest(gone) FROM (SELE
 
 
 @query(
-    "SELECT i.i AS i, p.d AS d, round((list_sum(list_transform(range(0, 12), lambda k: ((i.i + 1) // power(p.b, k)::BIGINT % p.b) * power(p.b, -(k + 1)))) + "
-    "('0x' || substr(md5('42:halton:' || p.d), 1, 8))::BIGINT / 4294967296.0) % 1.0, 6) AS x FROM range(32) i(i), (VALUES (0, 2), (1, 3), (2, 5), (3, 7)) p(d, b)"
+    "SELECT i, d, round(low + x * (high - low), 6) + 0 AS x FROM (SELECT i.i AS i, p.d AS d, (list_sum(list_transform(range(0, 20), lambda k: ((i.i + 1) // power(p.b, k)::HUGEINT % p.b) * power(p.b, -(k + 1)))) + "
+    "('0x' || substr(md5('42:halton:' || p.d), 1, 8))::BIGINT / 4294967296.0) % 1.0 AS x FROM range((SELECT count(*) FROM e)) i(i), (VALUES (0, 2), (1, 3), (2, 5), (3, 7)) p(d, b)) "
+    "JOIN (SELECT dim AS d, min(x) AS low, max(x) AS high FROM (SELECT unnest(range(4))::INTEGER AS dim, unnest(v[1:4]) AS x FROM e) GROUP BY dim) USING (d)"
 )
 def halton_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = sampling.halton(32, 4)
-    rows = [(i, d, float(x[i, d])) for i in range(32) for d in range(4)]
-    return rounded(spark.createDataFrame(rows, "i long, d int, x double"), "x")
+    """As many points as there are rows, over the box of their first four axes."""
+    p = points(spark, sf_dir).select("id", F.slice("v", 1, 4).alias("v"))
+    made = sampling.points_in_box(spark, "halton", p.count(), *sampling.box_arrays(p))
+    return rounded(made.select(F.col("id").alias("i"), F.posexplode("v").alias("d", "x")), "x")
 
 
 @query()
 def sobol_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.as_points(spark, sampling.sobol(64, 8))
+    """As many points as there are rows, over the box of their first eight axes."""
+    p = points(spark, sf_dir).select("id", F.slice("v", 1, 8).alias("v"))
+    made = sampling.points_in_box(spark, "sobol", p.count(), *sampling.box_arrays(p))
+    return rounded(made.select(F.col("id").alias("i"), F.posexplode("v").alias("d", "x")), "x")
 
 
 @query(
@@ -349,7 +354,7 @@ def sobol_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def uniform_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     low, high = sampling.box_arrays(points(spark, sf_dir))
-    box = sampling.as_points(spark, sampling.in_box(sampling.uniform_box(20, len(low), 42), low, high))
+    box = sampling.points_in_box(spark, "random", 20, low, high)
     return rounded(box.select(F.col("id").alias("i"), F.posexplode("v").alias("dim", "x")), "x")
 
 
@@ -460,9 +465,9 @@ def eval_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(d.groupBy("r").applyInPandas(one, "r long, radius double, captured long").withColumnRenamed("r", "anchor_id"), "radius")
 
 
-def _taken(p: DataFrame, c: DataFrame, ledger: placement.Ledger) -> DataFrame:
+def _taken(p: DataFrame, accepted: DataFrame) -> DataFrame:
     """(id, split, place): rows that accepted candidates took, with the candidate's place among those."""
-    a = placement.to_anchors(placement._accepted(c, ledger), CONFIG)
+    a = placement.to_anchors(accepted, CONFIG)
     return spheres.assign(p.select("id", "v"), a, placed=True).where("anchor_id is not null").select("id", "split", F.col("anchor_id").alias("place"))
 
 
@@ -504,8 +509,7 @@ def closed_loop_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = materialise(_candidates(p, 40).select(F.col("k").alias("id"), "v", "radius"), "offered")
     n = p.count()
     ledger = placement.Ledger(int(n * 0.2), 0, max(1, int(n * 0.03)), CONFIG.spheres.min_radius)
-    placement.scan(placement.in_reach(c, p, CONFIG), ledger)
-    return _taken(p, c, ledger)
+    return _taken(p, placement.settle(c, p, ledger, CONFIG))
 
 
 SQL["closed_loop_accept"] = _walk_sql(
@@ -525,8 +529,7 @@ def class_aware_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = materialise(c.select("id", "v", "radius"), "offered")
     n = p.count()
     ledger = placement.Ledger(int(n * 0.2), 0, max(1, int(n * 0.03)), CONFIG.spheres.min_radius)
-    placement.scan_classes(placement.in_reach(c, p, CONFIG), goals, ledger)
-    return _taken(p, c, ledger)
+    return _taken(p, placement.settle(c, p, ledger, CONFIG, goals))
 
 
 SQL["class_aware_accept"] = _walk_sql(
@@ -720,11 +723,8 @@ for _i in range(1, 5):
 @query()
 def farthest_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A spread order of the anchors."""
-    import numpy as np
-
-    rows = anchors(spark, sf_dir).orderBy("anchor_id").select("center").collect()
-    order = sampling.farthest_points(np.array([r.center for r in rows]), 5)
-    return spark.createDataFrame(list(enumerate(order)), "place long, anchor_id long")
+    a = anchors(spark, sf_dir)
+    return sampling.farthest_points(a.select(F.col("anchor_id").alias("id"), F.col("center").alias("v")), 5).withColumnRenamed("id", "anchor_id")
 
 
 SQL["farthest_point"] = CTE.rstrip() + _FAR + " SELECT place::BIGINT AS place, anchor_id FROM s5"

@@ -75,9 +75,8 @@ def radius_histogram(state: State, bins: int = 20) -> DataFrame:
 
 def representatives(state: State, each: int = 1, anchors: int = 7) -> DataFrame:
     """The rows nearest to the centres of anchors that lie far from each other."""
-    rows = state.anchors().select("anchor_id", "center").orderBy("anchor_id").collect()
-    chosen = [rows[i].anchor_id for i in sampling.farthest_points(np.array([r.center for r in rows]), anchors)] if rows else []
-    a = state.assignments().where(F.col("anchor_id").isin(chosen)).withColumn("distance", F.col("distance_to_anchor"))
+    chosen = sampling.farthest_points(state.anchors().select(F.col("anchor_id").alias("id"), F.col("center").alias("v")), anchors)
+    a = state.assignments().join(chosen.select(F.col("id").alias("anchor_id")), "anchor_id", "left_semi").withColumn("distance", F.col("distance_to_anchor"))
     return report.representatives(a, each)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from orbisplit.config import Config, Placement, Spheres, from_dict
 from orbisplit.functions import encoders, vectors
-from orbisplit.operators import dedup, density, pairs, placement, report, sampling, spheres
+from orbisplit.operators import dedup, density, pairs, placement, quantiles, report, sampling, spheres
 
 ANGLES = [0, 10, 30, 60, 100]
 
@@ -25,7 +25,7 @@ def test_distances_of_five_vectors(c5):
     got = {(r.l, r.r): round(r.d, 6) for r in pairs.self_pairs(c5).collect()}
     assert [got[0, j] for j in range(1, 5)] == [0.015192, 0.133975, 0.5, 1.173648]
     assert [got[1, 2], got[1, 3], got[1, 4], got[2, 3], got[2, 4], got[3, 4]] == [0.060307, 0.357212, 1.0, 0.133975, 0.65798, 0.233956]
-    assert [round(x, 6) for x in density.quantiles(pairs.self_pairs(c5), "d", 0.25, 0.5, 0.75)] == [0.133975, 0.295584, 0.618485]
+    assert [round(x, 6) for x in quantiles.exact_quantiles(pairs.self_pairs(c5), {"d": [0.25, 0.5, 0.75]})["d"]] == [0.133975, 0.295584, 0.618485]
 
 
 @pytest.mark.parametrize("metric", vectors.METRICS)
@@ -154,21 +154,68 @@ def test_dense_runs(spark):
     assert sorted((r.run_start, r.run_end) for r in density.dense_runs(df, 1.0).collect()) == [(1, 2), (4, 4)]
 
 
-def test_farthest_points():
-    x = np.array([(0, 0), (1, 0), (0, 1), (5, 5), (6, 5)], float)
-    assert sampling.farthest_points(x, 3) == [4, 0, 1] and sampling.farthest_points(x, 9) == [0, 1, 2, 3, 4]
+def test_farthest_points(spark):
+    far = lambda x, n: [r.id for r in sampling.farthest_points(sampling.as_points(spark, np.array(x, float)).repartition(3), n).orderBy("place").collect()]
+    x = [(0, 0), (1, 0), (0, 1), (5, 5), (6, 5)]
+    assert far(x, 3) == [4, 0, 1] and far(x, 9) == [0, 1, 2, 3, 4]
+    assert far([(1, 1)] * 5, 3) == [0, 1, 2]  # copies are taken once each
+    assert far([(0, 0), (0, 0), (9, 9), (9, 9)], 3) == [0, 2, 1]
+    assert sampling.farthest_points(spark.createDataFrame([], "id long, v array<double>"), 2).isEmpty()
 
 
-def test_sequences_fill_the_box():
-    for make in (sampling.sobol, sampling.halton):
-        x = make(256, 6)
+def one_by_one(n, dim, seed, bits=30):
+    """The sequence by its definition: each point from the one before."""
+    v, shift = sampling.directions(dim, seed, bits)
+    out, x = np.zeros((n, dim)), shift.copy()
+    for i in range(n):
+        out[i] = x / (1 << bits)
+        x ^= v[:, (~i & (i + 1)).bit_length() - 1]
+    return out
+
+
+def test_sequences_fill_the_box(spark):
+    index = np.arange(256)
+    for make in (sampling.sobol_at, sampling.halton_at):
+        x = make(index, 6)
         assert x.shape == (256, 6) and ((x >= 0) & (x < 1)).all()
         cells = np.histogramdd(x[:, :2], bins=8, range=[(0, 1)] * 2)[0]
         assert cells.min() >= 1 and cells.max() <= 9
-    base = sampling.sobol(64, 4)
+        assert (make(index[200:], 6) == x[200:]).all()
+    base = sampling.sobol_at(np.arange(64), 4)
     for d in range(4):
         assert sorted(np.floor(base[:, d] * 64).astype(int)) == list(range(64))
+    assert (sampling.sobol_at(np.arange(500), 20, 7) == one_by_one(500, 20, 7)).all()
     assert [bin(p) for p in sampling.primitive_polynomials(4)] == ["0b11", "0b111", "0b1011", "0b1101"]
+    low, high = np.array([-1.0, 5.0]), np.array([1.0, 9.0])
+    for kind, unit in (("sobol", sampling.sobol_at(np.arange(90), 2)), ("halton", sampling.halton_at(np.arange(90), 2)), ("random", np.array([[sampling.u(42, i, d) for d in range(2)] for i in range(90)]))):
+        got = np.array([r.v for r in sampling.points_in_box(spark, kind, 90, low, high).orderBy("id").collect()])
+        assert np.abs(got - (low + unit * (high - low))).max() < 1e-12
+
+
+@pytest.mark.parametrize("few", [4, 2048])
+def test_many_quantiles_at_once(spark, few):
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=3000), np.round(rng.exponential(size=3000), 1)
+    df = spark.createDataFrame([(float(a), float(b), None, 2.5) for a, b in zip(x, y, strict=True)], "x double, y double, n double, same double").repartition(4)
+    shares = [0.0, 0.05, 0.25, 0.5, 0.95, 1.0]
+    got = quantiles.exact_quantiles(df, {"x": shares, "y": shares, "n": [0.5], "same": [0.3]}, 16, few)
+    assert np.abs(np.array(got["x"]) - np.quantile(x, shares)).max() < 1e-12 and np.abs(np.array(got["y"]) - np.quantile(y, shares)).max() < 1e-12
+    assert np.isnan(got["n"][0]) and got["same"] == [2.5]
+    odd = spark.createDataFrame([(1.0,), (float("nan"),), (2.0,), (1e308,), (-1e308,)], "x double")
+    low, middle, high = quantiles.exact_quantiles(odd, {"x": [0.0, 0.5, 1.0]}, 4, few)["x"]
+    assert (low, middle) == (-1e308, 2.0) and np.isnan(high)
+
+
+def test_kmeans_keeps_the_best_of_its_starts(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(c, 0.05, (40, 2)) for c in ((0, 0), (4, 0), (0, 4), (4, 4), (2, 2))])
+    p = sampling.as_points(spark, x).repartition(3)
+    inertia = lambda c: (pairs.matrix(x, np.array(c), "euclidean").min(1) ** 2).sum()
+    of = lambda **more: [r.v for r in placement.kmeans_centers(p, 5, **more).collect()]
+    best = of()
+    assert np.allclose(best, sorted(x[i * 40 : i * 40 + 40].mean(0).tolist() for i in range(5)), atol=1e-6)
+    assert inertia(best) <= min(inertia(of(starts=1, seed=s)) for s in range(3)) + 1e-9
+    assert len(of(starts=2)) == 5 and placement.kmeans_centers(p.limit(0), 3).isEmpty()
 
 
 def test_hashed_uniforms_are_the_same_everywhere(spark):

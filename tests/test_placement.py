@@ -175,3 +175,33 @@ def test_dedup_threshold_and_classes_in_an_ingest(spark):
     assert e.ingest(first, "one").count() == 8
     other = first.withColumn("label", F.lit("z"))
     assert e.ingest(other, "two").count() == 8 and e.ingest(first, "three").count() == 0
+
+
+@pytest.mark.parametrize("by_class, target", [(False, 40), (False, 500), (True, 60)])
+def test_acceptance_in_rounds_equals_one_by_one(spark, monkeypatch, by_class, target):
+    rng = np.random.default_rng(target)
+    rows = [(i, x.tolist(), [None, "a", "b", "c"][rng.choice(4, p=[0.1, 0.5, 0.3, 0.1])]) for i, x in enumerate(rng.random((250, 2)))]
+    p = spark.createDataFrame(rows, "id long, v array<double>, label string")
+    config = Config(metric="euclidean")
+    goals = {k: placement.Goal(c, n) for k, (c, n) in enumerate([("c", 8), ("b", 20), ("a", 30)])} if by_class else None
+    spots = [((int(rng.integers(0, 3)) << placement.RANK if by_class else 0) + i, x.tolist(), float(r)) for i, (x, r) in enumerate(zip(rng.random((40, 2)), rng.uniform(0.03, 0.12, 40), strict=True))]
+    c = spark.createDataFrame(spots, "id long, v array<double>, radius double")
+    # Plainly: every candidate in turn over a dictionary of free rows.
+    want, free, ledger = {}, {i: (np.array(v), label) for i, v, label in rows}, placement.Ledger(target, 0, 5, 0.005)
+    for k, v, radius in sorted(spots):
+        if goals and not goals[k >> placement.RANK].open(ledger) or not goals and ledger.full:
+            continue
+        near = sorted((float(np.linalg.norm(x - np.array(v))), i, label) for i, (x, label) in free.items() if np.linalg.norm(x - np.array(v)) <= radius)
+        given = ledger.offer(np.array([d for d, _, _ in near]), np.array([x for _, _, x in near], object), radius)
+        if given is not None:
+            want[k] = round(given, 9)
+            free = {i: x for i, x in free.items() if i not in {i for d, i, _ in near if d <= given}}
+    rounds = []
+    step = placement._round
+    monkeypatch.setattr(placement, "_round", lambda *a: rounds.append(1) or step(*a))
+    for scanned in (10**6, 60):
+        own = placement.Ledger(target, 0, 5, 0.005)
+        got = {r.id: round(r.radius, 9) for r in placement.settle(c, p, own, config, goals, scanned).collect()}
+        assert got == want, scanned
+        assert own.n_eval == ledger.n_eval and (not goals or own.by_class == ledger.by_class)
+    assert len(want) > 3 and 0 < len(rounds) < len(spots)
