@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orbisplit.config import Encoding, Pixels
+from orbisplit.sources.tables import materialise
 
 #: An encoder gets a batch of items and gives one vector a row.
 Encoder = Callable[[pd.Series], np.ndarray]
@@ -37,6 +38,25 @@ IMAGE_ENCODERS: dict[str, Callable[[np.ndarray], np.ndarray]] = {}
 PLACEHOLDER = 224
 
 
+#: Pixels of an encoder's call, in bytes, and images that are looked at in turn.
+CALL_BYTES, CALL_ROWS = 64 << 20, 256
+#: By file ending, what turns a file's bytes into pixels (height, width, 3), for formats that Spark's image source doesn't read.
+DECODERS: dict[str, Callable[[bytes], np.ndarray]] = {}
+
+
+def decoder(ending: str) -> Callable[[bytes], np.ndarray] | None:
+    """The registered one, or Pillow's where it is installed."""
+    if ending in DECODERS:
+        return DECODERS[ending]
+    try:
+        from PIL import Image
+    except ModuleNotFoundError:
+        return None
+    import io
+
+    return lambda raw: np.asarray(Image.open(io.BytesIO(raw)).convert("RGB"))
+
+
 def image_encoder(name: str) -> Callable[[np.ndarray], np.ndarray]:
     """A registered encoder, or ``grid-N``: the mean colours of N by N fields."""
     if name in IMAGE_ENCODERS:
@@ -53,10 +73,17 @@ def _grid(x: np.ndarray, n: int) -> np.ndarray:
     return (sums / np.outer(*counts)).reshape(len(x), -1)
 
 
-def pixels_of(height: int | None, width: int | None, channels: int | None, data: bytes | None) -> np.ndarray:
-    """Red, green and blue (height, width, 3) of a row of Spark's image source, whose order is blue, green, red; black where it has none."""
+def pixels_of(height: int | None, width: int | None, channels: int | None, data: bytes | None, content: bytes | None = None, decode: Callable[[bytes], np.ndarray] | None = None) -> np.ndarray | None:
+    """Red, green and blue (height, width, 3) of a row of Spark's image source, whose order is blue, green, red, or of a file's content;
+    none where neither can be read."""
+    if content is not None and decode is not None:
+        try:
+            x = np.asarray(decode(content), np.uint8)
+        except Exception:  # whatever a broken file makes a decoder raise
+            return None
+        return x if x.ndim == 3 and x.shape[2] == 3 and x.size else None
     if not data or not height or height < 1 or channels not in (1, 3, 4):
-        return np.zeros((PLACEHOLDER, PLACEHOLDER, 3), np.uint8)
+        return None
     x = np.frombuffer(data, np.uint8).reshape(height, width, channels)
     return np.repeat(x, 3, axis=2) if channels == 1 else x[:, :, 2::-1]
 
@@ -90,27 +117,53 @@ def prepared(x: np.ndarray, pixels: Pixels) -> np.ndarray:
 
 
 def encode_images(images: DataFrame, encoding: Encoding, pixels: Pixels, key: str = "filename") -> DataFrame:
-    """(key, v) of images (key, height, width, nChannels, data): made ready once for all encoders, normalised for each, and their
-    vectors combined by consensus if there are several. Rows without an image are encoded as a black one."""
+    """(key, v, decoded) of images (key, height, width, nChannels, data[, ending, content]): made ready once for all encoders, normalised for
+    each, and their vectors combined by consensus if there are several. An image that is missing or cannot be read is encoded as a
+    black one, and ``decoded`` is false: such images are alike without being copies.
+
+    Encoders are called with batches: images of one size together, up to CALL_ROWS of them or CALL_BYTES of pixels."""
     encoders = {name: image_encoder(name) for name in (encoding.primary, *encoding.others)}
+    decoders = {"webp": decoder("webp"), **DECODERS}
     kind = images.schema[key].dataType.simpleString()
+    more = [c for c in ("ending", "content") if c in images.columns]
+
+    def call(rows: list[tuple[object, np.ndarray, bool]]) -> Iterator[pa.RecordBatch]:
+        x = np.stack([r[1] for r in rows])
+        for name, f in encoders.items():
+            mean, deviation = pixel_constants(name)
+            v = np.asarray(f(normalise_pixels(x, name, pixels.mean or mean, pixels.deviation or deviation) if pixels.normalise else x), np.float64)
+            v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12) if encoding.normalise else v
+            columns = [pa.array([r[0] for r in rows]), pa.array([name] * len(rows)), pa.array(list(v), pa.list_(pa.float64())), pa.array([r[2] for r in rows])]
+            yield pa.RecordBatch.from_arrays(columns, [key, "model", "v", "decoded"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, ...], list[tuple[object, np.ndarray, bool]]] = {}
+        size = 0
         for b in batches:
-            columns = [b.column(c).to_pylist() for c in ("height", "width", "nChannels", "data")]
-            for i, row in enumerate(zip(*columns, strict=True)):
-                x = prepared(pixels_of(*row), pixels)[None]
-                for name, f in encoders.items():
-                    mean, deviation = pixel_constants(name)
-                    y = normalise_pixels(x, name, pixels.mean or mean, pixels.deviation or deviation) if pixels.normalise else x
-                    v = f(y)
-                    v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12) if encoding.normalise else v
-                    yield pa.RecordBatch.from_arrays([b.column(key).slice(i, 1), pa.array([name]), pa.array(list(v), pa.list_(pa.float64()))], [key, "model", "v"])
-
-    found = images.select(key, "height", "width", "nChannels", "data").mapInArrow(run, f"{key} {kind}, model string, v array<double>")
+            for i in range(b.num_rows):
+                row = [b.column(c)[i].as_py() for c in ("height", "width", "nChannels", "data", *more)]
+                raw = row[5] if more else None
+                x = pixels_of(*row[:4], raw, decoders.get(row[4]) if more else None)
+                ready = prepared(np.zeros((PLACEHOLDER, PLACEHOLDER, 3), np.uint8) if x is None else x, pixels)
+                group = held.setdefault(ready.shape, [])
+                group.append((b.column(key)[i].as_py(), ready, x is not None))
+                size += ready.nbytes
+                if len(group) >= CALL_ROWS:
+                    size -= sum(r[1].nbytes for r in group)
+                    yield from call(held.pop(ready.shape))
+                elif size >= CALL_BYTES:
+                    for rows in held.values():
+                        yield from call(rows)
+                    held, size = {}, 0
+        for rows in held.values():
+            yield from call(rows)
+
+    found = images.select(key, "height", "width", "nChannels", "data", *more).mapInArrow(run, f"{key} {kind}, model string, v array<double>, decoded boolean")
     if not encoding.others:
-        return found.select(key, "v")
-    return consensus(found, encoding.primary, encoding.threshold, encoding.consensus, key)
+        return found.select(key, "v", "decoded")
+    found = materialise(found, "encoded")
+    read = found.where(F.col("model") == encoding.primary).select(key, "decoded")
+    return consensus(found.drop("decoded"), encoding.primary, encoding.threshold, encoding.consensus, key).join(read, key)
 
 
 def hashed_text(dim: int = 64, n: int = 3) -> Encoder:

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orbisplit.functions.vectors import folder_of_run
+from orbisplit.functions.vectors import folder_of_run, uniform
+from orbisplit.operators.pairs import distances
 from orbisplit.operators.scans import Scan
 
 
@@ -138,18 +139,90 @@ def histogram(df: DataFrame, column: str, bins: int, low: float, high: float, by
     return c.withColumn("density", F.col("n") / (total * ((high - low) / bins)))
 
 
-def grid(df: DataFrame, size: int, low: tuple[float, float], high: tuple[float, float]) -> DataFrame:
-    """(gx, gy, x, y): size * size places."""
-    axis = lambda name, lo, hi: df.sparkSession.range(size).select(F.col("id").cast("int").alias(f"g{name}"), (F.lit(lo) + F.col("id") * ((hi - lo) / (size - 1))).alias(name))
-    return axis("x", low[0], high[0]).join(F.broadcast(axis("y", low[1], high[1])), how="cross")
+def grid(df: DataFrame, size: int) -> DataFrame:
+    """(gx, gy): size * size places."""
+    return df.sparkSession.range(size * size).select((F.col("id") / size).cast("int").alias("gx"), (F.col("id") % size).cast("int").alias("gy"))
+
+
+def _axis(place: Column, size: int, low: float, high: float) -> Column:
+    return F.lit(low) + place * ((high - low) / (size - 1))
 
 
 def heatmap(centers: DataFrame, size: int, low: tuple[float, float], high: tuple[float, float], least: float = 0.05) -> DataFrame:
-    """(gx, gy, heat): the largest of the Gaussians around centres (cx, cy, sigma), null below ``least``. Centres are anchors: few."""
-    d2 = (F.col("x") - F.col("cx")) ** 2 + (F.col("y") - F.col("cy")) ** 2
-    heat = F.max(F.exp(-d2 / (2 * F.col("sigma") ** 2)))
-    out = grid(centers, size, low, high).join(centers.select("cx", "cy", "sigma"), how="cross").groupBy("gx", "gy").agg(heat.alias("heat"))
-    return out.withColumn("heat", F.when(F.col("heat") >= least, F.col("heat")))
+    """(gx, gy, heat): the largest of the Gaussians around centres (cx, cy, sigma), null below ``least``. A centre is sent to the places where
+    it reaches that much, and to no other."""
+    reach = F.col("sigma") * float(np.sqrt(-2 * np.log(least)))
+
+    def places(c: str, i: int) -> Column:
+        step = (high[i] - low[i]) / (size - 1)
+        first = F.greatest(F.floor((F.col(c) - reach - low[i]) / step) - 1, F.lit(0)).cast("int")
+        last = F.least(F.ceil((F.col(c) + reach - low[i]) / step) + 1, F.lit(size - 1)).cast("int")
+        return F.when(first <= last, F.sequence(first, F.greatest(first, last))).otherwise(F.array().cast("array<int>"))
+
+    near = centers.where("sigma > 0").select("cx", "cy", "sigma", F.explode(places("cx", 0)).alias("gx"))
+    near = near.select("cx", "cy", "sigma", "gx", F.explode(places("cy", 1)).alias("gy"))
+    d2 = (_axis(F.col("gx"), size, low[0], high[0]) - F.col("cx")) ** 2 + (_axis(F.col("gy"), size, low[1], high[1]) - F.col("cy")) ** 2
+    near = near.select("gx", "gy", F.exp(-d2 / (2 * F.col("sigma") ** 2)).alias("heat")).where(F.col("heat") >= least)
+    return grid(centers, size).join(near.groupBy("gx", "gy").agg(F.max("heat").alias("heat")), ["gx", "gy"], "left")
+
+
+#: Rows of an anchor below which points of its surface stand in for more; and a spread for anchors with one point or none, of the data's.
+FULL, NARROW = 50, 0.05
+
+
+def spread(rows: DataFrame, centers: DataFrame, surface: DataFrame, extent: float, full: int = FULL) -> DataFrame:
+    """(anchor_id, cx, cy, sigma): the mean distance in the plane of an anchor's rows (anchor_id, x, y) to its centre (anchor_id, cx, cy). An
+    anchor of fewer than ``full`` rows is filled up with points of its surface (anchor_id, i, x, y) in order of i; one with less than two
+    points even so has a fixed share of the data's extent."""
+    counted = centers.select("anchor_id").join(rows.groupBy("anchor_id").agg(F.count(F.lit(1)).alias("_n")), "anchor_id", "left")
+    more = surface.join(counted, "anchor_id").where(F.col("i") < F.lit(full) - F.coalesce("_n", F.lit(0)))
+    points = rows.select("anchor_id", "x", "y").unionByName(more.select("anchor_id", "x", "y")).join(centers, "anchor_id")
+    d = F.sqrt((F.col("x") - F.col("cx")) ** 2 + (F.col("y") - F.col("cy")) ** 2)
+    means = points.groupBy("anchor_id").agg(F.count(F.lit(1)).alias("_m"), F.avg(d).alias("_d"))
+    return centers.join(means, "anchor_id", "left").select("anchor_id", "cx", "cy", F.when(F.col("_m") >= 2, F.col("_d")).otherwise(F.lit(NARROW * extent)).alias("sigma"))
+
+
+def surface_points(anchors: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """(anchor_id, i, v): n points at the cosine radius of each anchor (anchor_id, center, base_radius), in directions drawn by hashes of (seed,
+    anchor, point, axis), so that every engine draws the same."""
+    u = lambda d: uniform(seed, F.col("anchor_id"), F.col("i"), d)
+    normal = lambda d: F.sqrt(-2 * F.log(F.greatest(u(2 * d), F.lit(1e-12)))) * F.cos(2 * np.pi * u(2 * d + 1))
+    each = anchors.select("anchor_id", "center", "base_radius", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
+    drawn = each.select("anchor_id", "i", "center", "base_radius", F.transform(F.sequence(F.lit(0), F.size("center") - 1), normal).alias("o"))
+
+    def turn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                c, o = np.vstack(b["center"]), np.vstack(b["o"])
+                size = np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-8)
+                unit = c / size
+                o = o - unit * (o * unit).sum(1, keepdims=True)
+                o /= np.maximum(np.linalg.norm(o, axis=1, keepdims=True), 1e-8)
+                angle = np.arccos(np.clip(1 - b["base_radius"].to_numpy(), -1, 1))[:, None]
+                yield pd.DataFrame({"anchor_id": b["anchor_id"], "i": b["i"], "v": list((np.cos(angle) * unit + np.sin(angle) * o) * size)})
+
+    return drawn.mapInPandas(turn, "anchor_id long, i int, v array<double>")
+
+
+def placed_centers(centers: DataFrame, rows: DataFrame) -> DataFrame:
+    """(anchor_id, p): centres (anchor_id, v, p) where they have a projection, else where the row (id, v, p) nearest to them lies; ties by id."""
+    lost = centers.where("p is null").select(F.col("anchor_id").alias("id"), "v")
+    near = distances(lost, rows.where("p is not null").select("id", "v"), "euclidean", k=1)
+    found = near.select(F.col("l").alias("anchor_id"), F.col("r").alias("id")).join(rows.select("id", "p"), "id").select("anchor_id", "p")
+    return centers.where("p is not null").select("anchor_id", "p").unionByName(found)
+
+
+def align(rows: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
+    """Rows (folder, run, place, …) with the vectors (folder, batch, place, v) of stored batches: the n-th batch of a folder, by name, belongs to the
+    n-th run of that folder, by its first row, and the k-th row of a batch to the k-th row of its run. A row without a vector gets zeros.
+
+    Both sides are numbered by scans that cut long folders and runs over many tasks; then it is one join on (folder, n, k)."""
+    runs = Scan(rows.groupBy("folder", "run").agg(F.min("place").alias("_first")), ["folder"], ["_first", "run"]).number("_n").rows().drop("_first")
+    batches = Scan(vectors.select("folder", "batch").distinct(), ["folder"], ["batch"]).number("_n").rows()
+    left = Scan(rows.join(runs, ["folder", "run"]), ["folder", "run"], ["place"]).number("_k").rows()
+    right = Scan(vectors.join(batches, ["folder", "batch"]), ["folder", "batch"], ["place"]).number("_k").rows().select("folder", "_n", "_k", "v")
+    zeros = F.array_repeat(F.lit(0.0), dim)
+    return left.join(right, ["folder", "_n", "_k"], "left").withColumn("v", F.coalesce("v", zeros)).drop("_n", "_k")
 
 
 def kde(points: DataFrame, size: int, low: tuple[float, float], high: tuple[float, float], width: float) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from orbisplit.config import Config, Placement, Spheres
 from orbisplit.functions import encoders
 from orbisplit.functions import vectors as vec
-from orbisplit.operators import dedup, density, pairs, placement, report, sampling, spheres
+from orbisplit.operators import cells, dedup, density, pairs, placement, report, sampling, spheres
 from orbisplit.sources.tables import materialise
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -781,6 +781,87 @@ def heatmap_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(report.heatmap(c, 30, (-1.0, -1.0), (1.0, 1.0)), "heat")
 
 
+_SURFACE = f"""surface AS (
+  SELECT anchor_id, i, list_transform(list_zip(o, c), lambda z: cos(a) * z[2] + sin(a) * z[1]) AS v FROM (
+    SELECT anchor_id, i, c, a, list_transform(o, lambda x: x / greatest(sqrt(list_dot_product(o, o)), 1e-8)) AS o FROM (
+      SELECT anchor_id, i, c, a, list_transform(list_zip(o, c), lambda z: z[1] - z[2] * along) AS o FROM (
+        SELECT *, list_dot_product(o, c) AS along FROM (
+          SELECT anchor_id, i, n AS c, acos(greatest(least(1 - {RADIUS}::DOUBLE, 1), -1)) AS a,
+                 list_transform(range(0, 64), lambda d: sqrt(-2 * ln(greatest(('0x' || substr(md5('42:' || anchor_id || ':' || i || ':' || (2 * d)), 1, 8))::BIGINT / 4294967296.0, 1e-12)))
+                   * cos(2 * pi() * ('0x' || substr(md5('42:' || anchor_id || ':' || i || ':' || (2 * d + 1)), 1, 8))::BIGINT / 4294967296.0)) AS o
+          FROM chosen, range(0, 50) r(i))))))"""
+
+
+def _unit_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialise(anchors(spark, sf_dir).select("anchor_id", vec.l2_normalize(F.col("center")).alias("center"), "base_radius"), "unit-anchors")
+
+
+@query()
+def surface_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points at each anchor's radius: all axes, and how far they are from the centre."""
+    a = _unit_anchors(spark, sf_dir)
+    p = report.surface_points(a, 50).join(a, "anchor_id").withColumn("distance", 1 - vec.dot(F.col("v"), F.col("center")))
+    p = materialise(p, "surface").select("anchor_id", "i", "distance", F.posexplode("v").alias("d", "x"))
+    return rounded(p.select("anchor_id", F.col("i").cast("long").alias("i"), F.col("d").cast("long").alias("d"), "x", "distance"), "x", "distance")
+
+
+SQL["surface_points"] = CTE.rstrip() + ", " + _SURFACE + f" SELECT anchor_id, i, d, round(v[d + 1], 6) + 0 AS x, round({RADIUS}::DOUBLE, 6) AS distance FROM surface, range(64) r(d)"
+
+
+@query()
+def heatmap_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heat by the spread of each anchor's rows on two axes; rows of an anchor are few here, so surface points fill them up."""
+    a = _unit_anchors(spark, sf_dir)
+    on = lambda c: [F.col(c)[0].alias("x"), F.col(c)[1].alias("y")]
+    rows = assigned(spark, sf_dir).where("anchor_id is not null").join(points(spark, sf_dir), "id").select("anchor_id", vec.l2_normalize(F.col("v")).alias("v"))
+    rows = materialise(rows, "unit-rows").select("anchor_id", *on("v"))
+    centers = a.select("anchor_id", F.col("center")[0].alias("cx"), F.col("center")[1].alias("cy"))
+    spread = report.spread(rows, centers, report.surface_points(a, 50).select("anchor_id", "i", *on("v")), 2.0)
+    return rounded(report.heatmap(spread, 40, (-1.0, -1.0), (1.0, 1.0)), "heat")
+
+
+SQL["heatmap_filled"] = CTE.rstrip() + ", " + _SURFACE + """,
+many AS (SELECT anchor_id, count(*) AS n FROM assigned WHERE anchor_id IS NOT NULL GROUP BY anchor_id),
+plane AS (
+  SELECT anchor_id, n[1] AS x, n[2] AS y FROM assigned JOIN unit USING (id) WHERE anchor_id IS NOT NULL
+  UNION ALL SELECT anchor_id, v[1], v[2] FROM surface LEFT JOIN many USING (anchor_id) WHERE i < 50 - coalesce(n, 0)),
+sigma AS (SELECT anchor_id, any_value(c.n[1]) AS cx, any_value(c.n[2]) AS cy, avg(sqrt(power(x - c.n[1], 2) + power(y - c.n[2], 2))) AS s FROM plane JOIN chosen c USING (anchor_id) GROUP BY anchor_id),
+g AS (
+  SELECT gx, gy, max(exp(-(power(-1 + gx * (2.0::DOUBLE / 39) - cx, 2) + power(-1 + gy * (2.0::DOUBLE / 39) - cy, 2)) / (2 * s * s))) AS h FROM range(40) a(gx), range(40) b(gy), sigma GROUP BY gx, gy)
+SELECT gx::INTEGER AS gx, gy::INTEGER AS gy, round(CASE WHEN h >= 0.05 THEN h END, 6) AS heat FROM g"""
+
+
+@query()
+def center_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where centres are shown: every second one has no projection of its own."""
+    rows = points(spark, sf_dir).withColumn("p", F.slice("v", 1, 2))
+    beside = F.transform("center", lambda x, i: x + 0.01 * ((i + 1) % 3))
+    c = anchors(spark, sf_dir).select("anchor_id", beside.alias("v")).withColumn("p", F.when(F.col("anchor_id") % 2 == 0, F.slice("v", 1, 2)))
+    placed = report.placed_centers(c, rows)
+    return rounded(placed.select("anchor_id", F.col("p")[0].alias("x"), F.col("p")[1].alias("y")), "x", "y")
+
+
+SQL["center_positions"] = CTE.rstrip() + """, moved AS (SELECT anchor_id, list_transform(v, lambda x, i: x + 0.01 * (i % 3)) AS c FROM chosen)
+SELECT anchor_id, round(p[1], 6) + 0 AS x, round(p[2], 6) + 0 AS y FROM (
+  SELECT anchor_id, c AS p FROM moved WHERE anchor_id % 2 = 0
+  UNION ALL SELECT anchor_id, arg_min(v, (list_distance(v, c), id)) FROM moved CROSS JOIN e WHERE anchor_id % 2 = 1 GROUP BY anchor_id)"""
+
+
+@query(
+    "SELECT event_id, round(coalesce(x, 0), 6) + 0 AS x FROM ("
+    "SELECT event_id, user_id % 7 AS folder, dense_rank() OVER (PARTITION BY user_id % 7 ORDER BY f, user_id) AS n, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k "
+    "FROM (SELECT *, min(event_id) OVER (PARTITION BY user_id) AS f FROM events)) LEFT JOIN ("
+    "SELECT vec_id % 7 AS folder, dense_rank() OVER (PARTITION BY vec_id % 7 ORDER BY label) AS n, row_number() OVER (PARTITION BY vec_id % 7, label ORDER BY vec_id) AS k, embedding[1]::DOUBLE AS x "
+    "FROM embeddings) USING (folder, n, k)"
+)
+def aligned_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of users as rows of runs, in seven folders; vectors of labels as stored batches."""
+    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 7).alias("folder"), F.col("user_id").alias("run"), F.col("event_id").alias("place"), "event_id")
+    e = table(spark, sf_dir, "embeddings")
+    stored = e.select((F.col("vec_id") % 7).alias("folder"), F.col("label").alias("batch"), F.col("vec_id").alias("place"), vec.doubles(F.col("embedding")).alias("v"))
+    return rounded(report.align(rows, stored, 64).select("event_id", F.col("v")[0].alias("x")), "x")
+
+
 @query(
     "SELECT split, bin, n, round(n / (sum(n) OVER (PARTITION BY split) * 0.1), 6) AS density FROM (SELECT split, least(floor((v[1] + 1) / 0.1::DOUBLE), 19)::INTEGER AS bin, count(*) AS n "
     "FROM assigned JOIN e USING (id) WHERE v[1] BETWEEN -1 AND 1 GROUP BY ALL)"
@@ -845,6 +926,22 @@ def anchor_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spheres.anchor_kinds(anchors(spark, sf_dir), points(spark, sf_dir))
 
 
+@query("SELECT l, r, rank, round(d, 6) AS d FROM near WHERE rank <= 20")
+def knn_by_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The neighbours of knn_self, by cells of the metric space and in two passes, as for large tables."""
+    p = points(spark, sf_dir)
+    c = cells.build(p, p.count(), "cosine", cell=64)
+    near = pairs.nearest(cells.nearest_by_cells(p, c, 20, other=True)[0], 20)
+    return rounded(near, "d").withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("SELECT l, r, round(d, 6) AS d FROM pair WHERE d <= 0.8")
+def close_pairs_by_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of cosine_pairs_close, by cells."""
+    p = points(spark, sf_dir)
+    return rounded(cells.close_self_pairs(cells.build(p, p.count(), "cosine", cell=64), 0.8), "d")
+
+
 @query()
 def kmeans_centers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placement.kmeans_centers(points(spark, sf_dir), 6)

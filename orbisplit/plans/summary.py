@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from typing import Any
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orbisplit.operators import density, report, sampling, spheres
 from orbisplit.sources.state import State
+from orbisplit.sources.tables import materialise
 
 
 def rows_with_vectors(state: State) -> DataFrame:
@@ -36,8 +36,29 @@ def projected(state: State, n: int = 2) -> tuple[DataFrame, DataFrame]:
     rows = rows_with_vectors(state)
     axes = density.principal_axes(rows.select("id", "v"), n)
     p = density.project(F.col("v"), axes).alias("p")
-    centers = state.anchors().select("anchor_id", "base_radius", F.col("center").alias("v"))
-    return rows.select("version", "id", "run_id", "split", "anchor_id", p), centers.select("anchor_id", "base_radius", p)
+    # A centre of another width than the rows has no projection: it is shown where the row nearest to it is, by the axes they share.
+    width = len(axes[0])
+    centers = state.anchors().select("anchor_id", "base_radius", F.col("center").alias("v")).withColumn("p", F.when(F.size("v") == width, p))
+    if not centers.where("p is null").isEmpty():
+        same = F.slice(F.concat("v", F.array_repeat(F.lit(0.0), F.lit(width))), F.lit(1), F.lit(width)).alias("v")
+        found = report.placed_centers(centers.select("anchor_id", same, "p"), rows.select(F.xxhash64("version", "id").alias("id"), "v", p))
+        centers = centers.drop("p").join(found, "anchor_id", "left")
+    return rows.select("version", "id", "run_id", "split", "anchor_id", p), centers.select("anchor_id", "base_radius", "p")
+
+
+def heat(state: State, size: int = 300) -> DataFrame:
+    """(gx, gy, heat): how near each place of a grid over the projected rows is to an anchor, by the spread of the anchor's rows; anchors of few
+    rows are filled up with points of their surface."""
+    rows, centers = projected(state)
+    x, y = (F.col("p")[i] for i in (0, 1))
+    plane = materialise(rows.select("anchor_id", x.alias("x"), y.alias("y")), "plane")
+    box = plane.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    ranges = [box[1] - box[0], box[3] - box[2]]
+    pad = [0.15 * r or 0.5 for r in ranges]
+    on = density.project(F.col("v"), density.principal_axes(rows_with_vectors(state).select("id", "v"), 2))
+    surface = report.surface_points(state.anchors(), report.FULL).select("anchor_id", "i", on[0].alias("x"), on[1].alias("y"))
+    spread = report.spread(plane.where("anchor_id is not null"), centers.select("anchor_id", x.alias("cx"), y.alias("cy")), surface, max(ranges) + 2 * max(pad))
+    return report.heatmap(spread, size, (box[0] - pad[0], box[2] - pad[1]), (box[1] + pad[0], box[3] + pad[1]))
 
 
 def figures(state: State) -> DataFrame:
@@ -88,6 +109,7 @@ REPORTS: dict[str, Callable[..., DataFrame]] = {
     "rebuilt": rebuilt,
     "projection": lambda s, **more: projected(s, **more)[0],
     "centers": lambda s, **more: projected(s, **more)[1],
+    "heat": heat,
     "radius_histogram": radius_histogram,
     "representatives": representatives,
 }

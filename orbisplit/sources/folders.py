@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, StringType, TimestampNTZType, TimestampType
 
 from orbisplit.functions.vectors import base_name, suffix
 from orbisplit.sources.tables import materialise
@@ -41,12 +42,17 @@ def numbered(df: DataFrame, name: str = "original_index") -> DataFrame:
 
 
 def annotations(spark: SparkSession, folder: str) -> DataFrame:
-    """``annotations.csv`` with all its columns, as strings, in the order of the file, else the image files by name; ``original_index``
-    numbers the rows from 0."""
+    """``annotations.csv`` with all its columns, of types that their values suggest (names of files stay text), in the order of the file, else
+    the image files by name; ``original_index`` numbers the rows from 0."""
     path = f"{folder.rstrip('/')}/annotations.csv"
     if not _exists(spark, path):
         return numbered(image_files(spark, folder).select("filename"))
-    found = spark.read.option("header", True).option("escape", '"').csv(path)
+    read = spark.read.option("header", True).option("escape", '"')
+    types = read.option("inferSchema", True).csv(path).schema
+    for field in types:
+        if field.name == "filename" or isinstance(field.dataType, (DateType, TimestampType, TimestampNTZType)):
+            field.dataType = StringType()
+    found = read.schema(types).csv(path)
     # One file's pieces come in their order, a partition each: they are of one size but for the last.
     return numbered(found)
 
@@ -58,6 +64,10 @@ def contents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def images(spark: SparkSession, folder: str) -> DataFrame:
-    """(filename, height, width, nChannels, data) of the image files, decoded by Spark's image source; what it cannot read has no data."""
+    """(filename, height, width, nChannels, data, ending, content) of the image files, decoded by Spark's image source; what it cannot read has
+    no data, and of files of a kind that it doesn't know the content is given instead."""
     files = spark.read.format("image").option("dropInvalid", False).load(folder).select("image.*").where(_is_image("origin"))
-    return files.select(base_name(F.col("origin")).alias("filename"), "height", "width", "nChannels", F.when(F.col("height") > 0, F.col("data")).alias("data"))
+    found = files.select(base_name(F.col("origin")).alias("filename"), "height", "width", "nChannels", F.when(F.col("height") > 0, F.col("data")).alias("data"))
+    found = found.withColumn("ending", F.substring(suffix(F.col("filename")), 2, 9))
+    raw = spark.read.format("binaryFile").load(folder).where(suffix(F.col("path")) == ".webp").select(base_name(F.col("path")).alias("filename"), "content")
+    return found.join(raw, "filename", "left")

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orbisplit.config import Batch, Config, Dedup, Encoding, Pixels, Placement, Spheres, batch_from_yaml, from_dict
-from orbisplit.functions.encoders import IMAGE_ENCODERS, encode, hashed_text
+from orbisplit.functions.encoders import DECODERS, IMAGE_ENCODERS, encode, encode_images, hashed_text
 from orbisplit.operators import report
 from orbisplit.plans import summary
 from orbisplit.plans.engine import Engine, embed_folder, log_to, run_batch, run_folder, run_id_of
@@ -102,7 +102,7 @@ def test_annotations_keep_the_order_of_their_file(spark, tmp_path):
     names = [f"f{(i * 37) % 101:03d}.png" for i in range(101)]
     (tmp_path / "annotations.csv").write_text("filename,label\n" + "".join(f"{n},{i}\n" for i, n in enumerate(names)))
     found = folders.annotations(spark, str(tmp_path)).orderBy("original_index").collect()
-    assert [(r.filename, r.original_index, r.label) for r in found] == [(n, i, str(i)) for i, n in enumerate(names)]
+    assert [(r.filename, r.original_index, r.label) for r in found] == [(n, i, i) for i, n in enumerate(names)]
     size = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "200b")
     try:
@@ -119,6 +119,50 @@ def png(path, rgb):
     path.write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b""))
 
 
+def test_encoders_are_called_with_batches(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def model(x):
+        calls.add(1)
+        return x.mean((2, 3))
+
+    IMAGE_ENCODERS["counted"] = model
+    try:
+        sizes = [(2, 3), (4, 4)]
+        rows = [(f"i{i}", h, w, 3, bytes([i % 250] * (h * w * 3))) for i in range(600) for h, w in [sizes[i % 2]]]
+        images = spark.createDataFrame(rows, "filename string, height int, width int, nChannels int, data binary").coalesce(1)
+        got = encode_images(images, Encoding("counted", normalise=False), Pixels(resize=0, crop=0, normalise=False)).collect()
+    finally:
+        del IMAGE_ENCODERS["counted"]
+    assert calls.value == 4  # 300 images of each size, 256 at once
+    assert len(got) == 600 and all(r.decoded and abs(r.v[0] - int(r.filename[1:]) % 250 / 255) < 1e-9 for r in got)
+
+
+def test_images_that_cannot_be_read_are_no_duplicates(spark, tmp_path):
+    for i in range(2):
+        (tmp_path / f"{i}.webp").write_bytes(b"RIFF" + bytes([i] * 20))
+    for name in ("red.png", "same.png"):
+        png(tmp_path / name, [[(255, 0, 0)] * 8] * 8)
+    config = dataclasses.replace(CONFIG, pixels=Pixels(resize=8, crop=8, normalise=False), encoding=Encoding(primary="grid-2", normalise=False))
+    out = run_folder(engine(spark, config), str(tmp_path))
+    assert sorted(r.filename for r in out.collect()) == ["0.webp", "1.webp", "red.png"]
+    # A decoder that is registered for the ending is used.
+    DECODERS["webp"] = lambda raw: np.full((8, 8, 3), raw[4] * 200, np.uint8)
+    try:
+        found = embed_folder(engine(spark, config), str(tmp_path), spark.createDataFrame([("0.webp",), ("1.webp",)], "filename string"))
+        got = {r.filename: (r.decoded, round(r.v[0], 3)) for r in found.collect()}
+    finally:
+        del DECODERS["webp"]
+    assert got == {"0.webp": (True, 0.0), "1.webp": (True, round(200 / 255, 3))}
+
+
+def test_types_of_annotations(spark, tmp_path):
+    (tmp_path / "annotations.csv").write_text("filename,label,speed,n,ok\n001,x,1.5,7,true\n002,y,2,8,false\n")
+    found = folders.annotations(spark, str(tmp_path))
+    assert dict(found.dtypes) == {"filename": "string", "label": "string", "speed": "double", "n": "int", "ok": "boolean", "original_index": "bigint"}
+    assert [(r.filename, r.n) for r in found.orderBy("original_index").collect()] == [("001", 7), ("002", 8)]
+
+
 def test_images_are_decoded_prepared_and_encoded(spark, tmp_path):
     png(tmp_path / "red.png", [[(255, 0, 0)] * 40] * 20)
     png(tmp_path / "half.png", [[(0, 255, 0)] * 10 + [(0, 0, 255)] * 10] * 20)
