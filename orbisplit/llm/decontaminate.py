@@ -2,10 +2,10 @@ r"""Benchmark decontamination by canonical templates.
 
 Texts become tokens (runs of letters and digits, lower case). Numbers, the units that follow numbers, and names become
 typed placeholders in the template and stay as slot values beside it, so a question with other numbers or names has
-the same template. Windows of the template are joined by hash with the windows of the benchmark's items, and a window counts
-if its slots are consistent: within it, a value of the item stands for one value of the document. An item is found in a
-document if consistent windows are at least ``share`` hundredths of the item's windows. Consistency is judged by window, so two
-values that happen to be equal in the item, far from each other, may differ in the document.
+the same template. Windows of the template are joined by hash with the windows of the benchmark's items. Windows that a document meets
+at one distance from the item's are an alignment, one reading of the item in that text; windows with slots count if these are
+consistent over the whole alignment: a value of the item stands for one value of the document, wherever it recurs. An item is found in a
+document if the windows that count are at least ``share`` hundredths of the item's windows.
 
 What is a name depends on the characters before it, and windows with too few literal tokens are too general as templates. So all
 windows are joined by the hash of their real tokens too (lower case, slot values included), and a verbatim passage is met
@@ -13,6 +13,9 @@ whatever stands around it or breaks its lines. An item is found if its consisten
 windows that have enough literal tokens, where these are at least half of its windows, and ``n_windows`` counts those; or
 if templates and real tokens together reach the share of all its windows, which ``n_windows`` counts then.
 
+Texts are cut into pieces of PIECE windows before windows become rows, so that a row holds a piece's tokens and not the text's: time and
+memory are linear in a text's words.
+
 The items' windows are broadcast only if there are few enough of them (``BROADCAST_WINDOWS``, ``BROADCAST_CHARS``, counted first); a document's windows are
 then made and probed in one pass, and only what meets an item is shuffled. Otherwise both sides are shuffled by hash, a
 document's windows with their own slot values but without its other tokens.
@@ -34,6 +37,8 @@ from orbisplit.llm.common import materialise
 
 #: Tokens in a window, and the fewest of an item that is looked for within texts.
 WINDOW, LEAST = 8, 4
+#: Windows of a piece of a text.
+PIECE = 128
 #: Hundredths of an item's windows that must be met.
 SHARE = 50
 #: A window with fewer literal tokens than this is too general to count (shorter windows need half of theirs).
@@ -75,15 +80,17 @@ def _plain(token: Column) -> Column:
     return F.xxhash64(F.when(token < "\x04", F.substring(token, 2, 1 << 30)).otherwise(token))
 
 
-def _windows(size: Column) -> Column:
-    """Hashes of the windows of the column ``_h``, null if there is none. Below LEAST tokens, only a whole text is a window."""
-    n = F.size("_h") - (size - 1)
-    return F.when((n == 1) | ((n > 1) & (size >= LEAST)), F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice("_h", i, size))))
+def _windows(size: Column, n: Column, total: Column) -> Column:
+    """Hashes of n windows of the column ``_h``, of a text that has ``total``; null if there is none. Below LEAST tokens, only a whole text
+    is a window."""
+    there = (total == 1) | ((total > 1) & (size >= LEAST))
+    return F.when(there, F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice("_h", i, size))))
 
 
-def _hashed(rows: DataFrame, keep: list[str], text: str) -> DataFrame:
-    """keep, ``_w`` (tokens) and ``_h`` (template hashes)."""
-    return rows.select(*keep, tokens(F.col(text)).alias("_w")).select(*keep, "_w", F.transform("_w", _template).alias("_h"))
+def _once(rows: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+    """rows (keep) with columns that are computed once a row: an expression that a lambda uses would be computed for each element, but what
+    a generator puts out is a value."""
+    return rows.select(*keep, F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
 
 
 def _slots(column: str) -> Column:
@@ -95,8 +102,10 @@ def item_windows(items: DataFrame, key: str = "item_id", text: str = "text") ->
     """(item_id, hash, size, i_pos, i_slots, template, exact, n_literal, n_windows): the hashes by which each window of an item can
     be met, of its template or of its real tokens; n_literal of its n_windows windows have enough literal tokens."""
     rows = items.select(F.col(f"`{key}`").alias("item_id"), F.col(f"`{text}`").cast("string").alias("_t")).distinct()
-    made = _hashed(rows, ["item_id"], "_t").where(F.size("_w") > 0).withColumn("size", F.least(F.size("_w"), F.lit(WINDOW)))
-    out = made.select("item_id", "_w", "size", F.posexplode(_windows(F.col("size"))).alias("i_pos", "hash"))
+    made = _once(_once(rows, ["item_id"], _w=tokens(F.col("_t"))), ["item_id", "_w"], _h=F.transform("_w", _template)).where(F.size("_w") > 0)
+    made = made.withColumn("size", F.least(F.size("_w"), F.lit(WINDOW)))
+    n = F.size("_w") - F.col("size") + 1
+    out = made.select("item_id", "_w", "size", F.posexplode(_windows(F.col("size"), n, n)).alias("i_pos", "hash"))
     out = out.withColumn("i_slots", _slots(F.slice("_w", F.col("i_pos") + 1, F.col("size"))))
     # What is too general here is so in documents too: equal templates have their slots at equal places.
     need = F.when(F.col("size") < WINDOW, F.ceil(F.col("size") / 2)).otherwise(F.lit(LITERALS))
@@ -118,32 +127,48 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     n_windows, n_chars, sizes = book.agg(F.count(F.lit(1)), chars, F.sort_array(F.collect_set("size"))).first()
     few = n_windows <= BROADCAST_WINDOWS and (n_chars or 0) <= BROADCAST_CHARS
     rows = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("_t"))
-    slots_at = F.filter(F.transform("_w", lambda w, i: F.when(w < "\x04", i)), lambda i: i.isNotNull())
-    made = _hashed(rows, ["doc_id"], "_t").select("*", slots_at.alias("_s"))
-    made = made.select("*", F.when(F.size("_s") > 0, F.transform("_w", _plain)).otherwise(F.array().cast("array<bigint>")).alias("_p"))
-    # A text is made tokens once; each size of window that items have is a row of it.
+    # A text is made tokens once; each size of window that items have is a row of it, and each piece a row of that.
+    read = _once(rows.withColumn("_r", F.xxhash64("_t")), ["doc_id", "_r"], _w=tokens(F.col("_t")))
     sizes = sizes or [WINDOW]
-    made = made.withColumn("_size", F.lit(sizes[0]) if len(sizes) == 1 else F.explode(F.array(*map(F.lit, sizes))))
-    size, n = F.col("_size"), F.size("_w") - (F.col("_size") - 1)
+    read = read.withColumn("_size", F.lit(sizes[0]) if len(sizes) == 1 else F.explode(F.array(*map(F.lit, sizes))))
+    size, total = F.col("_size"), F.size("_w") - (F.col("_size") - 1)
+    piece = lambda k: F.struct((k * PIECE).alias("_o"), F.slice("_w", k * PIECE + 1, size + (PIECE - 1)).alias("_w"))
+    parts = F.transform(F.sequence(F.lit(0), F.floor((total - 1) / PIECE).cast("int")), piece)
+    cut = read.where(total > 0).select("doc_id", "_r", "_size", total.alias("_n"), F.inline(parts))
+    slots_at = F.filter(F.transform("_w", lambda w, i: F.when(w < "\x04", i)), lambda i: i.isNotNull())
+    plain = F.when(F.exists("_w", lambda w: w < "\x04"), F.transform("_w", _plain)).otherwise(F.array().cast("array<bigint>"))
+    made = _once(cut, ["doc_id", "_r", "_size", "_n", "_o", "_w"], _h=F.transform("_w", _template), _p=plain, _s=slots_at)
+    n = F.least(F.col("_n") - F.col("_o"), F.lit(PIECE))
     # Windows without slots have one hash; those with slots follow once more, by their real tokens.
-    at = F.when(n > 0, F.array_distinct(F.flatten(F.transform("_s", lambda i: F.sequence(F.greatest(i - (size - 1), F.lit(0)), F.least(i, n - 1))))))
-    both = F.concat(_windows(size), F.transform("_at", lambda i: F.xxhash64(F.slice("_p", i + 1, size))))
+    at = F.array_distinct(F.flatten(F.transform("_s", lambda i: F.sequence(F.greatest(i - (size - 1), F.lit(0)), F.least(i, n - 1)))))
+    both = F.concat(_windows(size, n, F.col("_n")), F.transform("_at", lambda i: F.xxhash64(F.slice("_p", i + 1, size))))
     place = F.when(F.col("_j") < n, F.col("_j")).otherwise(F.get("_at", F.col("_j") - n))
-    probes = made.select("*", at.alias("_at")).select("doc_id", "_w", "_at", "_size", F.posexplode(both).alias("_j", "_hash"))
-    probes = probes.select("doc_id", "_hash", "_size", "_w", place.alias("_d"), (F.col("_j") < n).alias("_shape"))
-    d_slots = _slots(F.slice("_w", F.col("_d") + 1, size)).alias("d_slots")
+    probes = _once(made, ["doc_id", "_r", "_size", "_n", "_o", "_w", "_h", "_p"], _at=at)
+    probes = probes.select("doc_id", "_r", "_w", "_at", "_size", "_n", "_o", F.posexplode(both).alias("_j", "_hash"))
+    probes = probes.select("doc_id", "_r", "_hash", "_size", "_w", "_o", place.alias("_l"), (F.col("_j") < n).alias("_shape"))
+    d_slots = _slots(F.slice("_w", F.col("_l") + 1, size)).alias("d_slots")
+    d_pos = (F.col("_o") + F.col("_l")).alias("_d")
     if not few:
-        probes = probes.select("doc_id", "_hash", "_size", "_shape", d_slots)
+        probes = probes.select("doc_id", "_r", "_hash", "_size", "_shape", d_pos, d_slots)
     book = book.select("item_id", "hash", "size", "i_pos", "i_slots", "template", "exact", "n_literal", "n_windows")
     met = probes.join(F.broadcast(book) if few else book, (F.col("_hash") == F.col("hash")) & (size == F.col("size"))).where(F.col("exact") | F.col("_shape"))
     by = ["doc_id", "item_id", "n_literal", "n_windows"]
-    met = met.select(*by, "i_pos", "i_slots", d_slots if few else "d_slots", "exact", (F.col("template") & F.col("_shape")).alias("by_template"))
+    met = met.select(*by, "_r", "i_pos", "i_slots", *([d_pos, d_slots] if few else ["_d", "d_slots"]), "exact", (F.col("template") & F.col("_shape")).alias("by_template"))
     pairs = F.filter(F.arrays_zip(F.col("i_slots").alias("i"), F.col("d_slots").alias("d")), lambda p: p["i"].isNotNull())
-    consistent = F.size(F.array_distinct(F.transform(pairs, lambda p: p["i"]))) == F.size(F.array_distinct(pairs))
-    t = F.col("by_template") & consistent
+    # An alignment has a window of the item once at most, so what is gathered is no longer than the item.
+    position = lambda c: F.collect_set(F.when(c, F.col("i_pos")))
+    t = F.col("by_template")
+    lined = met.groupBy(*by, "_r", (F.col("_d") - F.col("i_pos")).alias("_off")).agg(
+        position(t).alias("_t"), position(t & F.col("exact")).alias("_same"), position(t | F.col("exact")).alias("_a"), position(F.col("exact")).alias("_x"),
+        F.collect_set(F.when(t, pairs)).alias("_pairs"),
+    )
+    lined = lined.withColumn("_pairs", F.array_distinct(F.flatten("_pairs")))
+    consistent = F.size(F.array_distinct(F.transform("_pairs", lambda p: p["i"]))) == F.size("_pairs")
+    either = lambda a, b: F.when(consistent, F.col(a)).otherwise(F.col(b))
+    lined = lined.select(*by, either("_t", "_same").alias("_t"), either("_a", "_x").alias("_a"))
     # One row for each window of an item that a document meets, however often it does.
-    places = met.groupBy(*by, "i_pos").agg(F.max(t).alias("t"), F.max(t | F.col("exact")).alias("a"))
-    found = places.groupBy(*by).agg(F.count_if("t").alias("_t"), F.count_if("a").alias("_a"))
+    places = lined.select(*by, "_t", F.explode("_a").alias("i_pos")).groupBy(*by, "i_pos").agg(F.max(F.array_contains("_t", F.col("i_pos"))).alias("t"))
+    found = places.groupBy(*by).agg(F.count_if("t").alias("_t"), F.count(F.lit(1)).alias("_a"))
     alone = (F.col("_t") > 0) & (2 * F.col("n_literal") >= F.col("n_windows")) & (100 * F.col("_t") >= share * F.col("n_literal"))
     found = found.where(alone | ((F.col("_a") > 0) & (100 * F.col("_a") >= share * F.col("n_windows"))))
     either = lambda a, b: F.when(alone, F.col(a)).otherwise(F.col(b))

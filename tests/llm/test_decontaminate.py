@@ -1,4 +1,5 @@
 import re
+import time
 
 import regex
 from pyspark.sql import functions as F
@@ -53,12 +54,14 @@ def brute(docs, items, share=d.SHARE):
         need = d.LITERALS if size == d.WINDOW else (size + 1) // 2
         places = [i for i in range(len(t) - size + 1) if sum(v is None for _, v in t[i : i + size]) >= need]
         for n, (doc, w) in enumerate(read):
-            met = set()
+            lined = {}
             for i in places:
                 for j in places_of(n, size).get(tuple(x for x, _ in t[i : i + size]), ()):
-                    pairs = {(t[i + k][1], w[j + k][1]) for k in range(size) if t[i + k][1]}
-                    if len({p for p, _ in pairs}) == len(pairs):
-                        met.add(i)
+                    lined.setdefault(j - i, {})[i] = {(t[i + k][1], w[j + k][1]) for k in range(size) if t[i + k][1]}
+            met = set()
+            for windows in lined.values():
+                pairs = set().union(*windows.values())
+                met |= {i for i, own in windows.items() if not own or len({p for p, _ in pairs}) == len(pairs)}
             if places and met and 100 * len(met) >= share * len(places):
                 out.add((doc, item, len(met), len(places)))
     return sorted(out)
@@ -114,14 +117,27 @@ def test_inconsistent_slots_do_not_count(spark):
     assert [x[0] for x in got(spark, docs, item)] == [1]
 
 
-def test_equal_numbers_need_not_stay_equal(spark):
-    item = [(1, "A man x has 3 red balls and the boy y has 3 blue balls in a large old box under the stairs")]
+def test_a_value_stands_for_one_value_over_the_whole_alignment(spark):
+    item = [(1, "Tom has 3 red apples in a large old box under the stairs and so he gives 3 red apples to the boy")]
     docs = [
-        (1, "A man x has 3 red balls and the boy y has 4 blue balls in a large old box under the stairs"),
-        (2, "A man x has 5 red balls and the boy y has 7 blue balls in a large old box under the stairs"),
-        (3, "A man x has 5 red cups and the girl y has 7 blue cups in a large new box under the roof"),
+        (1, "Tom has 7 red apples in a large old box under the stairs and so he gives 7 red apples to the boy"),
+        (2, "Tom has 7 red apples in a large old box under the stairs and so he gives 9 red apples to the boy"),
+        (3, "Tom has 5 red cups in a large new box under the roof and so she gives 7 blue cups to the girl"),
     ]
-    assert [x[0] for x in got(spark, docs, item)] == [1, 2]
+    assert got(spark, docs, item) == brute(docs, item)
+    found = {x[0]: x[2:] for x in got(spark, docs, item)}
+    assert found[1][0] == found[1][1] and 3 not in found
+    assert found.get(2, (0, 0))[0] < found[1][0]  # windows with slots don't count
+    short = [(1, "Tom has 3 big apples and gives 3 big apples away")]
+    assert [x[0] for x in got(spark, [(1, "Tom has 7 big apples and gives 7 big apples away"), (2, "Tom has 7 big apples and gives 9 big apples away")], short)] == [1]
+
+
+def test_time_is_linear_in_a_texts_words(spark):
+    words = " ".join(f"w{i * 7919 % 100_003} {i % 50 if i % 40 == 0 else 'x'}" for i in range(100_000))
+    docs = [(1, words + " " + ITEMS[0][1] + " " + words[:5000])]
+    start = time.time()
+    assert [x[:2] for x in got(spark, docs, ITEMS)] == [(1, 1)]
+    assert time.time() - start < 40
 
 
 def test_reversed_bindings_are_not_found(spark):
