@@ -36,7 +36,8 @@ BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 class Kind:
     """A kind of secret: keywords (lower case), the pattern that must start at the hit, and what a match must pass.
 
-    ``group`` is the part that ``check`` sees. A match that fails still uses up its characters.
+    ``group`` is the part that ``check`` sees. A match that fails still uses up its characters. Where ``stretch`` matches at a hit that
+    has no match, no hit within that stretch has one: a long run of keywords is read once.
     """
 
     name: str
@@ -45,6 +46,7 @@ class Kind:
     check: Callable[[str], bool]
     group: int = 0
     flags: int = 0
+    stretch: str | None = None
 
 
 def crc32_base62(token: str) -> bool:
@@ -95,7 +97,7 @@ KINDS: tuple[Kind, ...] = (
     Kind("hex", (), r"[0-9a-f]{24,}", lambda value: True),
     Kind("github", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), r"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])", crc32_base62),
     Kind("npm", ("npm_",), r"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])", crc32_base62),
-    Kind("jwt", ("eyj",), r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", json_web_token),
+    Kind("jwt", ("eyj",), r"eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++", json_web_token, stretch=r"eyJ[A-Za-z0-9_-]*+"),
     Kind("pem", ("-----begin",), PEM, lambda value: True),
 )
 BASE_KINDS = ("assign", "access", "hex")
@@ -105,7 +107,7 @@ SPAN = T.ArrayType(
 
 
 @cache
-def _compiled() -> tuple[object, list[re.Pattern[str]]]:
+def _compiled() -> tuple[object, list[re.Pattern[str]], list[re.Pattern[str] | None]]:
     import ahocorasick
 
     found = ahocorasick.Automaton()
@@ -113,24 +115,28 @@ def _compiled() -> tuple[object, list[re.Pattern[str]]]:
         for word in kind.keywords:
             found.add_word(word, (k, len(word)))
     found.make_automaton()
-    return found, [re.compile(kind.pattern, kind.flags) for kind in KINDS]
+    return found, [re.compile(kind.pattern, kind.flags) for kind in KINDS], [kind.stretch and re.compile(kind.stretch) for kind in KINDS]
 
 
 def spans_of(text: str | None) -> list[tuple[int, int, int]]:
     """(start, place of the kind, end), sorted."""
     if not text:
         return []
-    automaton, patterns = _compiled()
+    automaton, patterns, stretches = _compiled()
     lower = text.encode().lower().decode()  # A to Z only, so that places stay the same
     used = [0] * len(KINDS)
     out = []
     # No keyword of a kind lies within another, so hits of a kind come in the order of their starts.
     for last, (k, length) in automaton.iter(lower):
         start = last - length + 1
-        if start >= used[k] and (m := patterns[k].match(text, start)):
+        if start < used[k]:
+            continue
+        if m := patterns[k].match(text, start):
             used[k] = m.end()
             if KINDS[k].check(m[KINDS[k].group]):
                 out.append((start, k, m.end()))
+        elif stretches[k] and (m := stretches[k].match(text, start)):
+            used[k] = m.end()
     for k, kind in enumerate(KINDS):
         if not kind.keywords:
             out += [(m.start(), k, m.end()) for m in patterns[k].finditer(text)]
