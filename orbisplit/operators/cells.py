@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from orbisplit.functions.vectors import EPS
-from orbisplit.operators.blocks import BLOCK, alike, matrix, unpack
+from orbisplit.operators.blocks import BLOCK, BROADCAST, alike, matrix, unpack
 from orbisplit.sources.tables import materialise
 
 #: Rows of a cell on average, and bytes of all pivots.
@@ -121,13 +121,15 @@ def build(right: DataFrame, n: int, metric: str, cell: int = CELL) -> Cells | No
 
 
 def right_blocks(cells: Cells, labels: bool) -> DataFrame:
-    """(cell, r_ids, r_v[, r_labels]) of BLOCK rows or fewer."""
+    """(cell, r_ids, r_v[, r_labels]) of BLOCK rows or fewer, to be broadcast if their counted bytes are within BROADCAST."""
     sizes = [(c, -(-int(n) // BLOCK)) for c, n in enumerate(cells.count) if n]
     table = cells.rows.sparkSession.createDataFrame(sizes, "cell int, blocks int")
     cut = cells.rows.join(F.broadcast(table), "cell")  # a row a pivot
     more = [F.collect_list(F.struct("label"))["label"].alias("r_labels")] if labels else []
     packed = cut.groupBy("cell", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("_block"))
-    return packed.agg(F.collect_list("id").alias("r_ids"), F.flatten(F.collect_list("v")).alias("r_v"), *more).drop("_block")
+    packed = packed.agg(F.collect_list("id").alias("r_ids"), F.flatten(F.collect_list("v")).alias("r_v"), *more).drop("_block")
+    # Where they fit, left rows aren't shuffled to them.
+    return F.broadcast(packed) if int(cells.count.sum()) * cells.pivots.shape[1] * 8 <= BROADCAST else packed
 
 
 #: From distances to pivots, their slack, which rows have no place, and a batch: the cells of pivots that each row visits.

@@ -109,6 +109,7 @@ def test_operators_are_the_same_by_cells(spark, monkeypatch):
     plain = run()
     monkeypatch.setattr(pairs, "PLAIN", 0)
     monkeypatch.setattr(pairs, "BROADCAST", 0)
+    monkeypatch.setattr(cells, "BROADCAST", 0)
     monkeypatch.setattr(cells, "CELL", 20)
     monkeypatch.setattr(cells.build, "__defaults__", (20,))
     assert run() == plain
