@@ -57,7 +57,7 @@ def test_query_equals_sql_and_a_plain_trie(spark, sf):
     assert want == sorted(plain(con.execute("SELECT conv_id, turn, role, text FROM conversations").fetchall()), key=lambda r: (r[0], r[1]))
 
 
-@pytest.mark.parametrize("shard", [1, 7, 200, 1 << 16])
+@pytest.mark.parametrize("shard", [7, 1 << 16])
 def test_large_groups_at_any_size_of_shard(spark, shard):
     rng = np.random.default_rng(4)
     rows = []
