@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from orbisplit.functions.vectors import folder_of_run, uniform
 from orbisplit.operators.pairs import distances
 from orbisplit.operators.scans import Scan
+from orbisplit.sources.tables import materialise
 
 
 def split_counts(a: DataFrame, split: str = "split") -> DataFrame:
@@ -182,13 +183,14 @@ def spread(rows: DataFrame, centers: DataFrame, surface: DataFrame, extent: floa
     return centers.join(means, "anchor_id", "left").select("anchor_id", "cx", "cy", F.when(F.col("_m") >= 2, F.col("_d")).otherwise(F.lit(NARROW * extent)).alias("sigma"))
 
 
-def surface_points(anchors: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """(anchor_id, i, v): n points at the cosine radius of each anchor (anchor_id, center, base_radius), in directions drawn by hashes of (seed,
-    anchor, point, axis), so that every engine draws the same."""
+def surface_points(anchors: DataFrame, n: int, seed: int = 42, volume: bool = False) -> DataFrame:
+    """(anchor_id, i, v): n points at the cosine radius of each anchor (anchor_id, center, base_radius), or, for a volume, at uniform shares of it. They
+    have the centre's length; directions and shares are drawn by hashes of (seed, anchor, point, axis), so that every engine draws the same."""
     u = lambda d: uniform(seed, F.col("anchor_id"), F.col("i"), d)
     normal = lambda d: F.sqrt(-2 * F.log(F.greatest(u(2 * d), F.lit(1e-12)))) * F.cos(2 * np.pi * u(2 * d + 1))
     each = anchors.select("anchor_id", "center", "base_radius", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
-    drawn = each.select("anchor_id", "i", "center", "base_radius", F.transform(F.sequence(F.lit(0), F.size("center") - 1), normal).alias("o"))
+    radius = F.col("base_radius") * (u(F.lit("share")) if volume else F.lit(1.0))
+    drawn = each.select("anchor_id", "i", "center", radius.alias("radius"), F.transform(F.sequence(F.lit(0), F.size("center") - 1), normal).alias("o"))
 
     def turn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -198,7 +200,7 @@ def surface_points(anchors: DataFrame, n: int, seed: int = 42) -> DataFrame:
                 unit = c / size
                 o = o - unit * (o * unit).sum(1, keepdims=True)
                 o /= np.maximum(np.linalg.norm(o, axis=1, keepdims=True), 1e-8)
-                angle = np.arccos(np.clip(1 - b["base_radius"].to_numpy(), -1, 1))[:, None]
+                angle = np.arccos(np.clip(1 - b["radius"].to_numpy(), -1, 1))[:, None]
                 yield pd.DataFrame({"anchor_id": b["anchor_id"], "i": b["i"], "v": list((np.cos(angle) * unit + np.sin(angle) * o) * size)})
 
     return drawn.mapInPandas(turn, "anchor_id long, i int, v array<double>")
@@ -273,26 +275,16 @@ def hulls(points: DataFrame, by: list[str]) -> DataFrame:
 
 
 def sphere_samples(anchors: DataFrame, n: int, seed: int = 42, volume: bool = False) -> DataFrame:
-    """(anchor_id, i, v): points at an anchor's cosine radius, or, for a volume, at uniform shares of it; seeded by anchor."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for a in b.itertuples():
-                rng = np.random.default_rng([seed, int(a.anchor_id)])
-                c = np.asarray(a.center, float)
-                size = max(np.linalg.norm(c), 1e-8)
-                unit = c / size
-                o = rng.standard_normal((n, len(c)))
-                o -= np.outer(o @ unit, unit)
-                o /= np.maximum(np.linalg.norm(o, axis=1, keepdims=True), 1e-12)
-                radius = a.base_radius * (rng.random(n) if volume else np.ones(n))
-                angle = np.arccos(np.clip(1 - radius, -1, 1))[:, None]
-                v = (np.cos(angle) * unit + np.sin(angle) * o) * size
-                if not volume:
-                    v += c - v.mean(0)
-                yield pd.DataFrame({"anchor_id": a.anchor_id, "i": range(n), "v": list(v)})
-
-    return anchors.select("anchor_id", "center", "base_radius").mapInPandas(run, "anchor_id long, i int, v array<double>")
+    """(anchor_id, i, v): points at an anchor's cosine radius, moved so that their mean is the centre; or, for a volume, at uniform shares of the
+    radius, where they are."""
+    points = surface_points(anchors, n, seed, volume)
+    if volume:
+        return points
+    points = materialise(points, "samples")
+    mean = points.select("anchor_id", F.posexplode("v").alias("_d", "_x")).groupBy("anchor_id", "_d").agg(F.avg("_x").alias("_x"))
+    mean = mean.groupBy("anchor_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_d", "_x"))), lambda e: e["_x"]).alias("_mean"))  # one number an axis
+    off = anchors.select("anchor_id", "center").join(mean, "anchor_id").select("anchor_id", F.zip_with("center", "_mean", lambda c, m: c - m).alias("_off"))
+    return points.join(off, "anchor_id").select("anchor_id", "i", F.zip_with("v", "_off", lambda x, y: x + y).alias("v"))
 
 
 def projected_radius(a: DataFrame) -> DataFrame:

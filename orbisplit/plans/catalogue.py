@@ -781,15 +781,20 @@ def heatmap_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(report.heatmap(c, 30, (-1.0, -1.0), (1.0, 1.0)), "heat")
 
 
-_SURFACE = f"""surface AS (
-  SELECT anchor_id, i, list_transform(list_zip(o, c), lambda z: cos(a) * z[2] + sin(a) * z[1]) AS v FROM (
-    SELECT anchor_id, i, c, a, list_transform(o, lambda x: x / greatest(sqrt(list_dot_product(o, o)), 1e-8)) AS o FROM (
-      SELECT anchor_id, i, c, a, list_transform(list_zip(o, c), lambda z: z[1] - z[2] * along) AS o FROM (
+def _surface(n: int, center: str = "n", share: str = "1") -> str:
+    """A CTE: points around the anchors, in lists of components."""
+    draw = lambda d: f"('0x' || substr(md5('42:' || anchor_id || ':' || i || ':' || {d}), 1, 8))::BIGINT / 4294967296.0"
+    return f"""surface AS (
+  SELECT anchor_id, i, m, list_transform(list_zip(o, c), lambda z: (cos(a) * z[2] + sin(a) * z[1]) * sqrt(list_dot_product(m, m))) AS v FROM (
+    SELECT anchor_id, i, m, c, a, list_transform(o, lambda x: x / greatest(sqrt(list_dot_product(o, o)), 1e-8)) AS o FROM (
+      SELECT anchor_id, i, m, c, a, list_transform(list_zip(o, c), lambda z: z[1] - z[2] * along) AS o FROM (
         SELECT *, list_dot_product(o, c) AS along FROM (
-          SELECT anchor_id, i, n AS c, acos(greatest(least(1 - {RADIUS}::DOUBLE, 1), -1)) AS a,
-                 list_transform(range(0, 64), lambda d: sqrt(-2 * ln(greatest(('0x' || substr(md5('42:' || anchor_id || ':' || i || ':' || (2 * d)), 1, 8))::BIGINT / 4294967296.0, 1e-12)))
-                   * cos(2 * pi() * ('0x' || substr(md5('42:' || anchor_id || ':' || i || ':' || (2 * d + 1)), 1, 8))::BIGINT / 4294967296.0)) AS o
-          FROM chosen, range(0, 50) r(i))))))"""
+          SELECT anchor_id, i, {center} AS m, n AS c, acos(greatest(least(1 - {RADIUS}::DOUBLE * {share.format(u=draw("'share'"))}, 1), -1)) AS a,
+                 list_transform(range(0, 64), lambda d: sqrt(-2 * ln(greatest({draw("(2 * d)")}, 1e-12))) * cos(2 * pi() * {draw("(2 * d + 1)")})) AS o
+          FROM chosen, range(0, {n}) r(i))))))"""
+
+
+_SURFACE = _surface(50)
 
 
 def _unit_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -899,17 +904,31 @@ way(split, place, x, y) AS (SELECT split, 0, arg_min(x, (x, y)), arg_min(y, (x,
 SELECT split, place, round(x, 6) + 0 AS x, round(y, 6) + 0 AS y FROM way"""
 
 
-@query("SELECT anchor_id, 20 AS n, i - 1 AS dim, round(v[i], 6) + 0 AS mean FROM chosen, range(1, 65) r(i)")
+@query()
 def sphere_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mean of points on a sphere's boundary, which is its centre."""
-    s = report.sphere_samples(anchors(spark, sf_dir), 20).select("anchor_id", F.posexplode("v").alias("dim", "x"))
-    return rounded(s.groupBy("anchor_id", F.col("dim").cast("long").alias("dim")).agg(F.count(F.lit(1)).cast("int").alias("n"), F.avg("x").alias("mean")), "mean")
+    """Points on a sphere's boundary, moved to have its centre as their mean: all components."""
+    s = report.sphere_samples(anchors(spark, sf_dir), 20)
+    return rounded(s.select("anchor_id", "i", F.posexplode("v").alias("dim", "x")), "x")
+
+
+SQL["sphere_boundary"] = CTE.rstrip() + ", " + _surface(20, "v") + """,
+mean AS (SELECT anchor_id, d, avg(v[d + 1]) AS x FROM surface, range(64) r(d) GROUP BY ALL)
+SELECT anchor_id, i::INTEGER AS i, d::INTEGER AS dim, round(v[d + 1] + m[d + 1] - x, 6) + 0 AS x FROM surface JOIN mean USING (anchor_id)"""
 
 
-@query("SELECT anchor_id, i::INTEGER AS i, round(sqrt(list_dot_product(v, v)), 6) AS size FROM chosen, range(20) r(i)")
+@query()
 def sphere_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = report.sphere_samples(anchors(spark, sf_dir), 20, volume=True)
-    return rounded(s.select("anchor_id", "i", vec.norm(F.col("v")).alias("size")), "size")
+    """Points within a sphere: all components, and how far each is from the centre."""
+    a = anchors(spark, sf_dir)
+    s = report.sphere_samples(a, 20, volume=True).join(a.select("anchor_id", "center"), "anchor_id")
+    far = 1 - vec.dot(F.col("v"), F.col("center")) / (vec.norm(F.col("v")) * vec.norm(F.col("center")))
+    s = materialise(s.select("anchor_id", "i", "v", far.alias("distance")), "volume")
+    return rounded(s.select("anchor_id", "i", "distance", F.posexplode("v").alias("dim", "x")), "x", "distance")
+
+
+SQL["sphere_volume"] = CTE.rstrip() + ", " + _surface(20, "v", "{u}") + """
+SELECT anchor_id, i::INTEGER AS i, d::INTEGER AS dim, round(v[d + 1], 6) + 0 AS x,
+       round(1 - list_cosine_similarity(v, m), 6) + 0 AS distance FROM surface, range(64) r(d)"""
 
 
 @query("SELECT anchor_id, count(*) AS n, round(avg(sqrt(power(e.v[1] - c.v[1], 2) + power(e.v[2] - c.v[2], 2))), 6) AS radius FROM assigned JOIN e USING (id) JOIN chosen c USING (anchor_id) GROUP BY anchor_id HAVING count(*) >= 2")
