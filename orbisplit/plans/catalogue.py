@@ -348,6 +348,20 @@ def sobol_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(made.select(F.col("id").alias("i"), F.posexplode("v").alias("d", "x")), "x")
 
 
+def _sobol_sql(dim: int, bits: int = 30) -> str:
+    """The sequence by its definition: a point is the shift and the directions that its Gray code names, added without carry."""
+    v, shift = sampling.directions(dim, 42, bits)
+    rows = ", ".join(f"({d}, {shift[d]}::BIGINT, {v[d].tolist()}::BIGINT[])" for d in range(dim))
+    return f"""
+SELECT i, d::INTEGER AS d, round(low + state / {float(1 << bits)}::DOUBLE * (high - low), 6) + 0 AS x FROM (
+  SELECT i.i AS i, d, list_reduce([shift] || list_transform(range(0, {bits}), lambda b: CASE WHEN (xor(i.i, i.i >> 1) >> b) & 1 = 1 THEN v[b + 1] ELSE 0 END), lambda p, q: xor(p, q)) AS state
+  FROM range((SELECT count(*) FROM e)) i(i), (VALUES {rows}) g(d, shift, v))
+JOIN (SELECT dim AS d, min(x) AS low, max(x) AS high FROM (SELECT unnest(range({dim}))::INTEGER AS dim, unnest(v[1:{dim}]) AS x FROM e) GROUP BY dim) USING (d)"""
+
+
+SQL["sobol_points"] = CTE.rstrip() + _sobol_sql(8)
+
+
 @query(
     "SELECT i.i AS i, dim, round(low + ('0x' || substr(md5('42:' || i.i || ':' || dim), 1, 8))::BIGINT / 4294967296.0 * (high - low), 6) + 0 AS x FROM range(20) i(i), "
     "(SELECT dim, min(x) AS low, max(x) AS high FROM (SELECT unnest(range(64))::INTEGER AS dim, unnest(v) AS x FROM e) GROUP BY dim)"
