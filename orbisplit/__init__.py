@@ -1,16 +1,26 @@
-"""Region-aware splitting of datasets on Spark."""
+"""Region-aware splitting of datasets on Spark.
 
-from orbisplit.config import Batch, Config, batch_from_yaml, from_dict, from_yaml
-from orbisplit.functions.encoders import IMAGE_ENCODERS, encode, encode_images
-from orbisplit.operators.pairs import distances, knn, knn_cross, points, self_pairs
-from orbisplit.operators.spheres import assign
-from orbisplit.plans.engine import Engine, log_to, run_batch, run_folder
-from orbisplit.sources.folders import annotations
-from orbisplit.sources.state import State
-from orbisplit.sources.tables import drop_work
-from orbisplit.streaming.ingest import ingest_stream
+Names are imported when they are used: a Python worker that runs one operator's function loads that operator's modules alone."""
 
-__all__ = [
-    "IMAGE_ENCODERS", "Batch", "Config", "Engine", "State", "annotations", "assign", "batch_from_yaml", "distances", "drop_work", "encode", "encode_images", "from_dict",
-    "from_yaml", "ingest_stream", "knn", "knn_cross", "log_to", "points", "run_batch", "run_folder", "self_pairs",
-]
+from importlib import import_module
+
+#: The module of each name.
+_HOMES = {
+    "config": ("Batch", "Config", "batch_from_yaml", "from_dict", "from_yaml"),
+    "functions.encoders": ("IMAGE_ENCODERS", "encode", "encode_images"),
+    "operators.pairs": ("distances", "knn", "knn_cross", "points", "self_pairs"),
+    "operators.spheres": ("assign",),
+    "plans.engine": ("Engine", "log_to", "run_batch", "run_folder"),
+    "sources.folders": ("annotations",),
+    "sources.state": ("State",),
+    "sources.tables": ("drop_work",),
+    "streaming.ingest": ("ingest_stream",),
+}
+__all__ = sorted(name for names in _HOMES.values() for name in names)
+
+
+def __getattr__(name: str) -> object:
+    for home, names in _HOMES.items():
+        if name in names:
+            return getattr(import_module(f"orbisplit.{home}"), name)
+    raise AttributeError(name)
