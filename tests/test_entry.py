@@ -13,6 +13,7 @@ SF = "/root/testdata/sf0.001"
 CHECKED = [
     "l2_normalize", "knn_self", "lid", "density_stats", "first_match_assign", "point_split", "adaptive_radius_lid", "cross_batch_dedup_class_aware",
     "snap_lid_weighted", "validate_candidates", "split_ratios", "heatmap_grid", "consensus_union", "fraction_sample", "path_strings",
+    "knn_by_cells", "close_pairs_by_cells", "heatmap_filled", "center_positions", "aligned_batches", "sobol_points", "sphere_volume", "closed_loop_accept",
 ]
 
 
