@@ -34,7 +34,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from orbisplit.llm.common import bounded_batches, materialise
 from orbisplit.llm.kernels import U, Words, chunks, mix, windows
 from orbisplit.llm.sketches import bloom, build, count_min_add, count_min_read, in_bloom, share
-from orbisplit.operators.components import components
+from orbisplit.operators.components import components, extended
 
 #: Words of a shingle; least similarity in hundredths.
 SIZE, PERCENT = 5, 75
@@ -263,14 +263,13 @@ def classes_and_labels(docs: DataFrame, size: int, percent: int) -> tuple[DataFr
     best = Window.partitionBy("set_x").orderBy(F.desc("c"), "a", "b")
     ranked = materialise(near.withColumn("r", F.row_number().over(best)).groupBy("a", "b").agg(F.min("r").alias("r")), "join-ranked")
     first = _links(ranked.where(F.col("r") <= NEIGHBOURS), texts, size, percent)
-    links = links.unionByName(first)
-    labels = materialise(components(links), "join-labels")
+    labels = materialise(extended(labels, first), "join-labels")
     rest = ranked.where(F.col("r") > NEIGHBOURS).select("a", "b")
     for c in "ab":
         rest = rest.join(labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}")), c, "left")
     rest = _links(rest.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")), texts, size, percent)
     if not rest.isEmpty():
-        labels = materialise(components(links.unionByName(rest)), "join-labels")
+        labels = materialise(extended(labels, rest), "join-labels")
     return base, _labelled(reps.select("set", "rep"), labels)
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orbisplit.llm import ngram_join as j
-from orbisplit.operators.components import components
+from orbisplit.operators.components import components, extended
 
 
 def shingles(text):
@@ -117,3 +117,27 @@ def test_chain_of_five_texts_is_one_component(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted((x.doc_id, x.component_id) for x in j.join(df).collect()) == [(i, 0) for i in range(5)]
     assert [x.doc_id for x in j.first_of_groups(df).collect()] == [0]
+
+
+@pytest.mark.parametrize("local", [0, 1 << 17])
+def test_components_and_more_links(spark, local):
+    r = random.Random(11)
+    old = [(r.randrange(-50, 90), r.randrange(-50, 90)) for _ in range(60)]
+    new = [(r.randrange(-90, 120), r.randrange(-90, 120)) for _ in range(40)] + [(3, 3)]
+    edges = lambda e: spark.createDataFrame(e, "a long, b long")
+    labels = components(edges(old), local=local)
+    expected = lambda es: merged({n for a, b in es if a != b for n in (a, b)}, [e for e in es if e[0] != e[1]])
+    assert sorted((x.node, x.label) for x in labels.collect()) == sorted(expected(old).items())
+    got = extended(labels, edges(new), local)
+    assert sorted((x.node, x.label) for x in got.collect()) == sorted(expected(old + new).items())
+    assert extended(components(edges([])), edges([])).count() == 0
+
+
+def test_few_links_take_few_jobs(spark):
+    long = [(i, i + 1) for i in range(2000)]
+    spark.sparkContext.setJobGroup("few", "")
+    got = components(spark.createDataFrame(random.Random(2).sample(long, 2000), "a long, b long")).where("label = 0").count()
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("few")
+    spark.sparkContext.setJobGroup("rest", "")
+    assert got == 2001
+    assert len(jobs) <= 8
