@@ -84,3 +84,20 @@ def test_sums_of_absolute_differences_are_exact(spark):
             i, j, found = blocks.close(x, y, "manhattan", within)
             assert set(zip(i, j, strict=True)) == set(zip(*np.nonzero(d <= within), strict=True))
             assert (found == d[i, j]).all()
+
+
+@pytest.mark.parametrize(("n", "m", "scale", "shift"), [(300, 700, 1.0, 0.0), (900, 256, 1e-3, 5.0), (400, 400, 1e6, -1e7), (260, 300, 0.0, 3.0)])
+def test_sums_of_differences_in_whole_numbers_lose_no_pair(n, m, scale, shift, monkeypatch):
+    rng = np.random.default_rng(n)
+    a, b = (rng.normal(size=(c, 24)) * scale + shift for c in (n, m))
+    b[:20] = a[:20] + rng.normal(size=(20, 24)) * scale * 1e-6
+    d = blocks.matrix(a, b, "manhattan")
+    calls = []
+    whole = blocks._close_whole
+    monkeypatch.setattr(blocks, "_close_whole", lambda *x: calls.append(1) or whole(*x))
+    for within in (0.0, float(np.sort(d.ravel())[15]), float(np.quantile(d, 0.05)), float(d.max()), -1.0):
+        i, j, near = blocks.close(a, b, "manhattan", within)
+        x, y = np.nonzero(d <= within)
+        order = np.lexsort((j, i))
+        assert np.array_equal(i[order], x) and np.array_equal(j[order], y) and np.array_equal(near[order], d[x, y])
+    assert len(calls) == 5
