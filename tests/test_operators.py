@@ -307,3 +307,18 @@ def test_center_rows_keep_all_copies(spark):
     a = spark.createDataFrame([(7, [1.0, 0.0], 0.1, 0.0, [])], spheres.ANCHOR)
     none = spheres.assign(p, a).limit(0)
     assert sorted((r.anchor_id, r.id) for r in spheres.center_rows(none, p, a).collect()) == [(7, 1), (7, 2), (7, 4)]
+
+
+def test_members_of_a_large_anchor_are_written_by_many_tasks(spark, monkeypatch):
+    rows = [(5, 1), (5, 1), (17, 1), (-3, 1), (100, 2), (100, 2), (8, 3), (9, None)] + [(i, 7) for i in range(1000, 1400)]
+    a = spark.createDataFrame(rows, "id long, anchor_id long").repartition(2)
+    monkeypatch.setattr(report, "SHARE", 32, raising=False)
+    had = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = report.similar_members(a).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", had)
+    expected = sorted((i, ",".join(str(x) for x in sorted(j for j, c in rows if c == k and k is not None and j != i))) for i, k in rows)
+    assert sorted((r.id, r.similar) for r in got) == expected
+    assert len({r.task for r in got if r.id >= 1000}) >= 4
