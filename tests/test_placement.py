@@ -205,3 +205,34 @@ def test_acceptance_in_rounds_equals_one_by_one(spark, monkeypatch, by_class, ta
         assert got == want, scanned
         assert own.n_eval == ledger.n_eval and (not goals or own.by_class == ledger.by_class)
     assert len(want) > 3 and 0 < len(rounds) < len(spots)
+
+
+def quantile_of(v, metric, share):
+    return float(np.quantile(matrix(v, v, metric)[np.triu_indices(len(v), 1)], share))
+
+
+@pytest.mark.parametrize("metric, guess, kept", [("cosine", (), 10**6), ("cosine", (1.9, 1.99), 50), ("cosine", None, 0), ("euclidean", (0.0, 1e-9), 10**6)])
+def test_pair_quantile_is_exact_whatever_is_guessed(spark, monkeypatch, metric, guess, kept):
+    v = np.random.default_rng(4).standard_normal((90, 3))
+    v[5], v[6] = v[7], 0.0
+    p = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    monkeypatch.setattr(placement, "KEPT", kept)
+    if guess != ():
+        monkeypatch.setattr(placement, "_guess", lambda *a: guess)
+    want = quantile_of(v, metric, 0.2)
+    assert abs(placement.pair_quantile(p, metric, 0.2, bins=64) - want) < 1e-12
+    # The quantile is beyond the bound only where a count says so, whatever is guessed.
+    assert placement.pair_quantile(p, metric, 0.2, most=want + 1e-6, bins=64) == pytest.approx(want, abs=1e-12)
+
+
+def test_a_radius_beyond_its_bounds_takes_one_pass(spark, monkeypatch):
+    v = np.random.default_rng(5).standard_normal((200, 8))
+    p = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    config = dataclasses.replace(CONFIG, spheres=Spheres(max_radius=0.2, min_radius=0.1, percentile=50.0))
+    passes, histogram = [], placement.pair_histogram
+    monkeypatch.setattr(placement, "pair_histogram", lambda *a: passes.append(a) or histogram(*a))
+    assert placement.base_radius(p, config) == 0.2 and len(passes) == 1
+    config = dataclasses.replace(CONFIG, spheres=Spheres(max_radius=1.9, min_radius=1.8, percentile=50.0))
+    assert placement.base_radius(p, config) == 1.8 and len(passes) == 2
+    config = dataclasses.replace(CONFIG, spheres=Spheres(max_radius=1.9, min_radius=0.1, percentile=50.0))
+    assert abs(placement.base_radius(p, config) - quantile_of(v, "cosine", 0.5)) < 1e-12

@@ -101,3 +101,21 @@ def test_sums_of_differences_in_whole_numbers_lose_no_pair(n, m, scale, shift, m
         order = np.lexsort((j, i))
         assert np.array_equal(i[order], x) and np.array_equal(j[order], y) and np.array_equal(near[order], d[x, y])
     assert len(calls) == 5
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean", "manhattan"])
+@pytest.mark.parametrize("low, high", [(0.0, 0.5), (0.7, 0.9), (0.9, 0.9), (0.0, 2.1), (3.0, 9.0)])
+def test_a_band_counts_every_pair(metric, low, high):
+    import pyarrow as pa
+
+    a, b = unclustered(300, seed=1), unclustered(280, seed=2)
+    a[3], a[4], b[5], b[6] = np.nan, 0.0, 1e200, b[7]
+    for l_block, r_block, x, y in ((0, 1, a, b), (2, 2, a, a)):
+        ids = [np.arange(len(x)), np.arange(len(y)) + 1000 * (l_block != r_block)]
+        row = {"l_block": [l_block], "r_block": [r_block], "l_ids": [ids[0]], "r_ids": [ids[1]], "l_v": [x.ravel()], "r_v": [y.ravel()]}
+        n, below, found = blocks.pair_band(pa.RecordBatch.from_pydict(row), 0, metric, low, high)
+        with np.errstate(invalid="ignore", over="ignore"):
+            d = matrix(x, y, metric)
+        d = d[(ids[0][:, None] < ids[1][None, :]) & ~np.isnan(d)]
+        assert (n, below, len(found)) == (len(d), (d < low).sum(), ((d >= low) & (d <= high)).sum())
+        assert np.allclose(np.sort(found), np.sort(d[(d >= low) & (d <= high)]), atol=1e-12)
