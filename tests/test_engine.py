@@ -54,6 +54,40 @@ def test_two_rounds_and_replay(spark, sf_dir):
     assert e.state.points().isEmpty()
 
 
+def test_new_rows_meet_the_stored_ones_once(spark, sf_dir, monkeypatch):
+    from orbisplit.plans import engine as module
+
+    met = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            met.add(b.num_rows)
+            yield b
+
+    drop_known = module.drop_known
+    monkeypatch.setattr(module, "drop_known", lambda *a: (kept := drop_known(*a)).mapInArrow(counted, kept.schema))
+    e = engine(spark)
+    assert e.ingest(rows(spark, sf_dir, 0, 60), "one").count() == 60 and met.value == 60
+    assert e.ingest(rows(spark, sf_dir, 40, 100), "two").count() == 40 and met.value == 100
+
+
+def test_assignments_are_made_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    state = State(spark, f"file://{tmp_path}/state")
+    schema = "run_id string, id long, original_index long, dataset_split string, train_split string, anchor_id long, distance_to_anchor double, num_containing_anchors int"
+    some = spark.createDataFrame([("a", i, i, "test", "test", i % 2 or None, 0.1, 1) for i in range(10)], schema)
+    points = spark.createDataFrame([], "id long, original_index long, file_path string, label string, v array<double>")
+    state.commit(0, "a", "", points, state.anchors(), some.mapInArrow(counted, some.schema))
+    assert made.value == 10 and state.assignments().count() == 10
+    assert sorted(r.id for r in state.similar().collect()) == [1, 3, 5, 7, 9]
+
+
 def test_an_unfinished_version_does_not_count(spark, sf_dir):
     e = engine(spark)
     e.ingest(rows(spark, sf_dir, 0, 60), "one")
