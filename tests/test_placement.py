@@ -236,3 +236,20 @@ def test_a_radius_beyond_its_bounds_takes_one_pass(spark, monkeypatch):
     assert placement.base_radius(p, config) == 1.8 and len(passes) == 2
     config = dataclasses.replace(CONFIG, spheres=Spheres(max_radius=1.9, min_radius=0.1, percentile=50.0))
     assert abs(placement.base_radius(p, config) - quantile_of(v, "cosine", 0.5)) < 1e-12
+
+
+def test_what_has_nothing_to_meet_is_read_once(spark, sf_dir):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    p = labelled(spark, sf_dir, 30)
+    p = p.mapInArrow(counted, p.schema)
+    none = p.select("id", "v").limit(0)
+    assert len(dedup.far_from(p, spark.createDataFrame([], none.schema), 0.3).collect()) == 30 and read.value == 30
+    assert len(dedup.drop_known(p, spark.createDataFrame([], p.schema), 0.3).collect()) == 30 and read.value == 60
+    c = p.select("id", "v", F.when(F.col("id") > 4, 0.5).alias("radius"))
+    assert {r.radius for r in placement.validate(c, spark.createDataFrame([], none.schema), 0.1).collect()} == {0.5} and read.value == 90
